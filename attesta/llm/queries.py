@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.bpe import bpe_digests
 from attesta.llm.media import media_digests
+from attesta.llm.quality import quality_report
+from attesta.llm.toxicity import toxicity_report
+from attesta.llm.urls import filter_urls
 from attesta.session import table
 
 
@@ -21,9 +24,24 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op7_url_filter": op7_url_filter,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
