@@ -11,6 +11,7 @@ from attesta.llm.media import media_digests
 from attesta.llm.quality import quality_report
 from attesta.llm.toxicity import toxicity_report
 from attesta.llm.urls import filter_urls
+from attesta.llm.warc import REPORT_SQL, derivative_report
 from attesta.session import table
 
 
@@ -24,6 +25,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivative_report(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -39,9 +44,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc_derivatives": REPORT_SQL}
