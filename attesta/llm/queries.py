@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.bpe import bpe_digests
 from attesta.llm.media import media_digests
+from attesta.llm.minhash import near_duplicates
 from attesta.llm.quality import quality_report
 from attesta.llm.toxicity import toxicity_report
 from attesta.llm.urls import filter_urls
@@ -37,6 +38,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_url_filter": op7_url_filter,
     "op8_toxicity": op8_toxicity,
+    "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
 }
 
