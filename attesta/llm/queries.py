@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.bpe import bpe_digests
+from attesta.llm.decontaminate import REPORT_SQL as DECONTAMINATE_SQL
+from attesta.llm.decontaminate import contamination_report
 from attesta.llm.media import media_digests
 from attesta.llm.minhash import near_duplicates
 from attesta.llm.quality import quality_report
@@ -20,6 +22,10 @@ def op1_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
+    "op2_decontaminate": op2_decontaminate,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_url_filter": op7_url_filter,
@@ -56,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_warc_derivatives": REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL}
