@@ -14,6 +14,7 @@ from attesta.llm.minhash import near_duplicates
 from attesta.llm.quality import quality_report
 from attesta.llm.suffix import repeat_report
 from attesta.llm.toxicity import toxicity_report
+from attesta.llm.training_order import training_order
 from attesta.llm.urls import filter_urls
 from attesta.llm.warc import REPORT_SQL, derivative_report
 from attesta.session import table
@@ -33,6 +34,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_training_order": op4_training_order,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_url_filter": op7_url_filter,
