@@ -2,18 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from attesta.plans import retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "scan_documents"
-
-
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attesta.session import table
-
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"scan_documents": scan_documents}
-ORACLE_SQL: dict[str, str] = {"scan_documents": "SELECT doc_id, lang, source, n_chars FROM documents"}
+FLAGSHIP = "keyword_topk_asof"
+QUERIES = {**retrieval.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL}
