@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from attesta.plans import integrity, retrieval, text
+from attesta.plans import integrity, records, retrieval, text
 
 FLAGSHIP = "keyword_topk_asof"
-QUERIES = {**retrieval.QUERIES, **text.QUERIES, **integrity.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **text.ORACLE_SQL, **integrity.ORACLE_SQL}
+QUERIES = {**retrieval.QUERIES, **text.QUERIES, **integrity.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **text.ORACLE_SQL, **integrity.ORACLE_SQL, **records.ORACLE_SQL}
