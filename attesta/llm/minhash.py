@@ -6,11 +6,13 @@ permutation s spreads the shingles over a circle, one permutation p is read with
 of k, so two permutations make all 128 coordinates. Bands of 4 give buckets.
 
 Documents with equal sets form a class that its smallest id stands for. Candidates in a bucket are
-never expanded into all pairs at once. First each member is paired with the bucket's least id, and
-the pairs are verified on full sets; then, in buckets that still hold several components, a
-spanning forest by estimated similarity is verified, and at last whatever pairs between different
-components remain whose estimate is not far below the threshold (0.60 of the coordinates for 0.75:
-four standard deviations). Large buckets are compared block by block in separate groups.
+never expanded into all pairs. First each member is paired with the bucket's least id, and the
+pairs are verified on full sets. Buckets that still hold several components then give a spanning
+forest of the pairs whose estimate is not far below the threshold (0.60 of the coordinates for
+0.75: four standard deviations); it only says which components may belong together. Each such
+cluster gets the full sets of its documents once, and all pairs between its components are decided
+exactly by matrix products; only links come out. Large buckets and clusters are compared block by
+block in separate groups, and the pairs inside a cluster's largest component are left out.
 
 Shingles are told by 64-bit hashes. With fewer than five words the whole sequence is the one
 shingle; without words or text the set is empty and linked with nothing. Rows that repeat a doc_id
@@ -152,24 +154,8 @@ def _near_size(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * 75
 
 
-def _forest(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, every: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs between components whose estimate is at least `least`: all, or a maximum spanning forest. side: 0 and 1 mark two blocks, 2 one."""
-    rows, cols, score = [], [], []
-    need = int(np.ceil(least * sig.shape[1]))
-    for i in range(len(ids)):
-        others = np.arange(i + 1, len(ids))
-        others = others[(comp[others] != comp[i]) & (ids[others] != ids[i]) & ((side[others] != side[i]) | (side[i] == 2)) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * 75)]
-        if len(others):
-            same = (sig[others] == sig[i]).sum(1)
-            good = same >= need
-            rows.append(np.full(good.sum(), i))
-            cols.append(others[good])
-            score.append(same[good])
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, int)
-    rows, cols, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(score)
-    if every:
-        return rows, cols
+def _spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> list[int]:
+    """Places of the edges of a maximum spanning forest."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -179,15 +165,64 @@ def _forest(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, s
 
     kept = []
     for e in np.argsort(-score, kind="stable").tolist():
-        a, b = find(int(comp[rows[e]])), find(int(comp[cols[e]]))
-        if a != b:
-            root[max(a, b)] = min(a, b)
+        x, y = find(int(a[e])), find(int(b[e]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
             kept.append(e)
-    return rows[kept], cols[kept]
+    return kept
 
 
-def _bucket_pairs(members: DataFrame, every: bool, least: float) -> DataFrame:
-    """Pairs (a, b) between components inside buckets. members: bucket, id, comp, n, sig of buckets with several components.
+def _forest(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components with members whose estimate is at least `least`, as a spanning forest. side: 0 and 1 mark two blocks, 2 one."""
+    a, b, score = [], [], []
+    need = int(np.ceil(least * sig.shape[1]))
+    for i in range(len(comp)):
+        others = np.arange(i + 1, len(comp))
+        others = others[(comp[others] != comp[i]) & ((side[others] != side[i]) | (side[i] == 2)) & (np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * 75)]
+        if len(others):
+            same = (sig[others] == sig[i]).sum(1)
+            good = same >= need
+            a.append(np.full(good.sum(), comp[i]))
+            b.append(comp[others[good]])
+            score.append(same[good])
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
+    kept = _spanning(a, b, score)
+    return a[kept], b[kept]
+
+
+def _linked(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, slab: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components with members of Jaccard similarity 0.75 or more, as a spanning forest. Intersections are counted by matrix products over slabs of shingles that several sets hold."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    several = counts[place] > 1
+    row, col = row[several], column[place[several]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left = np.flatnonzero(side != 1)
+    right = left if (side == 2).all() else np.flatnonzero(side == 1)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int((counts > 1).sum()), slab):
+        i, j = np.searchsorted(col, [c, c + slab])
+        held = np.zeros((len(sets), slab), np.float32)
+        held[row[i:j], col[i:j] - c] = 1
+        shared += held[left] @ held[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    good = (100 * shared >= 75 * union) & (comp[left][:, None] != comp[right][None, :])
+    x, y = np.nonzero(good)
+    pairs = np.unique(np.stack([np.minimum(comp[left[x]], comp[right[y]]), np.maximum(comp[left[x]], comp[right[y]])], 1), axis=0)
+    kept = _spanning(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))
+    return pairs[kept, 0], pairs[kept, 1]
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _near_components(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of components that may belong together. members: bucket, id, comp, n, sig of buckets with several components.
 
     A bucket of more than BLOCK members is cut into blocks by a hash of the id, and each pair of
     blocks is a group of its own, so a group holds about 2 * BLOCK members whatever the bucket.
@@ -196,19 +231,48 @@ def _bucket_pairs(members: DataFrame, every: bool, least: float) -> DataFrame:
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # the pairs of blocks that hold the own one
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n", "sig",
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "comp", "n", "sig",
     )
 
     def run(t: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        ids, comp, n, side = (t[c].to_numpy() for c in ("id", "comp", "n", "side"))
-        # members of one block meet in its own group, not among the pairs of blocks
-        rows, cols = _forest(sig, ids, comp, n, side, every, least)
-        return pa.table({"a": np.minimum(ids[rows], ids[cols]), "b": np.maximum(ids[rows], ids[cols])}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        a, b = _forest(sig, *(t[c].to_numpy() for c in ("comp", "n", "side")), least)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}, schema=_PAIR)
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _cluster_links(clustered: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components, decided on full sets. clustered: cluster, comp, id.
+
+    Documents outside the cluster's largest component are dealt to blocks of BLOCK, those inside to others;
+    pairs of outer blocks, and of an outer with an inner one, are groups of their own.
+    """
+    by_comp = clustered.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+    by_cluster = by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("size", "comp")).alias("large"), F.max("size").alias("inner"), F.sum("size").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = clustered.join(by_cluster.select("cluster", "large", blocks(F.col("inner")).alias("ni"), blocks(F.col("all") - F.col("inner")).alias("no")), "cluster").withColumn("is_inner", F.col("comp") == F.col("large"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_inner"), F.col("ni")).otherwise(F.col("no"))).cast("int"))
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    own = F.col("own")
+    with_inner = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda j: place("inner", own, j, F.lit(0)))
+    with_outer = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda j: place("outer", F.least(own, j), F.greatest(own, j), F.when(own == j, 2).when(own < j, 0).otherwise(1)))
+    as_inner = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: place("inner", i, own, F.lit(1)))
+    dealt = dealt.withColumn("p", F.explode(F.when(F.col("is_inner"), as_inner).otherwise(F.concat(with_inner, with_outer)))).select("cluster", "p.kind", "p.i", "p.j", "p.side", "comp", "id")
+
+    def run(t: pa.Table) -> pa.Table:
+        lists = t["set"].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        side = t["side"].to_numpy()
+        if len(np.unique(side)) < 2 and side[0] != 2:  # one block without its partner
+            return pa.table({"a": [], "b": []}, schema=_PAIR)
+        a, b = _linked([values[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)], t["comp"].to_numpy(), side)
+        return pa.table({"a": a, "b": b}, schema=_PAIR)
+
+    return dealt.join(sets.withColumnRenamed("doc_id", "id"), "id").drop("id").groupBy("cluster", "kind", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("_sa"))
@@ -233,26 +297,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     ids = materialize(members.select("id").distinct(), "minhash-ids")
     few = ids.count()
     if few == 0:
-        links = spark.createDataFrame([], "a bigint, b bigint")
         found = None
     else:
         wanted = F.broadcast(ids) if few <= BROADCAST_ROWS else ids
         sets = materialize(document_sets(named.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set"]), "minhash-sets")
         links = materialize(_verified(pairs, sets), "minhash-links")
         found = components(links, "a", "b")
-        for every in (False, True):
-            # buckets that still hold several components
-            comp = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
-            open_ = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            asked = comp.join(open_, "bucket").join(classes.select("id", "sig"), "id")
-            more = materialize(_bucket_pairs(asked, every, least).join(pairs, ["a", "b"], "left_anti"), "minhash-pairs")
-            if more.isEmpty():
-                break
-            pairs = pairs.unionByName(more)
-            added = materialize(_verified(more, sets), "minhash-links")
+        # buckets that still hold several components
+        comp = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
+        open_ = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        asked = materialize(comp.join(open_, "bucket"), "minhash-open")
+        near = materialize(_near_components(asked.join(classes.select("id", "sig"), "id"), least), "minhash-near")
+        if not near.isEmpty():
+            clusters = components(near, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+            added = materialize(_cluster_links(asked.select("id", "comp").distinct().join(clusters, "comp"), sets), "minhash-links")
             if not added.isEmpty():
-                links = links.unionByName(added)
-                found = components(links, "a", "b")
+                found = components(links.unionByName(added), "a", "b")
 
     of_class = classes.select("set_key", "id")
     if found is not None:

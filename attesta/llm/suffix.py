@@ -1,13 +1,13 @@
 """Suffix-array deduplication: cut every byte that lies in a 50-byte string of an earlier document.
 
 Work is dealt by content, so shards need no comparing of all with all. The anchor of a 50-byte
-string is the 16-byte string in it with the least hash; equal strings have equal anchors. Neighbouring
-strings with one anchor form a run, at most 84 bytes of text.
+string is the 24-byte string in it with the least hash; equal strings have equal anchors. Neighbouring
+strings with one anchor form a run, at most 76 bytes of text.
 
 1. Blocks of documents list their anchors; anchors met in two documents or more are shared.
 2. Blocks send the runs of shared anchors to the shard of the anchor. Equal runs of one block are
    combined first: only those of the smallest document travel, so a passage that a third of all
-   documents share comes to a shard once a block.
+   documents share comes to a shard once a block, and the shard combines those again.
 3. A shard sorts the suffixes of its runs by prefix doubling (Larsson-Sadakane refinement: only
    groups that are still tied are sorted again), takes the common prefixes of neighbours by
    Kasai's method, and so has all equal 50-byte strings side by side with their smallest
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from attesta.llm.arrays import mix64, text_bytes
 
 LENGTH = 50
-ANCHOR = 16
+#: Long enough that unlike texts seldom share one by chance; the longer, the more anchors.
+ANCHOR = 24
 BLOCK_BYTES = 2 << 20
 #: Bytes of runs that one suffix array takes: positions must fit 21 bits.
 PART_BYTES = (1 << 21) - 1
@@ -322,14 +323,34 @@ def _find_repeats(t: pa.Table) -> pa.Table:
     else:
         text = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
         docs = np.frombuffer(b"".join(t["docs"].to_pylist()), np.int64)
-        flag = repeated_starts(text, size, docs)
-        counts = size - LENGTH + 1
-        place, of = _ragged(first, counts)[flag], np.repeat(np.arange(len(first)), counts)[flag]
+        # equal runs are sorted once, as the smallest document's
+        stop = np.cumsum(size)
+        at, sums = stop - size, _sums(text)
+        own = mix64((sums[stop] - sums[at]) * _powers(len(text))[1][at] + size.astype(np.uint64))
+        order = np.lexsort((docs, size, own))
+        new = np.ones(len(order), bool)
+        new[1:] = (own[order][1:] != own[order][:-1]) | (size[order][1:] != size[order][:-1])
+        heads = order[new]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        flag = repeated_starts(text[_ragged(at[heads], size[heads])], size[heads], docs[heads])
+        counts = size[heads] - LENGTH + 1
+        place, of = _ragged(np.zeros(len(heads), np.int64), counts)[flag], np.repeat(np.arange(len(heads)), counts)[flag]
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1])
-        at = np.flatnonzero(new)
-        begin, end = place[at], place[np.append(at[1:], len(place)) - 1] + LENGTH if len(at) else place
-        block = block[of[at]]
+        k = np.flatnonzero(new)
+        head_begin = place[k]
+        head_end = place[np.append(k[1:], len(place)) - 1] + LENGTH if len(k) else place
+        spans = np.bincount(of[k], minlength=len(heads))
+        # a larger document's equal run goes whole, the smallest one's own copies as their head
+        later = docs > docs[heads][group]
+        same = np.flatnonzero(~later)
+        each = spans[group[same]]
+        take = _ragged((np.cumsum(spans) - spans)[group[same]], each)
+        base = np.repeat(first[same], each)
+        begin = np.concatenate([first[later], base + head_begin[take]])
+        end = np.concatenate([(first + size)[later], base + head_end[take]])
+        block = np.concatenate([block[later], np.repeat(block[same], each)])
     rows = list(_by_bucket(block.astype(np.int64)))
     return pa.table({"block": pa.array([x for x, _ in rows], pa.int32()), "starts": pa.array([begin[i].tobytes() for _, i in rows], pa.binary()), "ends": pa.array([end[i].tobytes() for _, i in rows], pa.binary())})
 
