@@ -224,6 +224,8 @@ def _block(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(buckets):
+        return
     order = np.argsort(buckets, kind="stable")
     at = np.flatnonzero(np.diff(buckets[order], prepend=-1))
     for a, z in zip(at, np.append(at[1:], len(order)), strict=True):
