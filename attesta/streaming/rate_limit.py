@@ -25,7 +25,7 @@ def decide(times: list[float], hits: deque, limit: int, window: float) -> list[t
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, event: str, limit: int, window_seconds: float) -> DataFrame:
-    """key, event, allowed and retry_after. A key is one client's sequence, decided in its order."""
+    """key, event (both as named), allowed and retry_after. A key is one client's sequence, decided in its order."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["t", "event"])
@@ -33,7 +33,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, event: str, limit: int, win
         return g.assign(allowed=[a for a, _ in got], retry_after=[round(w, 6) for _, w in got])[["key", "event", "allowed", "retry_after"]]
 
     kind, named = events.schema[key].dataType.simpleString(), events.select(F.col(key).alias("key"), F.col(event).cast("bigint").alias("event"), F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return named.groupBy("key").applyInPandas(run, f"key {kind}, event bigint, allowed boolean, retry_after double").withColumnRenamed("key", key)
+    return named.groupBy("key").applyInPandas(run, f"key {kind}, event bigint, allowed boolean, retry_after double").withColumnsRenamed({"key": key, "event": event})
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, event: str, limit: int, window_seconds: float) -> DataFrame:
@@ -48,4 +48,4 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, event: str, limit: i
         state.update((list(hits),))
         yield g.assign(allowed=[a for a, _ in got], retry_after=[round(w, 6) for _, w in got])[["key", "event", "allowed", "retry_after"]]
 
-    return named.groupBy("key").applyInPandasWithState(run, f"key {kind}, event bigint, allowed boolean, retry_after double", "hits array<double>", "append", "NoTimeout").withColumnRenamed("key", key)
+    return named.groupBy("key").applyInPandasWithState(run, f"key {kind}, event bigint, allowed boolean, retry_after double", "hits array<double>", "append", "NoTimeout").withColumnsRenamed({"key": key, "event": event})
