@@ -239,11 +239,27 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 _LIST = "b int, block int, hashes binary"
-_SHARED = "block int, hashes binary"
+_SHARED = "block int, b int, hashes binary"
 _RUNS = "b int, block int, starts binary, sizes binary, docs binary, bytes binary"
 _SPANS = "block int, starts binary, ends binary"
 
 
+def _pack(keys: np.ndarray) -> bytes:
+    """Keys of 40 bits, 5 bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def _shard_and_key(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of an anchor, and 39 of its hash's upper bits. Unlike anchors that share both only send runs in vain: runs are compared by their bytes."""
+    return (hashes >> np.uint64(1)) % np.uint64(shards), hashes >> np.uint64(25)
+
+
 def _list_anchors(shards: int):
     def run(t: pa.Table) -> pa.Table:
         block = t["_block"][0].as_py()
@@ -256,15 +272,16 @@ def _list_anchors(shards: int):
         new[1:] = h[1:] != h[:-1]
         at = np.flatnonzero(new)
         many = np.maximum.reduceat(d, at) != np.minimum.reduceat(d, at) if len(at) else np.zeros(0, bool)
-        sent = (h[at] & ~np.uint64(1)) | many.astype(np.uint64)
-        rows = list(_by_bucket(((sent >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)))
-        return pa.table({"b": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "hashes": pa.array([sent[i].tobytes() for _, i in rows], pa.binary())})
+        shard, key = _shard_and_key(h[at], shards)
+        sent = (key << np.uint64(1)) | many.astype(np.uint64)
+        rows = list(_by_bucket(shard.astype(np.int64)))
+        return pa.table({"b": pa.array([k for k, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "hashes": pa.array([_pack(sent[i]) for _, i in rows], pa.binary())})
 
     return run
 
 
 def _shared_anchors(t: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
+    parts = [_unpack(x) for x in t["hashes"].to_pylist()]
     h = np.concatenate(parts)
     block = np.repeat(t["block"].to_numpy(), [len(x) for x in parts])
     order = np.argsort(h >> np.uint64(1))
@@ -277,7 +294,7 @@ def _shared_anchors(t: pa.Table) -> pa.Table:
         again[:-1] |= pair
     k, block = k[again], block[again]
     rows = list(_by_bucket(block.astype(np.int64)))
-    return pa.table({"block": pa.array([x for x, _ in rows], pa.int32()), "hashes": pa.array([k[i].tobytes() for _, i in rows], pa.binary())})
+    return pa.table({"block": pa.array([x for x, _ in rows], pa.int32()), "b": pa.array([t["b"][0].as_py()] * len(rows), pa.int32()), "hashes": pa.array([_pack(k[i]) for _, i in rows], pa.binary())})
 
 
 def _send_runs(shards: int):
@@ -286,10 +303,13 @@ def _send_runs(shards: int):
         if not docs.num_rows or not shared.num_rows:
             return empty
         block = docs["_block"][0].as_py()
-        known = np.sort(np.frombuffer(b"".join(shared["hashes"].to_pylist()), np.uint64))
+        known = np.sort(np.concatenate([_unpack(x) | (np.uint64(s) << np.uint64(39)) for s, x in zip(shared["b"].to_pylist(), shared["hashes"].to_pylist(), strict=True)]))
         _, b, offsets, ids, usable = _block(docs)
+        if len(b) >= 1 << 32:
+            raise ValueError("a block must hold fewer than 4 GiB of text")
         first, last, hashes, own = gram_runs(b, offsets, usable)
-        k = hashes >> np.uint64(1)
+        shard, key = _shard_and_key(hashes, shards)
+        k = key | (shard << np.uint64(39))
         hit = known[np.minimum(np.searchsorted(known, k), len(known) - 1)] == k
         first, last, k, own = first[hit], last[hit], k[hit], own[hit]
         doc = ids[np.searchsorted(offsets, first, side="right") - 1]
@@ -302,13 +322,13 @@ def _send_runs(shards: int):
         repeat[order] = doc[order] > least
         rows = [(-1 - block, np.flatnonzero(repeat))] if repeat.any() else []
         go = np.flatnonzero(~repeat)
-        rows += [(x, go[i]) for x, i in _by_bucket((k[go] % np.uint64(shards)).astype(np.int64))]
+        rows += [(x, go[i]) for x, i in _by_bucket((k[go] >> np.uint64(39)).astype(np.int64))]
         if not rows:
             return empty
-        sizes = (last - first + LENGTH).astype(np.int32)
+        sizes = (last - first + LENGTH).astype(np.uint8)  # at most 76
         text = [b"" if x < 0 else b[_ragged(first[i], sizes[i].astype(np.int64))].tobytes() for x, i in rows]
         return pa.table({
-            "b": pa.array([x for x, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "starts": pa.array([first[i].astype(np.int64).tobytes() for _, i in rows], pa.binary()),
+            "b": pa.array([x for x, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "starts": pa.array([first[i].astype(np.uint32).tobytes() for _, i in rows], pa.binary()),
             "sizes": pa.array([sizes[i].tobytes() for _, i in rows], pa.binary()), "docs": pa.array([doc[i].tobytes() for _, i in rows], pa.binary()), "bytes": pa.array(text, pa.binary()),
         })
 
@@ -316,8 +336,8 @@ def _send_runs(shards: int):
 
 
 def _find_repeats(t: pa.Table) -> pa.Table:
-    starts = [np.frombuffer(x, np.int64) for x in t["starts"].to_pylist()]
-    sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in t["sizes"].to_pylist()]
+    starts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in t["starts"].to_pylist()]
+    sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in t["sizes"].to_pylist()]
     block = np.repeat(t["block"].to_numpy(), [len(x) for x in starts])
     first, size = np.concatenate(starts), np.concatenate(sizes)
     if t["b"][0].as_py() < 0:
