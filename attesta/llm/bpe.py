@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.arrays import mix64, steps
 
-#: Chunks kept by a worker, about 0.15 KB each; when full, those met once are dropped. As many matches of up to 64 characters.
-CACHE_ENTRIES = 1_000_000
+#: Chunks kept by a worker; when full, those met once are dropped. As many matches of up to 64 characters. Both take about 0.8 KB.
+CACHE_ENTRIES = 200_000
 _NONE = 1 << 40
 
 
@@ -290,7 +290,7 @@ def _coded(df: DataFrame, text: str, key: str, ranks_path: str, pattern: str, ba
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
         for batch in batches:
-            for part in steps(batch, "_text", 4 << 20):
+            for part in steps(batch, "_text", 2 << 20):
                 ids, offsets = codec.encode_all([t or "" for t in part["_text"].to_pylist()])
                 columns = [part["_key"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
                 if back:
