@@ -306,8 +306,8 @@ def species_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.lower(F.split_part("p_type", F.lit(" "), F.lit(2))).alias("name"))
-    return rules.fuzzy_names(names, table(spark, sf_dir, "part").select(F.split_part("p_type", F.lit(" "), F.lit(2)).alias("entry")), "name", "entry")
+    p = table(spark, sf_dir, "part")
+    return rules.fuzzy_names(p.select(F.col("p_name").alias("name")), p.select(F.col("p_type").alias("entry")), "name", "entry")
 
 
 @query("""WITH t AS (SELECT unnest([1, 2, 3]) AS topic, unnest([['F', 'O'], ['O'], ['P']]) AS activities) SELECT c_custkey, topic FROM (SELECT o_custkey AS c_custkey, list(DISTINCT o_orderstatus) AS a FROM orders GROUP BY o_custkey) JOIN t ON list_has_any(a, activities)""")

@@ -49,6 +49,16 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df) == rows(want)
 
 
+def test_fuzzy_names_match_whole_names_with_types(spark, tmp_path):
+    import difflib
+
+    names, types = ["small ring", "large cog", "economy", "blue bolt"], ["SMALL", "LARGE", "ECONOMY", "LARGE"]
+    spark.createDataFrame(list(zip(names, types, strict=True)), "p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.name, r.entry) for r in catalog.QUERIES["fuzzy_names"](spark, str(tmp_path)).collect()}
+    want = {(n, e) for n in names for e in types if difflib.SequenceMatcher(a=e.lower(), b=n).ratio() >= 0.6}
+    assert got == want == {("small ring", "SMALL"), ("large cog", "LARGE"), ("economy", "ECONOMY")}
+
+
 def test_gate_is_half_open(spark):
     df = spark.createDataFrame([("live", "IN", "statute", "2020-01-01", "2030-01-01")], "version string, jurisdiction string, doc_type string, valid_from string, valid_to string").selectExpr("version", "jurisdiction", "doc_type", "cast(valid_from as date) valid_from", "cast(valid_to as date) valid_to")
     n = lambda *a: gate.gate(df, *a).count()
