@@ -53,7 +53,7 @@ MIXED = f"""mixed AS (
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("doc_id") % len(of) + 1).cast("int"))
-    return d.select("doc_id", F.concat(pick(PHRASES), F.lit(" "), F.split_part("text", F.lit("\n"), F.lit(1))).alias("t"), pick(PHRASES).alias("claim"), pick(PREMISES).alias("premise"), ((F.col("doc_id") * 37 % 101) / 100.0).alias("entailment"))
+    return d.select("doc_id", F.concat(pick(PHRASES), F.lit(" "), F.split_part("text", F.lit("\n"), F.lit(1))).alias("t"), pick(PHRASES).alias("claim"), pick(PREMISES).alias("premise"), F.concat_ws(" ", pick(PHRASES), "text").alias("whole"), ((F.col("doc_id") * 37 % 101) / 100.0).alias("entailment"))
 
 
 def _joined(c):
@@ -154,12 +154,12 @@ def guard_modal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def guard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).select("doc_id", tx.numbers_ok(F.col("claim"), F.col("premise")).alias("ok"))
+    return mixed(spark, sf_dir).select("doc_id", tx.numbers_ok(F.col("whole"), F.col("premise")).alias("ok"))
 
 
 @query()
 def claim_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).select("doc_id", tx.claim_verdict(F.col("entailment"), F.col("claim"), F.col("premise")).alias("verdict"))
+    return mixed(spark, sf_dir).select("doc_id", tx.claim_verdict(F.col("entailment"), F.col("whole"), F.col("premise")).alias("verdict"))
 
 
 @query()

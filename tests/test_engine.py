@@ -59,6 +59,18 @@ def test_fuzzy_names_match_whole_names_with_types(spark, tmp_path):
     assert got == want == {("small ring", "SMALL"), ("large cog", "LARGE"), ("economy", "ECONOMY")}
 
 
+def test_claims_are_read_to_the_end_of_the_text(spark, tmp_path):
+    texts = ["a line", "a line\nanother\nunder 777 heads", None, "a line\nin 1888", "a line\nunder section 99"]
+    rows = [(24 * i + 6, t) for i, t in enumerate(texts)]  # all with the phrase that holds no number and premise 0
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    numbers = {r.doc_id: r.ok for r in catalog.QUERIES["guard_numbers"](spark, str(tmp_path)).collect()}
+    assert numbers == {6: True, 30: False, 54: True, 78: False, 102: True}
+    verdicts = {r.doc_id: r.verdict for r in catalog.QUERIES["claim_verdict"](spark, str(tmp_path)).collect()}
+    low = {k for k, _ in rows if k * 37 % 101 < 50}
+    assert {k: v for k, v in verdicts.items() if k not in low} == {k: v for k, v in {6: "partial", 30: "unsupported_number", 54: "partial", 78: "unsupported_number", 102: "unsupported_section_reference"}.items() if k not in low}
+    assert {verdicts[k] for k in low} <= {"nli_below_threshold"}
+
+
 def test_gate_is_half_open(spark):
     df = spark.createDataFrame([("live", "IN", "statute", "2020-01-01", "2030-01-01")], "version string, jurisdiction string, doc_type string, valid_from string, valid_to string").selectExpr("version", "jurisdiction", "doc_type", "cast(valid_from as date) valid_from", "cast(valid_to as date) valid_to")
     n = lambda *a: gate.gate(df, *a).count()
