@@ -32,9 +32,10 @@ def mix32(x: np.ndarray) -> np.ndarray:
 
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose text column holds about `limit` bytes, one row at least."""
+    """Slices of a batch whose text (or array<int>) column holds about `limit` bytes, one row at least."""
     a = batch.column(batch.schema.get_field_index(column))
-    sizes = np.fromiter((0 if x is None else x for x in pa.compute.binary_length(a).to_pylist()), np.int64, len(a))
+    lengths = pa.compute.multiply(pa.compute.list_value_length(a), 4) if pa.types.is_list(a.type) else pa.compute.binary_length(a)
+    sizes = np.fromiter((0 if x is None else x for x in lengths.to_pylist()), np.int64, len(a))
     ends, start, total = [], 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm.bpe import bpe_digests
+from attesta.llm.bpe import bpe_digests, bpe_encode
 from attesta.llm.decontaminate import REPORT_SQL as DECONTAMINATE_SQL
 from attesta.llm.decontaminate import contamination_report
 from attesta.llm.media import media_digests
@@ -17,7 +17,7 @@ from attesta.llm.toxicity import toxicity_report
 from attesta.llm.training_order import training_order
 from attesta.llm.urls import filter_urls
 from attesta.llm.warc import REPORT_SQL, derivative_report
-from attesta.session import table
+from attesta.session import materialize, table
 
 
 def op1_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(spark, table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    ids = bpe_encode(table(spark, sf_dir, "documents"), "text", "doc_id", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return training_order(spark, materialize(ids, "order-ids"), "ids", width=2)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

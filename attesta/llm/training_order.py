@@ -6,14 +6,15 @@ the data alone. A keyed Feistel permutation over the next power of four, walked
 until it lands inside, gives each number its global slot: a bijection that any task computes alone.
 Slots are dealt by range to shards, one task a shard, which writes records of a fixed stride:
 
-    header, 64 bytes: magic, version, tokens a sequence, bytes a token, sequences, first slot, all sequences, key
+    header, 64 bytes: magic, version, tokens a sequence, bytes a token, sequences, first slot, all sequences, key, input fingerprint
     record: doc_id int64, place int32, tokens used int32, the token ids (little-endian, zero-padded)
 
 so slot s lies at 64 + (s - first slot) * stride and reading may resume anywhere. A shard is written
-under another name and then renamed; one that is there in full is kept, so a job can be run again.
+under another name and then renamed; one that is there in full with the same header, so of the same
+input and key, is kept, so a job can be run again.
 
-Ids here are UTF-8 bytes (a vocabulary of 256, one byte each) or a column of ids that another
-operator made. Null or empty texts make one sequence without tokens. Rows that repeat both doc_id
+Tokens are a column of ids that another operator made (array<int>, 2 or 4 bytes each), or the UTF-8
+bytes of a text (a vocabulary of 256, one byte each). Null or empty texts make one sequence without tokens. Rows that repeat both doc_id
 and text are stored once. A null doc_id is written as -2**63.
 """
 
@@ -25,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from attesta.llm.arrays import steps, text_bytes
 from attesta.session import materialize, shared_dir
 
 MAGIC = b"SEQSHARD"
-HEADER = "<8sIIIQQQQ12x"
+HEADER = "<8sIIIQQQQQ4x"
 RECORD = np.dtype([("doc_id", "<i8"), ("place", "<i4"), ("used", "<i4")])
 NULL_ID = -(1 << 63)
 #: First numbers of up to this many documents are broadcast (64 MB at most); more are joined by a shuffle.
@@ -60,19 +62,41 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_sequences(docs: DataFrame, text: str, key: str, length: int, buckets: int = 1024) -> tuple[DataFrame, int]:
-    """doc, hash, bytes and first (the number of the first sequence) of each different row, and the count of all sequences.
+def _count(docs: DataFrame, text: str) -> Column:
+    """Tokens of each row."""
+    return F.coalesce(F.size(text) if isinstance(docs.schema[text].dataType, ArrayType) else F.octet_length(text), F.lit(0))
+
+
+def _tokens(a: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of an array of texts or of lists of ids, and n + 1 offsets; nulls are empty."""
+    if not pa.types.is_list(a.type):
+        return text_bytes(a)
+    values = a.flatten()
+    if values.null_count:
+        raise ValueError("an id is null")
+    values = values.to_numpy()
+    if len(values) and not 0 <= values.min() <= values.max() < 1 << 8 * width:
+        raise ValueError(f"an id from {values.min()} to {values.max()} does not fit {width} bytes")
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(a), 0).to_numpy()
+    return values.astype(f"<u{width}"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def number_sequences(docs: DataFrame, text: str, key: str, length: int, buckets: int = 1024) -> tuple[DataFrame, int, int]:
+    """doc, hash, tokens and first (the number of the first sequence) of each different row, the count of all sequences, and a fingerprint of the rows.
+
+    text: a column of texts, whose bytes are the tokens, or of ids.
 
     Running sums inside hash buckets, on top of the sums of the buckets before: only `buckets` rows meet in one task.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes")).distinct()
-    rows = materialize(rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("bytes") / length)).cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc", "hash"), F.lit(buckets))), "order-documents")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("hash"), _count(docs, text).alias("tokens")).distinct()
+    rows = materialize(rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("tokens") / length)).cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc", "hash"), F.lit(buckets))), "order-documents")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("bucket").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
+    fingerprint = rows.agg(F.bit_xor(F.xxhash64("doc", "hash", "tokens"))).first()[0] or 0
     base = sums.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket").orderBy("doc", "hash", "bytes").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(rows.join(F.broadcast(base), "bucket").select("doc", "hash", "bytes", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")), "order-numbers"), int(total)
+    inside = Window.partitionBy("bucket").orderBy("doc", "hash", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(rows.join(F.broadcast(base), "bucket").select("doc", "hash", "tokens", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")), "order-numbers"), int(total), fingerprint & (1 << 64) - 1
 
 
 def _filesystem(uri: str):
@@ -81,31 +105,38 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_id", length: int = 1024, shard_sequences: int = 8192, seed: int = 1) -> DataFrame:
-    """Write all sequences of docs to shards in the folder out, which driver and executors share; the manifest: shard, path, first_slot, sequences, bytes."""
+def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_id", length: int = 1024, shard_sequences: int = 8192, seed: int = 1, width: int = 4) -> DataFrame:
+    """Write all sequences of docs to shards in the folder out, which driver and executors share; the manifest: shard, path, first_slot, sequences, bytes.
+
+    text: a column of texts, or of ids (array<int>) that are stored in `width` bytes each; a larger id is an error.
+    """
     import zstandard
 
-    numbers, total = number_sequences(docs, text, key, length)
-    stride = RECORD.itemsize + length
+    if not isinstance(docs.schema[text].dataType, ArrayType):
+        width = 1
+    elif width not in (2, 4):
+        raise ValueError("ids take 2 or 4 bytes")
+    numbers, total, fingerprint = number_sequences(docs, text, key, length)
+    stride = RECORD.itemsize + length * width
     numbers = F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
-    own = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
-    named = own.join(numbers, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("hash")) & (F.coalesce(F.octet_length("_text"), F.lit(0)) == F.col("bytes"))).select("_doc", "_text", "first")
+    own = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"), _count(docs, text).alias("_count"))
+    named = own.join(numbers, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("hash")) & (F.col("_count") == F.col("tokens"))).select("_doc", "_text", "first")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in steps(batch, "_text"):
-                b, offsets = text_bytes(part["_text"])
+                b, offsets = _tokens(part["_text"], width)
                 sizes = np.diff(offsets)
                 n = np.maximum(1, -(-sizes // length))
                 of = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 used = np.minimum(length, sizes[of] - place * length).astype(np.int32)
-                record = np.zeros(len(of), np.dtype([*RECORD.descr, ("tokens", "u1", (length,))]))
+                record = np.zeros(len(of), np.dtype([*RECORD.descr, ("tokens", f"<u{width}", (length,))]))
                 record["doc_id"] = part["_doc"].fill_null(NULL_ID).to_numpy(zero_copy_only=False)[of]
                 record["place"], record["used"] = place, used
                 # whole sequences are copied as rows; texts' ends fill up with zeros
-                flat = np.zeros((len(of), length), np.uint8)
+                flat = np.zeros((len(of), length), f"<u{width}")
                 flat[np.arange(length)[None, :] < used[:, None]] = b
                 record["tokens"] = flat
                 slot = feistel(part["first"].to_numpy()[of] + place, total, seed)
@@ -123,7 +154,12 @@ def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_
         size = 64 + count * stride
         target, base = _filesystem(out)
         path = f"{base}/shard-{shard:08d}.bin"
-        if target.get_file_info(path).size != size:
+        header = struct.pack(HEADER, MAGIC, 2, length, width, count, first, total, seed, fingerprint)
+        kept = target.get_file_info(path).size == size
+        if kept:
+            with target.open_input_file(path) as f:
+                kept = f.read(64) == header
+        if not kept:
             data = np.zeros((count, stride), np.uint8)
             for slots, records in zip(t["slots"].to_pylist(), t["records"].to_pylist(), strict=True):
                 at = np.frombuffer(slots, np.int64) - first
@@ -131,7 +167,7 @@ def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_
             target.create_dir(base, recursive=True)
             partial = f"{base}/.{shard:08d}-{uuid.uuid4().hex}"
             with target.open_output_stream(partial) as f:
-                f.write(struct.pack(HEADER, MAGIC, 1, length, 1, count, first, total, seed))
+                f.write(header)
                 f.write(data.tobytes())
             target.move(partial, path)
         return pa.table({"shard": [shard], "path": [f"{out}/shard-{shard:08d}.bin"], "first_slot": [first], "sequences": [count], "bytes": [size]})
@@ -141,14 +177,14 @@ def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_
 
 
 def read_shards(manifest: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
-    """slot, shard, offset, doc_id, place, n_tokens and tokens (bytes) of the slots first..last, read in order within each shard."""
+    """slot, shard, offset, doc_id, place, n_tokens and tokens (their little-endian bytes) of the slots first..last, read in order within each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, path in zip(batch["shard"].to_pylist(), batch["path"].to_pylist(), strict=True):
                 source, at = _filesystem(path)
                 with source.open_input_file(at) as f:
-                    magic, _, length, width, count, begin, _, _ = struct.unpack(HEADER, f.read(64))
+                    magic, _, length, width, count, begin, _, _, _ = struct.unpack(HEADER, f.read(64))
                     if magic != MAGIC:
                         raise ValueError(f"{path} is no shard")
                     kind = np.dtype([*RECORD.descr, ("tokens", "u1", (length * width,))])
@@ -169,7 +205,7 @@ def read_shards(manifest: DataFrame, first: int = 0, last: int | None = None) ->
     return wanted.repartition("shard").mapInArrow(run, "slot bigint, shard bigint, offset bigint, doc_id bigint, place int, n_tokens bigint, tokens binary")
 
 
-def training_order(spark: SparkSession, docs: DataFrame, length: int = 1024, shard_sequences: int = 8192, seed: int = 1) -> DataFrame:
+def training_order(spark: SparkSession, docs: DataFrame, text: str = "text", length: int = 1024, shard_sequences: int = 8192, seed: int = 1, width: int = 4) -> DataFrame:
     """Write docs as shards in the session's shared folder and read every sequence back: its slot, place in the shards and a checksum of its tokens."""
-    manifest = write_shards(docs, f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}", length=length, shard_sequences=shard_sequences, seed=seed)
+    manifest = write_shards(docs, f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}", text, length=length, shard_sequences=shard_sequences, seed=seed, width=width)
     return read_shards(manifest).withColumn("tokens_crc32", F.crc32("tokens")).drop("tokens")

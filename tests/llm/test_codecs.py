@@ -132,3 +132,28 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert sorted(r.slot for r in order.read_shards(manifest, 40, 70).collect()) == list(range(40, 71))
     assert order.write_shards(df, out, length=128, shard_sequences=32).collect() == manifest.collect()
     assert order.write_shards(spark.createDataFrame([], SCHEMA), out + "e").collect() == []
+
+
+def test_shards_hold_ids(spark, tmp_path):
+    rows = [(1, [1, 50_000, 65_535]), (2, None), (3, []), (None, [7] * 9), (4, list(range(300)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
+    for width in (2, 4):
+        manifest = order.write_shards(df, f"file://{tmp_path}/{width}", "ids", length=8, shard_sequences=16, width=width)
+        by = {}
+        for r in order.read_shards(manifest).collect():
+            by.setdefault(r.doc_id, {})[r.place] = np.frombuffer(r.tokens, f"<u{width}").tolist()
+        assert {k: sum((v[i] for i in sorted(v)), []) for k, v in by.items()} == {k: ids or [] for k, ids in rows}
+        first = manifest.orderBy("shard").first()
+        with open(first.path.removeprefix("file://"), "rb") as f:
+            assert struct.unpack(order.HEADER, f.read(64))[2:4] == (8, width) and first.bytes == 64 + first.sequences * (16 + 8 * width)
+    with pytest.raises(Exception, match="does not fit 2 bytes"):
+        order.write_shards(spark.createDataFrame([(1, [65_536])], df.schema), f"file://{tmp_path}/large", "ids", width=2)
+
+
+def test_shards_of_other_inputs_or_keys_are_replaced(spark, tmp_path):
+    out = f"file://{tmp_path}/same"
+    write = lambda letter, seed: order.write_shards(spark.createDataFrame([(i, letter * 20) for i in range(40)], SCHEMA), out, length=8, shard_sequences=32, seed=seed)
+    read = lambda m: {r.slot: (r.doc_id, r.place, bytes(r.tokens)[:1]) for r in order.read_shards(m).collect()}
+    a, b, c = read(write("a", 1)), read(write("b", 1)), read(write("b", 2))
+    assert {x[2] for x in a.values()} == {b"a"} and {x[2] for x in b.values()} == {b"b"}
+    assert b != c and sorted(b.values()) == sorted(c.values())
