@@ -24,6 +24,10 @@ from attesta.session import shared_dir
 #: Fixed values of the production query: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: A tag (a > in a quoted value doesn't end it), and the value of a link attribute inside one.
+TAG = r"""<[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+LINK = r"""(?i)(?<=[\s"'/])(?:href|src|action)\s*=\s*["']?([^"'\s>]+)"""
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,11 +57,17 @@ def judged_pages(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst and n: the links between hosts that pages hold in href, src and action attributes; relative links stay on the host."""
+    """src, dst and n: the links between hosts that pages hold in href, src and action attributes of tags; relative links stay on the host.
+
+    Links of a scheme without // (mailto:, javascript:, data:) lead to no host and are left out.
+    """
     host, _ = split_url(F.col("url"))
-    links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)(?:href|action)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))).alias("link"))
-    target, _ = split_url(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link")))
-    return links.select("src", target.alias("dst")).where("src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    tags = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAG), F.lit(0))).alias("tag"))
+    links = tags.select("src", F.explode(F.regexp_extract_all("tag", F.lit(LINK), F.lit(1))).alias("link"))
+    link = F.col("link")
+    target, _ = split_url(F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link))
+    dst = F.when(link.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), target).when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("src")).otherwise("")
+    return links.select("src", dst.alias("dst")).where("src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, checkpoint_every: int = 4) -> DataFrame:

@@ -91,6 +91,13 @@ def test_trust_and_distrust_follow_links(spark):
     assert got["good"].trust == pytest.approx(1) and got["bad"].distrust == pytest.approx(1) and 0 < got["end"].trust <= damp
 
 
+def test_host_edges_of_mixed_html(spark):
+    html = """<a href="/in">x</a><a HREF='?q=1'><img alt="a > b" src="img/a.png"><script src=//CDN.org/x.js></script><form action="https://b.com/go"><a data-href="http://no.net/" href="http://b.com/">
+    <a href="mailto:a@c.com"><p>href="http://text.net/"</p>"""
+    pages = spark.createDataFrame([(1, "http://a.com/", html), (2, "http://a.com/2", "<a href=/z>"), (3, "http://d.com/", None), (4, None, "<a href=/z>")], "page_id bigint, url string, html string")
+    assert {(r.src, r.dst): r.n for r in urls.host_edges(pages).collect()} == {("a.com", "a.com"): 4, ("a.com", "cdn.org"): 1, ("a.com", "b.com"): 2}
+
+
 def test_derivatives_link_back(spark):
     rows = [(1, "http://a/", "<html><script>x<y</script><p>A &amp;lt; B</p><!-- c --></html>"), (2, None, None), (2, None, None), (3, "http://b/", "é" * 50000)]
     source = warc.responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
