@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -269,7 +270,7 @@ def sniff_media(df: DataFrame, content: str, declared: str, key: str) -> DataFra
                 got = [_judged(b, d) for b, d in zip(part["_content"].to_pylist(), part["_declared"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["_key"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], ITEMS)], ["_key", "detected", "corrected", "items"])
 
-    kind = df.schema[key].dataType.simpleString()
+    kind = df.schema[_free_key(key, ("detected", "corrected", "items"))].dataType.simpleString()
     return df.select(F.col(key).alias("_key"), F.col(content).cast("binary").alias("_content"), F.col(declared).alias("_declared")).mapInArrow(run, f"_key {kind}, {_SNIFFED}").withColumnRenamed("_key", key)
 
 
@@ -278,8 +279,23 @@ def carve_media(df: DataFrame, content: str, items: str) -> DataFrame:
     return df.withColumn("item", F.explode(items)).withColumn("carved", F.substring(F.col(content), F.col("item.offset").cast("int") + 1, F.col("item.length").cast("int")))
 
 
+def signal_features(payload: bytes) -> str:
+    """Of 8-bit samples around 128: mean, root of the mean square, peak, crossings of the middle, and different values."""
+    samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    if not len(samples):
+        return "mean=0.000,rms=0.000,peak=0,crossings=0,values=0"
+    above = samples >= 0
+    return f"mean={samples.mean():.3f},rms={np.sqrt((samples * samples).mean()):.3f},peak={np.abs(samples).max()},crossings={np.count_nonzero(above[1:] != above[:-1])},values={np.count_nonzero(np.bincount(samples + 128))}"
+
+
+def _free_key(key: str, taken: tuple[str, ...]) -> str:
+    if key in taken:
+        raise ValueError(f"the key column may not be named {key}")
+    return key
+
+
 def store_media(df: DataFrame, text: str, key: str, unit: int = 64) -> DataFrame:
-    """Store whole texts as media: key, n_bytes, media (a WAV file), payload as read back, and what sniffing says of it.
+    """Store whole texts as media: key, n_bytes, media (a WAV file), payload as read back, what sniffing says of it, and features of its samples.
 
     The payload is carved from the stored form at the place that sniffing found, so a wrong declared type does no harm.
     """
@@ -292,12 +308,12 @@ def store_media(df: DataFrame, text: str, key: str, unit: int = 64) -> DataFrame
                 got = [_judged(m, "text/plain") for m in media]
                 back = [from_wav(m[g[2][0]["offset"]:g[2][0]["offset"] + g[2][0]["length"]]) for m, g in zip(media, got, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part["_key"], pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary()), pa.array(back, pa.binary()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], ITEMS)],
-                    ["_key", "n_bytes", "media", "payload", "detected", "corrected", "items"],
+                    [part["_key"], pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary()), pa.array(back, pa.binary()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], ITEMS), pa.array(map(signal_features, back), pa.string())],
+                    ["_key", "n_bytes", "media", "payload", "detected", "corrected", "items", "signal"],
                 )
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_bytes bigint, media binary, payload binary, {_SNIFFED}").withColumnRenamed("_key", key)
+    kind = df.schema[_free_key(key, ("n_bytes", "media", "payload", "detected", "corrected", "items", "signal"))].dataType.simpleString()
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_bytes bigint, media binary, payload binary, {_SNIFFED}, signal string").withColumnRenamed("_key", key)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -306,5 +322,5 @@ def media_digests(docs: DataFrame) -> DataFrame:
     items = F.transform("items", lambda x: F.concat(x["type"], F.lit("@"), x["offset"].cast("string"), F.lit("+"), x["length"].cast("string")))
     return store_media(docs, "text", "doc_id").select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
-        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", "detected", F.array_join(items, ",")).alias("feature"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", "detected", F.array_join(items, ","), "signal").alias("feature"),
     )

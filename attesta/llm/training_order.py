@@ -1,8 +1,8 @@
 """Token-id output in training order.
 
 Texts become token ids, cut into sequences of a fixed length (the last one of a text is padded).
-Sequences are numbered by (doc_id, hash of the text, place in the text), so the numbers depend on
-the data alone. A keyed Feistel permutation over the next power of four, walked along its cycle
+Sequences are numbered by (doc_id, 128-bit hash of the text, place in the text), so the numbers depend
+on the data alone. A keyed Feistel permutation over the next power of four, walked along its cycle
 until it lands inside, gives each number its global slot: a bijection that any task computes alone.
 Slots are dealt by range to shards, one task a shard, which writes records of a fixed stride:
 
@@ -38,8 +38,8 @@ MAGIC = b"SEQSHARD"
 HEADER = "<8sIIIQQQQQ4x"
 RECORD = np.dtype([("doc_id", "<i8"), ("place", "<i4"), ("used", "<i4")])
 NULL_ID = -(1 << 63)
-#: First numbers of up to this many documents are broadcast (64 MB at most); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: First numbers of up to this many documents are broadcast (about 140 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -81,22 +81,27 @@ def _tokens(a: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(f"<u{width}"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
+def _hashes(text: str) -> tuple[Column, Column]:
+    """Two hashes of a text or of ids, with different seeds."""
+    return F.xxhash64(text).alias("hash"), F.xxhash64(F.lit("again"), text).alias("hash2")
+
+
 def number_sequences(docs: DataFrame, text: str, key: str, length: int, buckets: int = 1024) -> tuple[DataFrame, int, int]:
-    """doc, hash, tokens and first (the number of the first sequence) of each different row, the count of all sequences, and a fingerprint of the rows.
+    """doc, hash, hash2, tokens and first (the number of the first sequence) of each different row, the count of all sequences, and a fingerprint of the rows.
 
     text: a column of texts, whose bytes are the tokens, or of ids.
 
     Running sums inside hash buckets, on top of the sums of the buckets before: only `buckets` rows meet in one task.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("hash"), _count(docs, text).alias("tokens")).distinct()
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), *_hashes(text), _count(docs, text).alias("tokens")).distinct()
     rows = materialize(rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("tokens") / length)).cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("doc", "hash"), F.lit(buckets))), "order-documents")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("bucket").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
-    fingerprint = rows.agg(F.bit_xor(F.xxhash64("doc", "hash", "tokens"))).first()[0] or 0
+    fingerprint = rows.agg(F.bit_xor(F.xxhash64("doc", "hash", "hash2", "tokens"))).first()[0] or 0
     base = sums.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("bucket").orderBy("doc", "hash", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(rows.join(F.broadcast(base), "bucket").select("doc", "hash", "tokens", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")), "order-numbers"), int(total), fingerprint & (1 << 64) - 1
+    inside = Window.partitionBy("bucket").orderBy("doc", "hash", "hash2", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(rows.join(F.broadcast(base), "bucket").select("doc", "hash", "hash2", "tokens", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("first")), "order-numbers"), int(total), fingerprint & (1 << 64) - 1
 
 
 def _filesystem(uri: str):
@@ -119,8 +124,8 @@ def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_
     numbers, total, fingerprint = number_sequences(docs, text, key, length)
     stride = RECORD.itemsize + length * width
     numbers = F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
-    own = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"), _count(docs, text).alias("_count"))
-    named = own.join(numbers, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("hash")) & (F.col("_count") == F.col("tokens"))).select("_doc", "_text", "first")
+    own = docs.select(F.col(key).cast("bigint").alias("_doc"), F.col(text).alias("_text"), *(h.alias(f"_hash{i}") for i, h in enumerate(_hashes(text))), _count(docs, text).alias("_count"))
+    named = own.join(numbers, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash0") == F.col("hash")) & (F.col("_hash1") == F.col("hash2")) & (F.col("_count") == F.col("tokens"))).select("_doc", "_text", "first")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -202,7 +207,8 @@ def read_shards(manifest: DataFrame, first: int = 0, last: int | None = None) ->
                         a += n
 
     wanted = manifest.where((F.col("first_slot") + F.col("sequences") > first) & (F.lit(True) if last is None else F.col("first_slot") <= last)).select("shard", "path")
-    return wanted.repartition("shard").mapInArrow(run, "slot bigint, shard bigint, offset bigint, doc_id bigint, place int, n_tokens bigint, tokens binary")
+    tasks = max(1, min(wanted.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))  # a shard is a file; a task reads whole ones
+    return wanted.repartitionByRange(tasks, "shard").mapInArrow(run, "slot bigint, shard bigint, offset bigint, doc_id bigint, place int, n_tokens bigint, tokens binary")
 
 
 def training_order(spark: SparkSession, docs: DataFrame, text: str = "text", length: int = 1024, shard_sequences: int = 8192, seed: int = 1, width: int = 4) -> DataFrame:

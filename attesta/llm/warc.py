@@ -4,6 +4,10 @@ Responses become two linked records each: a metadata record that keeps the sourc
 digests, and a plain-text conversion record. Both name the response they come from in
 WARC-Refers-To. Everything is column expressions: one pass over the pages, no shuffle.
 
+Pages may bring their own headers (a map) and date; without them the headers are those of an HTML
+page of that length, and the date is the parameter's. Columns of the input that are named like a
+record's own are left out of the derivatives.
+
 Null html is an empty payload with an empty conversion; a null url stays null in the records, and
 its response id is made from the page id alone. Repeated pages give repeated records.
 """
@@ -13,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a derivative beside the keys.
+RECORD = ("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_payload_digest", "source_headers", "block", "_text", "r")
 #: What is not text: scripts, styles, comments, any other tag.
 MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
 #: Entities that are decoded, &amp; last.
@@ -37,11 +43,17 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
-def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of raw pages: record_id, target_uri, date, http_headers (map), payload and payload_digest."""
+def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", headers_column: str | None = None, date_column: str | None = None) -> DataFrame:
+    """Response records of raw pages: record_id, target_uri, date, http_headers (map), payload and payload_digest.
+
+    headers_column: a map of the headers that came with the page; date_column: when (a timestamp). Null ones get the default.
+    """
     payload = F.coalesce("html", F.lit(""))
     headers = F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("Content-Length"), F.octet_length(payload).cast("string"))
-    return pages.select("page_id", record_id(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), headers.alias("http_headers"), payload.alias("payload"), digest(payload).alias("payload_digest"))
+    if headers_column:
+        headers = F.coalesce(F.col(headers_column), headers)
+    when = F.coalesce(F.date_format(date_column, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date)) if date_column else F.lit(date)
+    return pages.select("page_id", record_id(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), when.alias("date"), headers.alias("http_headers"), payload.alias("payload"), digest(payload).alias("payload_digest"))
 
 
 def derivatives(response: DataFrame) -> DataFrame:
@@ -50,7 +62,7 @@ def derivatives(response: DataFrame) -> DataFrame:
     Other columns of the input (its key) are kept in front.
     """
     own = ["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"]
-    keys = [c for c in response.columns if c not in own]
+    keys = [c for c in response.columns if c not in own and c not in RECORD]
     text = plain_text(F.col("payload"))
     lines = F.concat_ws("\r\n", F.transform(F.map_entries("http_headers"), lambda e: F.concat(F.lit("source-header: "), e["key"], F.lit("="), e["value"])))
     facts = F.concat(lines, F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\ntext-digest: "), digest(F.col("_text")), F.lit("\r\n"))
