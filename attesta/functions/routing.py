@@ -58,3 +58,10 @@ def route(text: Column, nearest: Column | None = None) -> Column:
     for intent, pattern in KEYWORDS:
         out = out.when(text.rlike(pattern), pair(intent))
     return out.when(text.rlike(DOMAIN), pair("qa")).otherwise(pair(F.lit("out_of_scope") if nearest is None else nearest))
+
+
+def route_with_context(text: Column, context: Column) -> Column:
+    """The route of a text; one out of scope, but not plainly unrelated, is tried once more together with the conversation before it."""
+    first, again = route(text), route(F.concat(text, F.lit("\nPrior topic: "), context))
+    retry = (first["intent"] == "out_of_scope") & (F.coalesce(context, F.lit("")) != "") & ~text.rlike(UNRELATED)
+    return F.when(retry, again).otherwise(first)

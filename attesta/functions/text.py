@@ -103,31 +103,57 @@ def section_refs(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SECTION), F.lit(1)), lambda c: F.concat(F.lit("section "), F.lower(c))))
 
 
+def _fold_words(words: Column) -> Column:
+    """The number that a row of number words says: multipliers scale all that is before them, so `two lakh fifty` is 200050 and
+    `one lakh two thousand` is 100002000. Null beyond the range of a bigint."""
+    plain = F.create_map(*[F.lit(x) for pair in {**ONES, **TENS, **ORDINALS}.items() for x in pair])
+    times = F.create_map(*[F.lit(x) for pair in MULTIPLIERS.items() for x in pair])
+    scaled = lambda a, w: F.try_multiply(F.when(a == 0, F.lit(1).cast("bigint")).otherwise(a), F.try_element_at(times, w).cast("bigint"))
+    step = lambda a, w: F.when(F.map_contains_key(times, w), scaled(a, w)).otherwise(F.try_add(a, F.coalesce(F.try_element_at(plain, w), F.lit(0)).cast("bigint")))
+    return F.aggregate(words, F.lit(0).cast("bigint"), step)
+
+
 def numbers(text: Column) -> Column:
-    """Distinct numbers of a text as digits: figures without commas and blanks, ordinals, and number words."""
+    """Distinct numbers of a text as digits: figures without commas and blanks, ordinals, and number words. Words for a number beyond a bigint are left out."""
     figures = F.transform(F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0)), lambda m: F.regexp_replace(m, r"[,\s]", ""))
     ordinals = F.regexp_extract_all(text, F.lit(r"(?i)\b(\d+)(?:st|nd|rd|th)\b"), F.lit(1))
     start, go_on = [sorted(words, key=lambda w: (-len(w), w)) for words in ({**ONES, **TENS, **MULTIPLIERS, **ORDINALS}, {**ONES, **TENS, **MULTIPLIERS})]
     phrases = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{'|'.join(start)})(?:[\s-](?:{'|'.join(go_on)}))*\b"), F.lit(0))
-    plain = F.create_map(*[F.lit(x) for pair in {**ONES, **TENS, **ORDINALS}.items() for x in pair])
-    times = F.create_map(*[F.lit(x) for pair in MULTIPLIERS.items() for x in pair])
-    fold = lambda a, w: F.when(F.map_contains_key(times, w), F.when(a == 0, 1).otherwise(a) * F.try_element_at(times, w)).otherwise(a + F.coalesce(F.try_element_at(plain, w), F.lit(0)))
-    words = F.transform(phrases, lambda p: F.aggregate(F.split(F.lower(p), r"[\s-]+"), F.lit(0), lambda a, w: fold(a, w).cast("int")).cast("string"))
-    return F.array_distinct(F.concat(figures, ordinals, words))
+    words = F.transform(phrases, lambda p: _fold_words(F.split(F.lower(p), r"[\s-]+")).cast("string"))
+    return F.array_distinct(F.concat(figures, ordinals, F.filter(words, lambda w: w.isNotNull())))
 
 
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def numbers_ok(claim: Column, premise: Column) -> Column:
-    """Every number of the claim, section references aside, is in the premise."""
+def named_titles(claim: Column, labels: Column) -> Column:
+    """The cited titles that the claim names, with or without a leading `the`, joined by blanks; only titles that hold a year.
+
+    labels: an array of citation labels; a title is what stands before the dash.
+    """
+    titles = F.transform(labels, lambda x: F.trim(F.split_part(x, F.lit(" — "), F.lit(1))))
+    names = lambda t: (t != "") & F.contains(F.lower(claim), F.lower(t))
+    return F.array_join(F.filter(titles, lambda t: t.rlike(YEAR) & (names(t) | names(F.regexp_replace(t, r"(?i)^the\s+", "")))), " ")
+
+
+def numbers_ok(claim: Column, premise: Column, titles: Column | None = None) -> Column:
+    """Every number of the claim, section references aside, is in the premise or in the titles that the claim names."""
     bare = lambda t: F.regexp_replace(t, SECTION, " ")
-    return subset(numbers(bare(claim)), numbers(bare(premise)))
+    known = premise if titles is None else F.concat_ws(" ", premise, titles)
+    return subset(numbers(bare(claim)), numbers(bare(known)))
+
 
+def dates_ok(claim: Column, premise: Column, titles: Column | None = None) -> Column:
+    return subset(years(claim), years(premise if titles is None else F.concat_ws(" ", premise, titles)))
 
-def dates_ok(claim: Column, premise: Column) -> Column:
-    return subset(years(claim), years(premise))
+
+def cited_locators(section_key: Column) -> Column:
+    """`section 25`, `section 25(3)`, `section 25(3)(a)` of a key like `act#s25(3)(a)`: the section and each clause around the cited one, lower-case."""
+    clause = F.lower(F.regexp_extract(section_key, r"(?s)^.*#s(\d+[A-Za-z]*(?:\([A-Za-z0-9]+\))*)", 1))
+    inner = F.regexp_extract_all(clause, F.lit(r"\([A-Za-z0-9]+\)"), F.lit(0))
+    head = F.concat(F.lit("section "), F.regexp_extract(clause, r"^(\d+[A-Za-z]*)", 1))
+    return F.when(clause != "", F.transform(F.sequence(F.lit(0), F.size(inner)), lambda i: F.concat(head, F.array_join(F.slice(inner, F.lit(1), i), "")))).otherwise(F.array().cast("array<string>"))
 
 
 def section_refs_ok(claim: Column, premise: Column, located: Column | None = None) -> Column:
@@ -147,10 +173,10 @@ def modal_ok(claim: Column, premise: Column) -> Column:
     return ~((c_shall & p_may & ~p_shall) | (c_may & p_shall & ~p_may))
 
 
-def claim_verdict(entailment: Column, claim: Column, premise: Column) -> Column:
-    """verified, partial, or why the claim is dropped."""
+def claim_verdict(entailment: Column, claim: Column, premise: Column, titles: Column | None = None, located: Column | None = None) -> Column:
+    """verified, partial, or why the claim is dropped. titles: those that the claim names; located: section references that the citations prove."""
     return (
-        F.when(entailment < 0.5, "nli_below_threshold").when(~numbers_ok(claim, premise), "unsupported_number").when(~dates_ok(claim, premise), "unsupported_date").when(~section_refs_ok(claim, premise), "unsupported_section_reference")
+        F.when(entailment < 0.5, "nli_below_threshold").when(~numbers_ok(claim, premise, titles), "unsupported_number").when(~dates_ok(claim, premise, titles), "unsupported_date").when(~section_refs_ok(claim, premise, located), "unsupported_section_reference")
         .when((entailment >= 0.8) & negation_ok(claim, premise) & modal_ok(claim, premise), "verified").otherwise("partial")
     )
 
@@ -158,3 +184,81 @@ def claim_verdict(entailment: Column, claim: Column, premise: Column) -> Column:
 def evidence_id(chunk: Column, start: Column, end: Column) -> Column:
     """ev_ and 12 hex digits of sha256(chunk:start:end)."""
     return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws(":", chunk, start.cast("string"), end.cast("string")), 256), 1, 12))
+
+
+def section_order(number: Column) -> Column:
+    """A number to sort sections by: the digits, and a tenth for each letter of the alphabet up to the first letter after them."""
+    letter = F.regexp_extract(number, r"^\d+([A-Z])", 1)
+    return F.coalesce(F.try_to_number(F.regexp_extract(number, r"^(\d+)", 1), F.lit("999999999")).cast("double"), F.lit(0.0)) + F.when(letter != "", (F.ascii(letter) - 64) / 10.0).otherwise(0.0)
+
+
+def is_ancestor(parent: Column, child: Column) -> Column:
+    """Whether a path (array) is nonempty, shorter than another and its beginning."""
+    return (F.size(parent) > 0) & (F.size(parent) < F.size(child)) & (F.slice(child, F.lit(1), F.size(parent)) == parent)
+
+
+def embed_text(path: Column, body: Column) -> Column:
+    """The heading path over the body; the body alone without a path."""
+    return F.when(F.size(path) > 0, F.concat(F.array_join(path, " > "), F.lit("\n"), body)).otherwise(body)
+
+
+def citation_label(title: Column, section_key: Column, heading: Column) -> Column:
+    """Title and clause, else title and heading, else the title."""
+    clause = F.regexp_extract(section_key, r"#s(.+)$", 1)
+    return F.when(clause != "", F.concat(title, F.lit(" — s."), clause)).when(F.coalesce(heading, F.lit("")) != "", F.concat(title, F.lit(" — "), heading)).otherwise(title)
+
+
+def receipt_id(seq: Column, namespace: str | None = None) -> Column:
+    return F.concat(F.lit(f"rcp_{namespace}_" if namespace else "rcp_"), seq.cast("string"))
+
+
+def receipt_seq(receipt: Column, namespace: str | None = None) -> Column:
+    """The number in a receipt id; null for what is none, or of another namespace."""
+    return F.regexp_extract(receipt, rf"^rcp_{namespace + '_' if namespace else ''}(-?\d{{1,18}})$", 1).try_cast("bigint")
+
+
+def ticket_id(*parts: Column) -> Column:
+    """tkt_ and 12 hex digits of the sha256 of the parts."""
+    return F.concat(F.lit("tkt_"), F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 12))
+
+
+def mask_terms(text: Column, terms: list[str]) -> Column:
+    """A struct (masked, restore): each term of the list that the text holds, in any case, becomes a placeholder; restore maps placeholders back."""
+    named = {f"__TERM_{i}__": t for i, t in enumerate(terms)}
+    masked = reduce(lambda out, item: F.regexp_replace(out, rf"(?i)\Q{item[1]}\E", item[0]), named.items(), text)
+    found = F.array(*[F.when(F.contains(F.lower(text), F.lit(t.lower())), F.struct(F.lit(k).alias("k"), F.lit(t).alias("v"))) for k, t in named.items()]) if named else F.array().cast("array<struct<k:string,v:string>>")
+    return F.struct(masked.alias("masked"), F.map_from_entries(F.filter(found, lambda x: x.isNotNull())).alias("restore"))
+
+
+def unmask(text: Column, restore: Column) -> Column:
+    return F.aggregate(F.map_entries(restore), text, lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
+def segments(text: Column, limit: int = 1800) -> Column:
+    """Pieces of at most limit characters at sentence or word ends; only words that are longer themselves are cut. White space between words becomes one blank.
+
+    A text within the limit is one piece as it is.
+    """
+    none = F.array().cast("array<string>")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    flushed = lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+    joined = lambda a, w: F.when(a["now"] == "", w).otherwise(F.concat(a["now"], F.lit(" "), w))
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.substr(w, i * limit + 1, F.lit(limit)))
+
+    def add_word(a, w):
+        return F.when(F.length(w) > limit, state(F.concat(flushed(a), cut(w)), F.lit(""))).when(F.length(joined(a, w)) <= limit, state(a["done"], joined(a, w))).otherwise(state(flushed(a), w))
+
+    def pack(items, step):
+        return F.aggregate(items, state(none, F.lit("")), step, flushed)
+
+    sentences = F.split(text, r"(?<=[.!?])\s+|\n+")
+    parts = F.flatten(F.transform(sentences, lambda x: pack(F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""), add_word)))
+    packed = pack(parts, lambda a, x: F.when(F.length(joined(a, x)) <= limit, state(a["done"], joined(a, x))).otherwise(state(flushed(a), x)))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
+
+
+def glossary(text: Column, terms: list[tuple[str, dict[str, str]]], lang: str) -> Column:
+    """An array of (term, gloss) of the terms that occur in the text and have a gloss in the language; none for English."""
+    own = [(t, glosses[lang]) for t, glosses in terms if lang != "en" and glosses.get(lang)]
+    rows = [F.when(F.contains(F.lower(text), F.lit(t.lower())), F.struct(F.lit(t).alias("term"), F.lit(g).alias("gloss"))) for t, g in own]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull()) if rows else F.array().cast("array<struct<term:string,gloss:string>>")

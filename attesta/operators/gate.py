@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Requests that are broadcast at most, and parts that a jurisdiction's chunks are dealt to beyond that.
+BROADCAST_ROWS, SALTS = 200_000, 64
+
+
 def valid_on(day: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
     """Half-open validity: start <= day < end, an absent end is open."""
     return (F.col(start) <= day) & (F.col(end).isNull() | (F.col(end) > day))
@@ -18,8 +22,15 @@ def gate(chunks: DataFrame, version: str, jurisdictions: list[str], as_of: str,
 
 
 def gate_requests(requests: DataFrame, chunks: DataFrame, version: str = "live") -> DataFrame:
-    """Each request (jurisdiction, as_of) with every chunk it may see: an equi-join by jurisdiction with the validity as residual."""
-    return chunks.where(F.col("version") == version).join(requests, "jurisdiction").where(valid_on(F.col("as_of")))
+    """Each request (jurisdiction, as_of) with every chunk it may see: an equi-join by jurisdiction with the validity as residual.
+
+    There are few jurisdictions, so beyond a broadcast of the requests both sides are salted: a chunk goes to one of SALTS parts of its jurisdiction, a request to all.
+    """
+    held = chunks.where(F.col("version") == version)
+    if requests.count() <= BROADCAST_ROWS:
+        return held.join(F.broadcast(requests), "jurisdiction").where(valid_on(F.col("as_of")))
+    dealt = requests.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return held.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(dealt, ["jurisdiction", "_salt"]).where(valid_on(F.col("as_of"))).drop("_salt")
 
 
 def regate(candidates: DataFrame, gated: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,3 +41,14 @@ def regate(candidates: DataFrame, gated: DataFrame, keys: list[str]) -> DataFram
 def missing_instruments(requested: str, available: str) -> Column:
     """Whether a request names an instrument that the corpus lacks."""
     return F.size(F.array_except(requested, available)) > 0
+
+
+def default_day(as_of: Column, today: str) -> Column:
+    """The day of a request, or an injected today if it names none."""
+    return F.coalesce(as_of, F.lit(today).cast("date"))
+
+
+def listed(documents: DataFrame, jurisdiction: str | None = None, doc_type: str | None = None) -> DataFrame:
+    """Documents by optional filters; BOTH and null take any jurisdiction."""
+    kept = documents if jurisdiction in (None, "BOTH") else documents.where(F.col("jurisdiction") == jurisdiction)
+    return kept if doc_type is None else kept.where(F.col("doc_type") == doc_type)

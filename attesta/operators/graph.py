@@ -34,3 +34,31 @@ def resolve_edges(edges: DataFrame, nodes: DataFrame, key: str) -> tuple[DataFra
     known = nodes.select(F.col(key).alias("_k")).distinct()
     kept = edges.join(known, F.col("src") == F.col("_k"), "left_semi").join(known, F.col("dst") == F.col("_k"), "left_semi")
     return kept, edges.join(kept, edges.columns, "left_anti")
+
+
+def related(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, kinds: list[str], depth: int = 4, hops: int = 1) -> DataFrame:
+    """seed and reached: ancestors of each seed and what typed edges lead to, each once and without the seed itself. seeds: seed."""
+    own = seeds.select("seed").distinct()
+    up = ancestors(nodes, own.select(F.col("seed").alias("id")), depth).select("seed", F.col("ancestor").alias("reached"))
+    out = expand(own.withColumn("node", F.col("seed")), edges, kinds, hops).select("seed", "reached")
+    return up.unionByName(out).where("seed <> reached").distinct()
+
+
+def orphan_parts(keys: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Keys of provisos and explanations that no proviso edge leads to."""
+    targets = edges.where("kind = 'proviso_of'").select(F.col("dst").alias(key)).distinct()
+    return keys.where(F.col(key).rlike("-(proviso|explanation)$")).join(targets, key, "left_anti").select(key)
+
+
+def load_sections(units: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sections (units with section_id and parent_id), edges by ids, and the dropped edges (an end that isn't there).
+
+    A section's id is made of its document and key, so loading again gives the same ids; a parent key that isn't there gives a null parent.
+    """
+    made = lambda doc, key: F.substring(F.sha2(F.concat_ws("|", doc, key), 256), 1, 32)
+    sections = units.withColumn("section_id", made(F.col("doc").cast("string"), F.col("key")))
+    ids = sections.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), F.col("section_id").alias("_id")).distinct()
+    parented = sections.join(ids, (F.col("doc") == F.col("_d")) & (F.col("parent") == F.col("_k")), "left").withColumnRenamed("_id", "parent_id").drop("_d", "_k")
+    met = edges.join(ids.select(F.col("_d").alias("doc"), F.col("_k").alias("src"), F.col("_id").alias("src_id")), ["doc", "src"], "left").join(ids.select(F.col("_d").alias("doc"), F.col("_k").alias("dst"), F.col("_id").alias("dst_id")), ["doc", "dst"], "left")
+    whole = F.col("src_id").isNotNull() & F.col("dst_id").isNotNull()
+    return parented, met.where(whole).select("doc", "src_id", "dst_id", "kind"), met.where(~whole).select("doc", "src", "dst", "kind")

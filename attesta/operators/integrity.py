@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attesta.functions.payload import canonical_json, canonical_result
+from attesta.functions.text import receipt_id
 from attesta.session import shared_dir
 
 GENESIS = "0" * 64
@@ -24,13 +30,26 @@ def pair_hash(left: Column, right: Column) -> Column:
 def chain(entries: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
     """key, seq, prev_hash and entry_hash: each entry hashes the one before it and its own payload, a chain for each key.
 
-    The chain is sequential by nature, so a key's entries are folded in one row; a key is one chain with one writer.
+    A chain is sequential by nature, so a key's entries stay in one task; they stream through it in their order, and only the
+    last hash is kept. A null payload hashes like an empty one; entries with a null key are a chain of their own.
     """
-    ordered = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(payload).alias("payload")))).alias("e"))
-    start = F.array(F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("prev"), F.lit(GENESIS).alias("hash")))
-    fold = lambda a, x: F.concat(a, F.array(F.struct(x["seq"].cast("bigint").alias("seq"), F.element_at(a, -1)["hash"].alias("prev"), sha(F.concat(F.element_at(a, -1)["hash"], x["payload"])).alias("hash"))))
-    linked = ordered.select(key, F.explode(F.slice(F.aggregate("e", start, fold), 2, F.size("e"))).alias("c"))
-    return linked.select(key, F.col("c.seq").alias(seq), F.col("c.prev").alias("prev_hash"), F.col("c.hash").alias("entry_hash"))
+    rows = entries.select(F.col(key).alias("_k"), F.col(seq).cast("bigint").alias("_s"), F.coalesce(F.col(payload), F.lit("")).alias("_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hash_ = object(), GENESIS
+        for batch in batches:
+            before, after = [], []
+            for k, text in zip(batch["_k"].to_pylist(), batch["_p"].to_pylist(), strict=True):
+                if k != last:
+                    last, hash_ = k, GENESIS
+                before.append(hash_)
+                hash_ = hashlib.sha256((hash_ + text).encode()).hexdigest()
+                after.append(hash_)
+            yield pa.RecordBatch.from_arrays([batch["_k"], batch["_s"], pa.array(before, pa.string()), pa.array(after, pa.string())], ["_k", "_s", "prev_hash", "entry_hash"])
+
+    kind = entries.schema[key].dataType.simpleString()
+    linked = rows.repartition("_k").sortWithinPartitions("_k", "_s", "_p").mapInArrow(run, f"_k {kind}, _s bigint, prev_hash string, entry_hash string")
+    return linked.select(F.col("_k").alias(key), F.col("_s").alias(seq), "prev_hash", "entry_hash")
 
 
 def chain_breaks(chained: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
@@ -40,16 +59,27 @@ def chain_breaks(chained: DataFrame, key: str, seq: str, payload: str) -> DataFr
     return checked.drop("_b")
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str = "i") -> DataFrame:
+    """rows with their place from 0 among those of their key, in the order of a column.
+
+    Rows are dealt to tasks by ranges of (key, order) and numbered inside each range, on top of the sizes of the ranges before:
+    no task holds all rows of a key.
+    """
+    shared_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    return ranged.withColumn("_at", inside).join(sizes, [key, "_range"]).withColumn(name, (F.col("_base") + F.col("_at")).cast("bigint")).drop("_range", "_at", "_base")
+
+
 def _level(nodes: DataFrame) -> DataFrame:
     """The next level of a tree (tree, i, hash): neighbours are hashed together, an odd one is carried up."""
     both = nodes.groupBy("tree", F.floor(F.col("i") / 2).cast("bigint").alias("i")).agg(F.min_by("hash", "i").alias("l"), F.max_by("hash", "i").alias("r"), F.count("*").alias("n"))
     return both.select("tree", "i", F.when(F.col("n") == 1, F.col("l")).otherwise(pair_hash(F.col("l"), F.col("r"))).alias("hash"))
 
 
-def merkle_levels(leaves: DataFrame, tree: str, order: str, leaf: str) -> list[DataFrame]:
-    """Levels (tree, i, hash) from the leaves to the roots. Each level halves the rows; levels are checkpointed, as the next ones use them twice."""
-    shared_dir(leaves.sparkSession)
-    level = leaves.select(F.col(tree).alias("tree"), (F.row_number().over(Window.partitionBy(tree).orderBy(order)) - 1).cast("bigint").alias("i"), F.col(leaf).alias("hash")).checkpoint()
+def _levels(level: DataFrame) -> list[DataFrame]:
     levels = [level]
     most = level.agg(F.max("i")).first()[0] or 0
     while most > 0:
@@ -59,15 +89,22 @@ def merkle_levels(leaves: DataFrame, tree: str, order: str, leaf: str) -> list[D
     return levels
 
 
+def merkle_levels(leaves: DataFrame, tree: str, order: str, leaf: str) -> list[DataFrame]:
+    """Levels (tree, i, hash) from the leaves to the roots. Each level halves the rows; levels are checkpointed, as the next ones use them twice."""
+    rows = leaves.select(F.col(tree).alias("tree"), F.col(order).alias("o"), F.col(leaf).alias("hash"))
+    return _levels(numbered(rows, "tree", "o").select("tree", "i", "hash").checkpoint())
+
+
 def merkle_roots(leaves: DataFrame, tree: str, order: str, leaf: str) -> DataFrame:
     """tree and root. Trees of one key are reduced level by level, all trees at once."""
     return merkle_levels(leaves, tree, order, leaf)[-1].select(F.col("tree").alias(tree), F.col("hash").alias("root"))
 
 
-def merkle_proofs(leaves: DataFrame, tree: str, order: str, leaf: str) -> DataFrame:
-    """tree, i, leaf and proof: an array of (level, sibling, left), left if the sibling stands left. A carried node has no step."""
-    levels = merkle_levels(leaves, tree, order, leaf)
-    own = levels[0].withColumnRenamed("hash", "leaf")
+def merkle_proofs(leaves: DataFrame, tree: str, order: str, leaf: str, keep: list[str] | None = None) -> DataFrame:
+    """tree, i, leaf (and, if asked for, the order column by its name) and proof: an array of (level, sibling, left), left if the sibling stands left. A carried node has no step."""
+    numbers = numbered(leaves.select(F.col(tree).alias("tree"), F.col(order).alias("o"), F.col(leaf).alias("hash")), "tree", "o").checkpoint()
+    levels = _levels(numbers.select("tree", "i", "hash"))
+    own = numbers.select("tree", "i", F.col("hash").alias("leaf"), *([F.col("o").alias(order)] if keep else []))
     steps = None
     for k, level in enumerate(levels[:-1]):
         at = own.select("tree", "i", F.floor(F.col("i") / 2**k).cast("bigint").alias("at")).withColumn("other", F.when(F.col("at") % 2 == 0, F.col("at") + 1).otherwise(F.col("at") - 1))
@@ -90,6 +127,68 @@ def receipt_check(spans: DataFrame, chunks: DataFrame, chunk: str, digest: str,
     return spans.join(now, F.col(chunk) == F.col("_c"), "left").withColumn("in_corpus", F.col("_c").isNotNull()).withColumn("text_valid", F.coalesce(F.col("_d") == F.col(digest), F.lit(False))).drop("_c", "_d")
 
 
+def audit_entries(results: DataFrame) -> DataFrame:
+    """results with entry (canonical JSON of what the chain binds) and result_hash.
+
+    results: request_id, corpus_version, query_hash, spans (array of evidence_id, chunk_id, sha256), model_ids (struct), prompt_version,
+    result and request (JSON texts, request may be null), ts. Only hashes of result and request enter the chain.
+    """
+    hashed = lambda c: F.when(F.col(c).isNotNull(), sha(canonical_json(F.col(c))))
+    named = results.withColumn("result_hash", hashed("result")).withColumn("_request", hashed("request"))
+    entry = F.struct(
+        F.transform("spans", lambda x: x["sha256"]).alias("chunk_hashes"), "corpus_version", "model_ids", "prompt_version", "query_hash", "request_id", F.col("_request").alias("request_payload_hash"), "result_hash",
+        F.get_json_object("result", "$.receipt_id").alias("result_receipt_field"), F.transform("spans", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["evidence_id"].alias("evidence_id"), x["sha256"].alias("sha256"))).alias("spans"), "ts")
+    return named.withColumn("entry", canonical_json(F.to_json(entry, {"ignoreNullFields": "false"}))).drop("_request")
+
+
+def build_receipts(results: DataFrame, log: str, seq: str) -> DataFrame:
+    """results with entry, result_hash, prev_hash, entry_hash and receipt_id; entries of one log are one chain, ordered by seq."""
+    entries = audit_entries(results)
+    linked = chain(entries, log, seq, "entry")
+    return entries.join(linked, [log, seq]).withColumn("receipt_id", receipt_id(F.col(seq)))
+
+
+def verify_receipts(receipts: DataFrame, log: str, seq: str, chunks: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whether each receipt's chain is whole up to it (log, seq, chain_valid), and its spans with in_corpus and proof_valid.
+
+    chunks: corpus_version, chunk_id, text and sha256 (the leaf as it was stored); roots: corpus_version, root. A span's proof is led
+    from the hash of the text as it is now, so a changed text fails even where the stored leaf is untouched.
+    """
+    entry_ok = F.col("entry_hash") == sha(F.concat("prev_hash", "entry"))
+    link_ok = F.col("prev_hash") == F.coalesce(F.lag("entry_hash").over(Window.partitionBy(log).orderBy(seq)), F.lit(GENESIS))
+    sofar = Window.partitionBy(log).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    chained = receipts.withColumn("_ok", entry_ok & link_ok).select(log, seq, F.min("_ok").over(sofar).alias("chain_valid"))
+    proofs = merkle_proofs(chunks, "corpus_version", "chunk_id", "sha256", keep=["chunk_id"]).join(chunks.select(F.col("corpus_version").alias("tree"), "chunk_id", sha(F.col("text")).alias("now")), ["tree", "chunk_id"]).join(roots.select(F.col("corpus_version").alias("tree"), "root"), "tree")
+    valid = proofs.select(F.col("tree").alias("corpus_version"), "chunk_id", F.col("now"), (proof_root(F.col("now"), F.col("proof")) == F.col("root")).alias("valid"))
+    spans = receipts.select(log, seq, "corpus_version", F.explode("spans").alias("s")).select(log, seq, "corpus_version", "s.evidence_id", "s.chunk_id", "s.sha256")
+    met = spans.join(valid, ["corpus_version", "chunk_id"], "left")
+    return chained, met.select(log, seq, "evidence_id", F.coalesce("now", "sha256").alias("sha256"), F.col("now").isNotNull().alias("in_corpus"), F.coalesce("valid", F.lit(False)).alias("proof_valid"))
+
+
+def result_integrity(results: DataFrame, receipts: DataFrame) -> DataFrame:
+    """request_id and integrity (ok, mismatch, missing): the stored result, with the receipt field that it had when it was hashed, hashes to what the chain holds.
+
+    results: request_id, result (JSON). Receipts bring result_hash and entry; the newest receipt of a request counts.
+    """
+    newest = receipts.groupBy("request_id").agg(F.max_by("result_hash", "seq").alias("_h"), F.max_by("entry", "seq").alias("_e"))
+    restored = canonical_result(F.col("result"), F.get_json_object("_e", "$.result_receipt_field"))
+    return results.join(newest, "request_id", "left").select("request_id", F.when(F.col("_h").isNull(), "missing").when(sha(restored) == F.col("_h"), "ok").otherwise("mismatch").alias("integrity"))
+
+
+def review_root(rows: DataFrame, group: str, key: str, digest: str, located: list[str]) -> DataFrame:
+    """group and root: a Merkle root over each row's key, text digest and the hash of what locates it (columns as canonical JSON)."""
+    named = F.to_json(F.struct(*sorted(located)), {"ignoreNullFields": "false"})
+    leaf = sha(F.concat_ws("|", F.col(key).cast("string"), F.col(digest), sha(named)))
+    return merkle_roots(rows.withColumn("_leaf", leaf), group, key, "_leaf")
+
+
+def set_digest(rows: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
+    """key and digest: a hash of the set of a key's values (repeats count), whatever their order. Values are hashed by buckets first, then the buckets'
+    digests, so that no row holds all values of a key."""
+    parts = rows.groupBy(key, F.pmod(F.xxhash64(value), F.lit(buckets)).alias("_b")).agg(sha(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ",")).alias("_d"))
+    return parts.groupBy(key).agg(sha(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: F.concat_ws(":", x["_b"].cast("string"), x["_d"])), ",")).alias("digest"))
+
+
 def changes(pinned: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     """key and status (added, removed, check_failed, changed, unchanged) of sources with digests; a null digest of a fetched one is a failed check."""
     p, f = pinned.select(key, F.col("digest").alias("_p"), F.lit(True).alias("_in_p")), fetched.select(key, F.col("digest").alias("_f"), F.lit(True).alias("_in_f"))
@@ -98,8 +197,32 @@ def changes(pinned: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
 
 
 def promotion_failures(checks: DataFrame, minimum_recall: float = 0.80) -> DataFrame:
-    """version and failed: every check that keeps a version from going live. checks: version, status, approved_hash, report_hash, issues, recall, root, stored_root."""
+    """version and failed: every check that keeps a version from going live.
+
+    checks: version, status, reviewer, approved_hash, report_hash, issues, recall, leaks, root, stored_root, golden, stored_golden,
+    manifest, stored_manifest, changed_files. Hashes must be equal and present.
+    """
+    differ = lambda a, b: ~F.coalesce(F.col(a) == F.col(b), F.lit(False))
     failed = F.array(
-        F.when(F.col("status") != "staged", "not_staged"), F.when(~F.col("approved_hash").eqNullSafe(F.col("report_hash")), "approval"), F.when(F.col("issues") > 0, "issues"), F.when(F.col("recall") < minimum_recall, "recall"), F.when(~F.col("root").eqNullSafe(F.col("stored_root")), "root")
+        F.when(F.col("status") != "staged", "not_staged"), F.when((F.trim(F.coalesce("reviewer", F.lit(""))) == "") | differ("approved_hash", "report_hash"), "approval"), F.when(F.col("issues") > 0, "issues"),
+        F.when(F.coalesce(F.col("recall") < minimum_recall, F.lit(True)), "recall"), F.when(F.col("leaks") > 0, "leaks"), F.when(differ("root", "stored_root"), "root"), F.when(differ("golden", "stored_golden"), "golden"),
+        F.when(differ("manifest", "stored_manifest"), "manifest"), F.when(F.col("changed_files") > 0, "files"),
     )
     return checks.select("version", F.explode(F.filter(failed, lambda x: x.isNotNull())).alias("failed"))
+
+
+def promote(versions: DataFrame, failures: DataFrame, version: str) -> DataFrame:
+    """versions (version, status) after a promotion: the staged version goes live and the live one retires; nothing changes while a check fails."""
+    blocked = failures.where(F.col("version") == version).limit(1).count() > 0
+    staged = versions.where((F.col("version") == version) & (F.col("status") == "staged")).limit(1).count() > 0
+    if blocked or not staged:
+        return versions
+    return versions.withColumn("status", F.when(F.col("version") == version, "live").when(F.col("status") == "live", "retired").otherwise(F.col("status")))
+
+
+def chunk_invariants(chunks: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """chunks with sha_valid and offset_valid: the text has its digest, and is what the document's text holds from char_start to char_end."""
+    full = documents.select(key, F.col("full_text").alias("_full"))
+    part = F.substr("_full", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    inside = (F.col("char_start") >= 0) & (F.col("char_end") <= F.length("_full"))
+    return chunks.join(full, key, "left").withColumn("sha_valid", F.coalesce(sha(F.col("text")) == F.col("sha256"), F.lit(False))).withColumn("offset_valid", F.coalesce(inside & (part == F.col("text")), F.lit(False))).drop("_full")

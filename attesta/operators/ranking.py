@@ -22,30 +22,117 @@ def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> Da
     return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(asked: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+#: Tables of at most this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, to be broadcast if a count finds at most limit rows."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
+def bm25(asked: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, on: list[str] | None = None, seen: Column | None = None) -> DataFrame:
     """query_id, chunk_id and score of chunks that hold a term of the question (column question). Statistics are those of chunks.
 
-    Only the questions' terms are counted: they are joined to the exploded words before anything is grouped.
+    Only the questions' terms are counted: they are joined to the exploded words before anything is grouped. With on and seen, questions and
+    chunks meet only where these columns of both are equal and the condition (over columns of either) holds; the result then has the columns of
+    on too, and asked may have several rows for a question. Sums are partial before the shuffle.
     """
-    terms = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
+    keys = on or []
+    terms = asked.select("query_id", *[c for c in asked.columns if c not in ("query_id", "question")], F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
+    own = [c for c in chunks.columns if c not in ("chunk_id", "text")] if keys else []
+    words = chunks.select("chunk_id", *own, tokens(F.col("text")).alias("w"))
     stats = words.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    held = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = held.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    held = words.select("chunk_id", *own, F.size("w").alias("dl"), F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+    tf = held.groupBy("term", "chunk_id", "dl", *own).agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "chunk_id", (idf * weight).alias("part"))
-    return scored.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    known = small(df).crossJoin(F.broadcast(stats))
+    scored = tf.join(known, "term").select("term", "chunk_id", *own, (idf * weight).alias("part"))
+    met = scored.join(small(terms), ["term", *keys])
+    return (met if seen is None else met.where(seen)).groupBy("query_id", *keys, "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def full_text(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, exact (the chunk holds every term of the question) and density: a tenth of the terms' occurrences, by the chunk's length.
+
+    Rank by exact, then density.
+    """
+    terms = asked.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("q")).where(F.size("q") > 0)
+    each = small(terms.select("query_id", F.size("q").alias("n"), F.explode("q").alias("term")))
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
+    tf = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    met = tf.join(each, "term").groupBy("query_id", "chunk_id", "dl", "n").agg(F.count("*").alias("met"), F.sum("tf").alias("hits"))
+    return met.select("query_id", "chunk_id", (F.col("met") == F.col("n")).alias("exact"), F.round(0.1 * F.col("hits") / F.col("dl"), 9).alias("density"))
+
+
+def trigram_search(asked: DataFrame, sections: DataFrame, floor: float = 0.2, k: int = 10) -> DataFrame:
+    """query_id, section_id, sim and rank: the k sections whose key or heading is most like the question (column question), above the floor.
+
+    sections: section_id, key, heading. Only pairs that share a trigram are made, and only where the sizes of the sets let the similarity pass.
+    """
+    named = sections.select("section_id", F.explode(F.array(F.struct(F.lit(0).alias("f"), F.col("key").alias("t")), F.struct(F.lit(1).alias("f"), F.coalesce("heading", F.lit("")).alias("t")))).alias("x")).select("section_id", "x.f", trigrams(F.col("x.t")).alias("g"))
+    own = named.select("section_id", "f", F.size("g").alias("kn"), F.explode("g").alias("t"))
+    q = asked.select("query_id", trigrams(F.col("question")).alias("g"))
+    a = q.select("query_id", F.size("g").alias("qn"), F.explode("g").alias("t"))
+    fit = (F.col("kn") * floor < F.col("qn")) & (F.col("qn") * floor < F.col("kn"))
+    shared = own.join(small(a), "t").where(fit).groupBy("query_id", "section_id", "f", "kn", "qn").agg(F.count("*").alias("m"))
+    sims = shared.groupBy("query_id", "section_id").agg(F.round(F.max(F.col("m") / (F.col("kn") + F.col("qn") - F.col("m"))), 6).alias("sim")).where(F.col("sim") > floor)
+    return top_k(sims, ["query_id"], [F.desc("sim"), "section_id"], k)
+
+
+def hybrid_search(dense_hits: DataFrame, keyword_hits: DataFrame, floor: float = 0.45, pool: int = 40, k: int = 8) -> DataFrame:
+    """query_id, bucket, item, rrf and rank: both lists ranked in their bucket (a jurisdiction), the dense one above its floor, fused; the best k of each bucket.
+
+    Both: query_id, bucket, item, score. Equal sums are ordered by the dense rank, then the keyword rank, then the item.
+    """
+    ranked = lambda df: top_k(df, ["query_id", "bucket"], [F.desc("score"), "item"], pool)
+    a = ranked(dense_hits).where(F.col("score") >= floor).select("query_id", "bucket", "item", F.col("rank").alias("d"), F.lit(None).cast("int").alias("w"))
+    b = ranked(keyword_hits).select("query_id", "bucket", "item", F.lit(None).cast("int").alias("d"), F.col("rank").alias("w"))
+    part = lambda c: F.coalesce(1 / (60 + F.max(c)), F.lit(0.0))
+    fused = a.unionByName(b).groupBy("query_id", "bucket", "item").agg(F.round(part("d") + part("w"), 9).alias("rrf"), F.coalesce(F.max("d"), F.lit(1 << 30)).alias("d"), F.coalesce(F.max("w"), F.lit(1 << 30)).alias("w"))
+    return top_k(fused, ["query_id", "bucket"], [F.desc("rrf"), "d", "w", "item"], k).select("query_id", "bucket", "item", "rrf", "rank")
+
+
+def nearest_exemplar(queries: DataFrame, exemplars: DataFrame, floor: float = 0.35, outside: str = "out_of_scope") -> DataFrame:
+    """query_id, intent and score: of the exemplar with the greatest cosine, the first of equal ones; outside below the floor. exemplars: position, intent, vec (a small fixed set)."""
+    scored = dense(queries, exemplars)
+    best = scored.groupBy("query_id").agg(F.max_by(F.struct("intent", "score"), F.struct("score", (-F.col("position")).alias("p"))).alias("b"))
+    return best.select("query_id", F.when(F.col("b.score") >= floor, F.col("b.intent")).otherwise(outside).alias("intent"), F.col("b.score").alias("score"))
+
+
+def matching_models(queries: DataFrame, versions: DataFrame, model: str) -> DataFrame:
+    """Queries whose corpus version was embedded with the model at hand; only these may be searched by vectors."""
+    return queries.join(versions.where(F.col("embedding_model") == model).select("version"), "version", "left_semi")
+
+
+def reranked(ranked: DataFrame, n: int) -> DataFrame:
+    """The first n of each query; their order stays."""
+    return ranked.where(F.col("rank") <= n)
+
+
+#: Query vectors that meet all items at once.
+BLOCK = 20_000
 
 
 def dense(queries: DataFrame, items: DataFrame, query_vector: str = "qvec", item_vector: str = "vec") -> DataFrame:
-    """All pairs with their cosine; queries are few and broadcast by Spark if small. Vectors that are null, zero or of another length give no row."""
+    """All pairs with their cosine. Vectors that are null, zero or of another length give no row.
+
+    Queries are a stated set: they are broadcast if few, else dealt to blocks, and each block meets all items, so that no task holds all rows.
+    """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     q = queries.withColumn("_qn", norm(query_vector)).where("_qn > 0")
     i = items.withColumn("_in", norm(item_vector)).where("_in > 0")
     dot = F.aggregate(F.zip_with(query_vector, item_vector, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = i.join(q, F.size(query_vector) == F.size(item_vector))
+    same = F.size(query_vector) == F.size(item_vector)
+    blocks = -(-q.count() // BLOCK)
+    if blocks <= 1:
+        pairs = i.join(F.broadcast(q), same)
+    else:
+        dealt = q.withColumn("_block", F.pmod(F.xxhash64(query_vector), F.lit(blocks)))
+        spread = i.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        pairs = spread.join(dealt, "_block").where(same).drop("_block")
     return pairs.withColumn("score", F.round(dot / (F.col("_qn") * F.col("_in")), 6)).drop("_qn", "_in")
 
 

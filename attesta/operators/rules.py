@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 #: The patent-risk tree's conditions and weights, by section of the Act.
 PATENT_RISK = [
-    {"id": "p_classical_source_match", "section": "3(p)", "weight": 0.5, "when": {"all": [{"field": "classical_sources_cited", "op": "nonempty"}]}},
-    {"id": "e_admixture_no_synergy", "section": "3(e)", "weight": 0.4, "when": {"all": [{"field": "ingredients", "op": "len_gte", "value": 2}, {"field": "claims_novel_effect", "op": "eq", "value": False}]}},
-    {"id": "d_new_form_no_efficacy", "section": "3(d)", "weight": 0.4, "when": {"all": [{"field": "is_derivative_of_known_substance", "op": "eq", "value": True}]}},
-    {"id": "p_no_novel_effect_and_classical", "section": "3(p)", "weight": 0.2, "when": {"all": [{"field": "classical_sources_cited", "op": "nonempty"}, {"field": "claims_novel_effect", "op": "eq", "value": False}]}},
+    {"id": "p_classical_source_match", "section": "3(p)", "cite": ["patents_act_1970#s3(p)"], "weight": 0.5, "when": {"all": [{"field": "classical_sources_cited", "op": "nonempty"}]}},
+    {"id": "e_admixture_no_synergy", "section": "3(e)", "cite": ["patents_act_1970#s3(e)"], "weight": 0.4, "when": {"all": [{"field": "ingredients", "op": "len_gte", "value": 2}, {"field": "claims_novel_effect", "op": "eq", "value": False}]}},
+    {"id": "d_new_form_no_efficacy", "section": "3(d)", "cite": ["patents_act_1970#s3(d)"], "weight": 0.4, "when": {"all": [{"field": "is_derivative_of_known_substance", "op": "eq", "value": True}]}},
+    {"id": "p_no_novel_effect_and_classical", "section": "3(p)", "cite": ["patents_act_1970#s3(p)"], "weight": 0.2, "when": {"all": [{"field": "classical_sources_cited", "op": "nonempty"}, {"field": "claims_novel_effect", "op": "eq", "value": False}]}},
 ]
 
 
+def fact_at(path: str) -> Column:
+    """A fact by its dotted path: a field of nested structs, or a key of a map; null where a step is missing."""
+    head, *rest = path.split(".")
+    return reduce(lambda c, name: c[name], rest, F.col(f"`{head}`"))
+
+
 def condition(tree: dict) -> Column:
     """A tree of all, any, not and leaves {field, op, value} as a Column that is never null: a missing fact makes a leaf false.
 
@@ -29,7 +36,7 @@ def condition(tree: dict) -> Column:
         return reduce(Column.__or__, map(condition, tree["any"]), F.lit(False))
     if "not" in tree:
         return ~condition(tree["not"])
-    fact, value = F.col(tree["field"]), F.lit(tree.get("value"))
+    fact, value = fact_at(tree["field"]), F.lit(tree.get("value"))
     length = lambda: F.when(fact.isNotNull(), F.size(fact))
     ops = {
         "eq": lambda: fact.eqNullSafe(value), "neq": lambda: ~fact.eqNullSafe(value), "gte": lambda: fact >= value, "lte": lambda: fact <= value, "nonempty": lambda: length() > 0,
@@ -86,7 +93,7 @@ def set_match(left: str, right: str, boosted: Column) -> Column:
     """Jaccard similarity of two arrays as sets, 0.15 more if boosted, 1 at most."""
     union = F.size(F.array_union(left, right))
     base = F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), base + F.when(boosted & (base > 0), 0.15).otherwise(0.0)), 2)
+    return F.round(F.least(F.lit(1.0), base + F.when(boosted, 0.15).otherwise(0.0)), 2)
 
 
 def confidence(df: DataFrame, margin: str, entailment: str, verified: str, back_translated: str, weight: float = 0.25, low: float = 0.35, high: float = 0.60) -> DataFrame:
@@ -100,31 +107,33 @@ def confidence(df: DataFrame, margin: str, entailment: str, verified: str, back_
 def fuzzy_names(names: DataFrame, dictionary: DataFrame, name: str, entry: str, least: float = 0.6, k: int = 3) -> DataFrame:
     """name, entry and ratio: equal names (case aside) win alone, else the k most similar entries of ratio `least` or more.
 
-    The ratio is that of longest matching blocks (difflib), taken for distinct names only. The dictionary is a
-    dimension of checked size (at most 100,000 entries), sent to each task; more raise an error.
+    The ratio is that of longest matching blocks (difflib) over distinct names and entries. It is at most twice the smaller length over the sum
+    of lengths, and counts characters in common, so only pairs are compared whose lengths fit and that share a letter; blocks of entries by length
+    keep a task's share of the work small. Null names match nothing; the empty name equals the empty entry alone.
     """
     import difflib
 
-
-    entries = [r[0] for r in dictionary.select(entry).where(F.col(entry).isNotNull()).distinct().limit(100_001).collect()]
-    if len(entries) > 100_000:
-        raise ValueError("the dictionary is too large to send to each task")
-    sent = names.sparkSession.sparkContext.broadcast(sorted(entries))
-
-    @F.pandas_udf("array<struct<entry:string,ratio:double>>")
-    def similar(words: pd.Series) -> pd.Series:
-        out = []
-        for w in words:
-            low = (w or "").lower()
-            same = [(e, 1.0) for e in sent.value if e.lower() == low]
-            if not same:
-                m = difflib.SequenceMatcher(b=low)
-                for e in sent.value:
-                    m.set_seq1(e.lower())
-                    if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                        same.append((e, r))
-                same = sorted(same, key=lambda x: (-x[1], x[0]))[:k]
-            out.append([{"entry": e, "ratio": round(r, 6)} for e, r in same])
-        return pd.Series(out)
-
-    return names.select(name).distinct().select(name, F.explode(similar(name)).alias("m")).select(name, "m.entry", "m.ratio")
+    n = names.select(F.col(name).alias("_n"), F.lower(name).alias("_ln")).where("_n IS NOT NULL").distinct()
+    d = dictionary.select(F.col(entry).alias("_e"), F.lower(entry).alias("_le")).where("_e IS NOT NULL").distinct()
+    same = n.join(d, F.col("_ln") == F.col("_le")).select(F.col("_n").alias(name), F.col("_e").alias(entry), F.lit(1.0).alias("ratio"))
+    left = n.join(same.select(F.col(name).alias("_n")).distinct(), "_n", "left_anti").where(F.length("_ln") > 0)
+    share = least / (2 - least) - 1e-9  # the shorter length over the longer one, at least
+    lengths = F.sequence(F.ceil(F.length("_ln") * share).cast("int"), F.floor(F.length("_ln") / share).cast("int"))
+    asked = left.withColumn("_size", F.explode(lengths))
+    pairs = asked.join(d.withColumn("_size", F.length("_le")), "_size").where(F.arrays_overlap(F.split("_ln", ""), F.split("_le", "")))
+
+    @F.arrow_udf(DoubleType())
+    def ratio(left: pa.Array, right: pa.Array) -> pa.Array:
+        m, out, last = difflib.SequenceMatcher(), [], None
+        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            if a != last:
+                m.set_seq2(a)
+                last = a
+            m.set_seq1(b)
+            close = m.real_quick_ratio() >= least and m.quick_ratio() >= least
+            out.append(m.ratio() if close else 0.0)
+        return pa.array(out, pa.float64())
+
+    near = pairs.withColumn("ratio", ratio("_ln", "_le")).where(F.col("ratio") >= least)
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("_n").orderBy(F.desc("ratio"), "_e"))).where(F.col("_r") <= k)
+    return same.unionByName(ranked.select(F.col("_n").alias(name), F.col("_e").alias(entry), F.round("ratio", 6).alias("ratio")))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import bisect
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,34 +67,44 @@ def longest_run(labels: DataFrame, doc: str, order: str, number: str) -> DataFra
 
 
 def unique_keys(sections: DataFrame, key: str, page: str, order: str) -> DataFrame:
-    """sections with unique_key: a key met before gets its page, and a count if the page has several."""
+    """sections with unique_key: a key met before gets its page, and a count from 2 on for more repeats on that page."""
     again = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    on_page = F.row_number().over(Window.partitionBy(key, page).orderBy(order))
+    on_page = F.row_number().over(Window.partitionBy(key, page, F.col("_a") > 1).orderBy(order))
     tail = F.concat(F.lit("-p"), F.col(page).cast("string"), F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k").cast("string"))).otherwise(""))
     return sections.withColumn("_a", again).withColumn("_k", on_page).withColumn("unique_key", F.when(F.col("_a") == 1, F.col(key)).otherwise(F.concat(key, tail))).drop("_a", "_k")
 
 
+#: What opens an explanation or a proviso.
+EXPLANATION = r"(?<=\s)Explanation(?:\s?\d)?\.[—-]"
+PROVISO = r"(?<=\s)Provided (?:that|further|also)[,:]?\s"
+
+
 def proviso_split(text: Column) -> Column:
-    """A struct (body, kind, child): text from the first Explanation on, else from the first Provided that, is a child of its own."""
+    """A struct (body, kind, child, at: the child's offset): text from the first Explanation on, else from the first proviso on, is a child of its own. Either follows white space."""
     parts = []
-    for kind, marker in (("explanation", r"Explanation"), ("proviso", r"Provided (?:further )?that")):
-        at = F.regexp_instr(text, F.lit(rf"\b{marker}\b"))
-        parts.append((at, F.struct(F.rtrim(F.substr(text, F.lit(1), at - 1)).alias("body"), F.lit(kind).alias("kind"), F.substr(text, at).alias("child"))))
-    none = F.struct(text.alias("body"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("child"))
+    for kind, marker in (("explanation", EXPLANATION), ("proviso", PROVISO)):
+        at = F.regexp_instr(text, F.lit(marker))
+        parts.append((at, F.struct(F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"\s+$", "").alias("body"), F.lit(kind).alias("kind"), F.substr(text, at).alias("child"), (at - 1).alias("at"))))
+    none = F.struct(text.alias("body"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("int").alias("at"))
     return F.when(parts[0][0] > 1, parts[0][1]).when(parts[1][0] > 1, parts[1][1]).otherwise(none)
 
 
-def longest_increasing(values: list[int]) -> list[int]:
-    """Indices of a longest strictly increasing subsequence; of equal ones, the one that ends last."""
-    best, before = [1] * len(values), [-1] * len(values)
+def longest_increasing(values: list[float]) -> list[int]:
+    """Indices of a longest strictly increasing subsequence, in O(n log n); of equal ones, the one that ends last, by the earliest members that lead there.
+
+    For each length, the last members of subsequences of that length are kept in their order; their values never rise.
+    """
+    lasts: list[list[tuple[float, int]]] = []
+    before = [-1] * len(values)
     for i, v in enumerate(values):
-        for j in range(i):
-            if values[j] < v and best[j] + 1 >= best[i]:
-                best[i], before[i] = best[j] + 1, j
-    if not values:
-        return []
-    at = max(range(len(values)), key=lambda i: (best[i], i))
-    out = []
+        k = bisect.bisect_left(lasts, v, key=lambda row: row[-1][0])
+        if k:
+            row = lasts[k - 1]
+            before[i] = row[bisect.bisect_right(row, -v, key=lambda x: -x[0])][1]
+        if k == len(lasts):
+            lasts.append([])
+        lasts[k].append((v, i))
+    out, at = [], lasts[-1][-1][1] if lasts else -1
     while at >= 0:
         out.append(at)
         at = before[at]
@@ -107,66 +116,6 @@ def longest_increasing_rows(headings: DataFrame, doc: str, order: str, number: s
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
-        return g.iloc[longest_increasing(g[number].astype(int).tolist())]
+        return g.iloc[longest_increasing(g[number].astype(float).tolist())]
 
     return headings.select(doc, order, number).groupBy(doc).applyInPandas(run, headings.select(doc, order, number).schema)
-
-
-#: What opens a unit: its kind and the shape of its first line.
-_HEADS = [("chapter", re.compile(r"^CHAPTER\s+([IVXLC]+|\d+)\b")), ("article", re.compile(r"^Article\s+(\d+)\b")), ("section", re.compile(r"^(\d+[A-Z]?)\.\s+\S"))]
-_CLAUSE = re.compile(r"\(([a-z]|\d{1,2})\)\s")
-
-
-def chunk_text(text: str) -> list[tuple[str, str, int, int]]:
-    """(key, kind, start, end) of the units of one document, offsets into the text as it is.
-
-    Lines that look like headings open articles or sections, chapters are passed on in the keys; headings must
-    go up (the longest increasing subsequence is kept). A section with lettered or numbered clauses in order
-    gets a unit for each. A document without headings is one unit for each paragraph.
-    """
-    heads, at = [], 0
-    for line in text.split("\n"):
-        for kind, shape in _HEADS:
-            m = shape.match(line)
-            if m:
-                heads.append((kind, m.group(1), at))
-                break
-        at += len(line) + 1
-    kind = "article" if sum(k == "article" for k, _, _ in heads) >= 3 else "section"
-    units = [h for h in heads if h[0] == kind]
-    units = [units[i] for i in longest_increasing([int(re.match(r"\d+", n).group()) for _, n, _ in units])]
-    if len(units) < 2:
-        out, at = [], 0
-        for i, para in enumerate(text.split("\n")):
-            if para.strip():
-                out.append((f"p{i + 1}", "paragraph", at, at + len(para)))
-            at += len(para) + 1
-        return out
-    chapters = [(p, n) for k, n, p in heads if k == "chapter"]
-    out = []
-    for (k, n, start), end in zip(units, [u[2] for u in units[1:]] + [len(text)], strict=True):
-        end = min([end, *(p for p, _ in chapters if start < p < end)])
-        chapter = next((c for p, c in reversed(chapters) if p <= start), None)
-        key = f"{f'c{chapter}/' if chapter else ''}{k[0]}{n}"
-        out.append((key, k, start, end))
-        clauses, wanted = [], ("a", "1")
-        for m in _CLAUSE.finditer(text, start, end):
-            if m.group(1) in wanted:
-                clauses.append((m.group(1), m.start()))
-                g = m.group(1)
-                wanted = (chr(ord(g) + 1),) if g.isalpha() else (str(int(g) + 1),)
-        if len(clauses) >= 2:
-            out += [(f"{key}({c})", "clause", p, q) for (c, p), q in zip(clauses, [p for _, p in clauses[1:]] + [end], strict=True)]
-    return out
-
-
-def structural_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, unit, kind, start, end and text of all units; one document is one row, cut inside its task."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *u, t[u[2]:u[3]]) for k, t in zip(f["k"], f["t"], strict=True) if isinstance(t, str) for u in chunk_text(t)]
-            yield pd.DataFrame(rows, columns=["k", "unit", "kind", "start", "end", "text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, unit string, kind string, start bigint, end bigint, text string").withColumnRenamed("k", key)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from attesta.plans import integrity, records, retrieval, text
+from attesta.plans import assessments, claims, integrity, records, retrieval, text
 
 FLAGSHIP = "keyword_topk_asof"
-QUERIES = {**retrieval.QUERIES, **text.QUERIES, **integrity.QUERIES, **records.QUERIES}
-ORACLE_SQL = {**retrieval.ORACLE_SQL, **text.ORACLE_SQL, **integrity.ORACLE_SQL, **records.ORACLE_SQL}
+PLANS = (retrieval, text, integrity, records, claims, assessments)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import history
+from attesta.operators.integrity import merkle_roots
 from attesta.session import shared_dir, table
 from attesta.sources import files
 from attesta.streaming.rate_limit import rate_limit as limit_hits
@@ -105,18 +106,129 @@ def content_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.fetched(d, pins)
 
 
-@query("SELECT doc_id, source, sha256(text) AS digest FROM documents WHERE doc_id % 10 = 9")
+@query("SELECT doc_id, source, sha256(text) AS digest FROM documents")
 def snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version is written, and read back with its digests checked."""
     import uuid
 
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 9").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source")
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     files.write_version(d, path, "v1")
-    expected = d.select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return files.read_version(spark, path, "v1", expected).select(F.col("chunk_id").alias("doc_id"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    leaves = d.select(F.lit("v1").alias("tree"), "chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    root = merkle_roots(leaves, "tree", "chunk_id", "sha256").first()["root"]
+    return files.read_version(spark, path, "v1", leaves, root).select(F.col("chunk_id").alias("doc_id"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 @query()
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 6 * 3600.0)
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored result for each assistant's turn; a third expired."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    until = F.when(F.col("turn") % 3 == 0, "2024-01-01").otherwise("2025-01-01").cast("timestamp")
+    request = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return c.select(request.alias("request_id"), F.to_json(F.struct(F.lit("refusal").alias("type"), F.lit("no_evidence").alias("reason"), F.col("text").alias("message"))).alias("result"), until.alias("expires_at"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN text END AS message FROM conversations")
+def messages_with_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("request_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return history.with_results(c, _results(spark, sf_dir), "2024-06-01 00:00:00").select("conv_id", "turn", F.get_json_object("result", "$.message").alias("message"))
+
+
+@query("SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'assistant' AND turn % 3 <> 0")
+def case_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"))
+    return history.case_items(c, _results(spark, sf_dir), "2024-06-01 00:00:00").select("conv_id", "turn", F.get_json_object("result", "$.message").alias("message"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'refusal' ELSE 'missing' END AS kind, CASE WHEN role = 'assistant' THEN 'Reason: no_evidence' || chr(10) || text ELSE 'No stored result for request_id=' || conv_id || '-' || turn END AS lines FROM conversations""")
+def dossier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"))
+    return history.dossier_items(c, _results(spark, sf_dir)).select("conv_id", "turn", "kind", F.array_join("lines", "\n").alias("lines"))
+
+
+@query("""WITH a AS (SELECT user_id AS k, max(ts) AS t FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id AS k, max(ts) AS t FROM events WHERE event_id % 2 = 1 GROUP BY user_id), m AS (SELECT k, max(t) AS t FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k)
+SELECT k, CASE WHEN k IN (SELECT k FROM a) THEN 'old' ELSE 'new' END AS title, CAST(floor(epoch(t)) AS BIGINT) AS updated, CAST(floor(epoch(t)) AS BIGINT) + 30 * 86400 AS expires FROM m""")
+def conversation_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events made the conversations, odd ones are new activity."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id", F.col("ts").cast("timestamp").alias("at"))
+    old = e.where("event_id % 2 = 0").groupBy("k").agg(F.max("at").alias("updated_at")).withColumn("title", F.lit("old")).withColumn("expires_at", history.expires_at(F.col("updated_at")))
+    out = history.touch(old, e.where("event_id % 2 = 1").select("k", F.lit("new").alias("title"), "at"), "k")
+    return out.select("k", "title", F.unix_seconds("updated_at").alias("updated"), F.unix_seconds("expires_at").alias("expires"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderkey IS NULL THEN 'unknown_request' ELSE 'known' END AS reason FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) ON o_orderkey = l_orderkey")
+def escalation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    known, rejected = history.unknown_requests(lines, table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    return known.withColumn("reason", F.lit("known")).unionByName(rejected)
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, o_orderkey AS i, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 7 <> 0) SELECT c, i, CASE WHEN c % 2 = 0 THEN CAST(n + 1 - p AS INTEGER) ELSE p END AS position FROM o""")
+def case_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh item is removed; even cases ask for the reverse order, odd ones for an order that isn't one."""
+    from pyspark.sql.window import Window
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("i"))
+    kept = history.remove_items(o, o.where("i % 7 = 0"), ["c", "i"]).withColumn("position", F.row_number().over(Window.partitionBy("c").orderBy("i")))
+    items = F.reverse(F.array_sort(F.collect_list("i")))
+    wanted = kept.groupBy("c").agg(F.when(F.col("c") % 2 == 0, items).otherwise(F.slice(items, 1, 1)).alias("items")).where(F.size("items") > 0)
+    wanted = wanted.where("c % 2 = 0").unionByName(wanted.where("c % 2 = 1").withColumn("items", F.transform("items", lambda x: -x)))
+    return history.reorder(kept, wanted, "c", "i").select("c", "i", "position")
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 4 = 0 THEN 'https://docs.example.org/laws/en/a.pdf' WHEN page_id % 4 = 1 THEN 'https://docs.example.org/laws/en/b.PDF' END AS VARCHAR) AS url, CASE page_id % 4 WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'none' END AS error FROM pages")
+def single_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page gets links of its own: one PDF, two of which one bears the title, two that don't, or none."""
+    k = F.col("page_id") % 4
+    a = '<a href="/laws/en/a.pdf">A</a><a href="/laws/fr/c.pdf">C</a><a href="https://other.org/laws/en/d.pdf">D</a>'
+    html = F.when(k == 0, a).when(k == 1, a + '<a href="https://docs.example.org/laws/en/b.PDF">the TITLE</a>').when(k == 2, a + '<a href="//docs.example.org/laws/en/e.pdf">E</a>').otherwise('<a href="x.html">X</a>')
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("https://docs.example.org/details/1").alias("url"), F.lit("The title").alias("title"), html.alias("html"))
+    return files.single_candidate(files.anchors(pages, "page_id", "html"), pages, "page_id", "docs.example.org", "/laws/en/")
+
+
+@query("SELECT source AS id FROM (SELECT DISTINCT source FROM documents) WHERE source IN ('src1', 'src2') OR source NOT IN ('src1', 'src2', 'src3', 'src4')")
+def pending_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources are committed, two more with another digest."""
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("id"), F.sha2("source", 256).alias("sha256")).distinct()
+    done = s.where("id IN ('src1', 'src2', 'src3', 'src4')").withColumn("sha256", F.when(F.col("id").isin("src1", "src2"), "old").otherwise(F.col("sha256")))
+    return files.pending_sources(s, done).select("id")
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS source, c_custkey, c_custkey % 4 AS k FROM customer), e AS (SELECT source, c_custkey - 1 AS dst FROM s WHERE k = 3)
+SELECT source, count(*) AS sections, CAST(count(*) FILTER (WHERE k = 3) AS BIGINT) AS edges, count(*) FILTER (WHERE k = 1) AS unlocated, count(*) FILTER (WHERE k = 2 AND NOT EXISTS (SELECT 1 FROM e WHERE e.source = s.source AND e.dst = s.c_custkey)) AS orphans, CAST(0 AS BIGINT) AS warnings FROM s GROUP BY source""")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "source")
+    key = lambda n: F.concat(F.lit("k"), n.cast("string"), F.lit("-proviso"))
+    sections = c.select("source", F.when(k % 4 == 2, key(k)).otherwise(k.cast("string")).alias("key"), (k % 4 != 1).alias("has_box"))
+    edges = c.where("c_custkey % 4 = 3").select("source", key(k - 1).alias("dst"), F.lit("proviso_of").alias("kind"))
+    return files.ingest_report(sections, edges, spark.createDataFrame([], "source string"), c.select("source"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, turn = 5 AS failed FROM conversations), f AS (SELECT conv_id, min(turn) AS stop FROM s WHERE failed GROUP BY conv_id), k AS (SELECT s.conv_id, s.turn, s.failed, f.stop FROM s LEFT JOIN f ON f.conv_id = s.conv_id WHERE f.stop IS NULL OR s.turn <= f.stop), m AS (SELECT conv_id, max(turn) AS t, max(stop) AS stop FROM k GROUP BY conv_id)
+SELECT conv_id, turn AS seq, CASE WHEN failed THEN 'error' ELSE 'stage' END AS event FROM k UNION ALL SELECT conv_id, t + 1, 'result' FROM m WHERE stop IS NULL UNION ALL SELECT conv_id, t + 2, 'done' FROM m""")
+def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.col("role").alias("stage"), F.when(F.col("turn") == 5, "failed").otherwise("ok").alias("status"), F.col("text").alias("payload"))
+    return files.stage_events(c, "conv_id").select("conv_id", "seq", "event")
+
+
+@query("SELECT conv_id, CAST(sum(CASE WHEN turn % 4 <> 3 THEN length(text) ELSE 0 END) AS BIGINT) AS total, count(*) FILTER (WHERE turn % 4 = 3) AS skipped FROM conversations GROUP BY conv_id")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("string").alias("stage"), F.when(F.col("turn") % 4 == 3, "skipped").otherwise("ok").alias("status"), F.length("text").cast("bigint").alias("ms"))
+    return files.stage_timings(c, "conv_id").select("conv_id", "total", "skipped")
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) + 7 * 86400 AS next_check, ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00' AS due FROM events")
+def monitor_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", files.next_check(F.col("ts").cast("timestamp")).alias("n"))
+    return e.select("event_id", F.unix_seconds("n").alias("next_check"), files.due(F.col("n"), "2024-01-20 00:00:00").alias("due"))
+
+
+@query("SELECT side, count(*) AS n FROM (SELECT 'left' AS side FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'right' FROM orders WHERE o_orderkey % 10 = 1) GROUP BY side")
+def checklist_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return files.differing(o.where("o_orderkey % 10 <> 1"), o.where("o_orderkey % 10 <> 0")).groupBy("side").agg(F.count("*").alias("n"))

@@ -57,11 +57,11 @@ def docs_in_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.documents(spark, sf_dir).groupBy("version", "jurisdiction").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {C_CHUNKS}, artifacts AS (SELECT page_id, url FROM pages) SELECT c.chunk_id, d.doc_key, coalesce(a.url, 'none') AS url FROM c_chunks c JOIN c_documents d ON d.doc_key = c.doc_key LEFT JOIN artifacts a ON a.page_id = d.doc_id WHERE c.line < 2")
+@query(f"WITH {C_CHUNKS}, artifacts AS (SELECT page_id, url FROM pages) SELECT c.chunk_id, d.doc_key, coalesce(a.url, 'none') AS url FROM c_chunks c JOIN c_documents d ON d.doc_key = c.doc_key LEFT JOIN artifacts a ON a.page_id = d.doc_id")
 def artifact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir).select("doc_key", "doc_id")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    c = corpus.chunks(spark, sf_dir).where("line < 2").select("chunk_id", "doc_key")
+    c = corpus.chunks(spark, sf_dir).select("chunk_id", "doc_key")
     return c.join(docs, "doc_key").join(pages, "doc_id", "left").select("chunk_id", "doc_key", F.coalesce("url", F.lit("none")).alias("url"))
 
 
@@ -78,9 +78,8 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _keyword(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     """query_id, jurisdiction, chunk_id, score and rank: the best k chunks of each question and jurisdiction, as of the question's day."""
     q, c = corpus.questions(spark, sf_dir), _live(spark, sf_dir)
-    scored = ranking.bm25(q, c)
-    asked = corpus.questions_by_jurisdiction(q).select("query_id", "jurisdiction", "as_of")
-    seen = scored.join(c.select("chunk_id", "jurisdiction", "valid_from", "valid_to"), "chunk_id").join(asked, ["query_id", "jurisdiction"]).where(gate.valid_on(F.col("as_of")))
+    asked = corpus.questions_by_jurisdiction(q).select("query_id", "question", "jurisdiction", "as_of")
+    seen = ranking.bm25(asked, c.select("chunk_id", "text", "jurisdiction", "valid_from", "valid_to"), on=["jurisdiction"], seen=gate.valid_on(F.col("as_of")))
     return ranking.top_k(seen, ["query_id", "jurisdiction"], [F.desc("score"), "chunk_id"], k).select("query_id", "jurisdiction", "chunk_id", "score", "rank")
 
 
@@ -135,7 +134,7 @@ def budget_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DENSE = """v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), scored AS (
-  SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label % 2 AS bucket, i.label, round(list_cosine_similarity(q.e, i.e), 6) AS score FROM v q JOIN v i ON q.vec_id <> i.vec_id WHERE q.vec_id < 20
+  SELECT q.vec_id AS query_id, i.vec_id AS item_id, i.label % 2 AS bucket, i.label, round(list_cosine_similarity(q.e, i.e), 6) AS score FROM v q JOIN v i ON q.vec_id <> i.vec_id WHERE q.vec_id % 50 = 0
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored
 )"""
@@ -143,7 +142,7 @@ _DENSE = """v AS (
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     i = e.select(F.col("vec_id").alias("item_id"), (F.col("label") % 2).alias("bucket"), "label", F.col("embedding").alias("vec"))
     return ranking.dense(q, i).where("query_id <> item_id").drop("qvec", "vec")
 
@@ -173,36 +172,70 @@ def vector_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round("n", 6).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x / F.col("n")), 6).alias("unit_sum"), good.alias("good"))
 
 
-_TRIGRAM = """ws AS (SELECT query_id, side, text, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM sides),
-grams AS (SELECT DISTINCT query_id, side, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT *, unnest(range(1, length(w) + 2)) AS i FROM ws))"""
-
-
-@query(f"""WITH {C_CHUNKS}, {C_QUESTIONS}, heads AS (
-  SELECT chunk_id, substr(text, 1, 40) AS head FROM c_chunks WHERE version = 'live' AND line = 0 AND doc_id % 10 = 3
+@query(f"""WITH {C_CHUNKS}, {C_QUESTIONS}, sides AS (
+  SELECT chunk_id, 0 AS f, chunk_id AS t FROM c_chunks WHERE version = 'live' UNION ALL SELECT chunk_id, 1, text FROM c_chunks WHERE version = 'live'
 ), kw AS (
-  SELECT DISTINCT chunk_id, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT chunk_id, w, unnest(range(1, length(w) + 2)) AS i FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(head), '[a-z0-9]+')) AS w FROM heads))
+  SELECT DISTINCT chunk_id, f, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT chunk_id, f, w, unnest(range(1, length(w) + 2)) AS i FROM (SELECT chunk_id, f, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM sides))
 ), qw AS (
   SELECT DISTINCT query_id, substr('  ' || w || ' ', i, 3) AS g FROM (SELECT query_id, w, unnest(range(1, length(w) + 2)) AS i FROM (SELECT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w FROM c_questions))
-), kn AS (SELECT chunk_id, count(*) AS n FROM kw GROUP BY chunk_id), qn AS (SELECT query_id, count(*) AS n FROM qw GROUP BY query_id), both_ AS (
-  SELECT query_id, chunk_id, count(*) AS m FROM qw JOIN kw USING (g) GROUP BY query_id, chunk_id
+), kn AS (SELECT chunk_id, f, count(*) AS n FROM kw GROUP BY chunk_id, f), qn AS (SELECT query_id, count(*) AS n FROM qw GROUP BY query_id), both_ AS (
+  SELECT query_id, chunk_id, f, count(*) AS m FROM qw JOIN kw USING (g) GROUP BY query_id, chunk_id, f
 ), sims AS (
-  SELECT query_id, chunk_id, round(CAST(m AS DOUBLE) / (qn.n + kn.n - m), 6) AS sim FROM both_ JOIN kn USING (chunk_id) JOIN qn USING (query_id)
-) SELECT query_id, chunk_id, sim, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM sims WHERE sim > 0.2) WHERE rank <= 10""")
+  SELECT query_id, chunk_id, round(max(CAST(m AS DOUBLE) / (qn.n + kn.n - m)), 6) AS sim FROM both_ JOIN kn USING (chunk_id, f) JOIN qn USING (query_id) GROUP BY query_id, chunk_id
+), best AS (SELECT query_id, chunk_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM sims WHERE sim > 0.2)
+SELECT query_id, chunk_id, sim, CAST(rank AS INTEGER) AS rank FROM best JOIN c_chunks USING (chunk_id) JOIN c_questions USING (query_id) WHERE rank <= 10 AND valid_from <= as_of AND (valid_to IS NULL OR valid_to > as_of)""")
 def trigram_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trigram(spark, sf_dir)
-
-
-def _trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigram postings are joined, so only pairs that share a trigram are ever made."""
-    from attesta.functions.text import trigrams
-
-    heads = _live(spark, sf_dir).where("line = 0 AND doc_id % 10 = 3").select("chunk_id", trigrams(F.substring("text", 1, 40)).alias("g"))
-    q = corpus.questions(spark, sf_dir).select("query_id", trigrams(F.col("question")).alias("g"))
-    k = heads.select("chunk_id", F.size("g").alias("kn"), F.explode("g").alias("t"))
-    a = q.select("query_id", F.size("g").alias("qn"), F.explode("g").alias("t"))
-    shared = k.join(a, "t").groupBy("query_id", "chunk_id", "kn", "qn").agg(F.count("*").alias("m"))
-    sims = shared.select("query_id", "chunk_id", F.round(F.col("m") / (F.col("kn") + F.col("qn") - F.col("m")), 6).alias("sim")).where("sim > 0.2")
-    return ranking.top_k(sims, ["query_id"], [F.desc("sim"), "chunk_id"], 10)
+    """Sections are lines, their headings the whole lines; the sections found lead to their chunks, as of the question's day."""
+    c, q = _live(spark, sf_dir), corpus.questions(spark, sf_dir)
+    best = ranking.trigram_search(q, c.select(F.col("chunk_id").alias("section_id"), F.col("chunk_id").alias("key"), F.col("text").alias("heading")))
+    held = best.withColumnRenamed("section_id", "chunk_id").join(c.select("chunk_id", "valid_from", "valid_to"), "chunk_id").join(ranking.small(q.select("query_id", "as_of")), "query_id")
+    return held.where(gate.valid_on(F.col("as_of"))).select("query_id", "chunk_id", "sim", "rank")
+
+
+_FTS = f"""{C_CHUNKS}, {C_QUESTIONS}, toks AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM c_chunks WHERE version = 'live'), terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM c_questions),
+n AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id), tf AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY term, chunk_id, dl),
+f AS (SELECT query_id, chunk_id, count(*) = any_value(n.n) AS exact, round(0.1 * sum(tf) / any_value(dl), 9) AS density FROM terms JOIN tf USING (term) JOIN n USING (query_id) GROUP BY query_id, chunk_id)"""
+
+
+@query(f"WITH {_FTS} SELECT query_id, chunk_id, exact, density, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, density DESC, chunk_id) AS rank FROM f) WHERE rank <= 40")
+def full_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold all words of the question first, then by how dense its words are."""
+    found = ranking.full_text(corpus.questions(spark, sf_dir), _live(spark, sf_dir))
+    return ranking.top_k(found, ["query_id"], [F.desc("exact"), F.desc("density"), "chunk_id"], 40)
+
+
+#: Documents that have a vector; those with ids divisible by 50 ask, by their vector and their first 8 words.
+_HYBRID = f"""{C_DOCUMENTS}, it AS (SELECT d.doc_id, d.jurisdiction, d.text, CAST(e.embedding AS DOUBLE[]) AS v FROM c_documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE version = 'live'),
+asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, array_to_string((regexp_split_to_array(text, '\\s+'))[1:8], ' ') AS question FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
+toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM it), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY term, doc_id, dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM asked),
+kw AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY query_id, doc_id),
+ds AS (SELECT query_id, doc_id, jurisdiction, round(list_cosine_similarity(a.v, i.v), 6) AS score FROM asked a CROSS JOIN it i),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, jurisdiction ORDER BY score DESC, doc_id) AS r FROM ds), kr AS (SELECT kw.*, jurisdiction, row_number() OVER (PARTITION BY query_id, jurisdiction ORDER BY score DESC, kw.doc_id) AS r FROM kw JOIN it USING (doc_id)),
+u AS (SELECT query_id, jurisdiction, doc_id, r AS d, NULL AS w FROM dr WHERE r <= 40 AND score >= 0.45 UNION ALL SELECT query_id, jurisdiction, doc_id, NULL, r FROM kr WHERE r <= 40),
+fu AS (SELECT query_id, jurisdiction, doc_id, round(coalesce(1.0 / (60 + max(d)), 0) + coalesce(1.0 / (60 + max(w)), 0), 9) AS rrf, coalesce(max(d), 1073741824) AS d, coalesce(max(w), 1073741824) AS w FROM u GROUP BY query_id, jurisdiction, doc_id)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, jurisdiction AS bucket, doc_id AS item, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, jurisdiction ORDER BY rrf DESC, d, w, doc_id) AS rank FROM fu) WHERE rank <= 8")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector leg and a keyword leg over the live documents that have a vector, fused in each jurisdiction."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    items = corpus.documents(spark, sf_dir).where("version = 'live'").join(e, "doc_id").select("doc_id", "jurisdiction", "text", "vec")
+    asked = table(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"), F.col("vec").alias("qvec"))
+    bucket = items.select(F.col("doc_id").alias("item"), F.col("jurisdiction").alias("bucket"))
+    by_vector = ranking.dense(asked.select("query_id", "qvec"), items.select(F.col("doc_id").alias("item"), F.col("jurisdiction").alias("bucket"), "vec")).select("query_id", "bucket", "item", "score")
+    by_words = ranking.bm25(asked, items.select(F.col("doc_id").alias("chunk_id"), "text")).select("query_id", F.col("chunk_id").alias("item"), "score").join(bucket, "item").select("query_id", "bucket", "item", "score")
+    return ranking.hybrid_search(by_vector, by_words)
+
+
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM v), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS p, CAST(x.label AS VARCHAR) AS intent, round(list_cosine_similarity(q.e, x.e), 6) AS score FROM v q JOIN x ON x.k <= 5 WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p) AS n FROM s)
+SELECT query_id, CASE WHEN score >= 0.35 THEN intent ELSE 'out_of_scope' END AS intent, score FROM r WHERE n = 1""")
+def exemplar_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five vectors of each label are its exemplars."""
+    e = table(spark, sf_dir, "embeddings")
+    exemplars = ranking.top_k(e, ["label"], ["vec_id"], 5).select(F.col("vec_id").alias("position"), F.col("label").cast("string").alias("intent"), F.col("embedding").alias("vec"))
+    return ranking.nearest_exemplar(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), exemplars)
 
 
 @query(f"""WITH {_DENSE}, a AS (SELECT query_id, item_id, rank FROM ranked WHERE rank <= 10), b AS (
@@ -244,7 +277,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE nodes AS (
-  SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS parent_id FROM lineitem WHERE l_orderkey % 50 = 1 UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
+  SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, 'o' || l_orderkey AS parent_id FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 ), seeds AS (SELECT DISTINCT id FROM nodes WHERE id LIKE 'l%'), up AS (
   SELECT s.id AS seed, n.parent_id AS ancestor, 1 AS distance FROM seeds s JOIN nodes n ON n.id = s.id UNION SELECT u.seed, n.parent_id, u.distance + 1 FROM up u JOIN nodes n ON n.id = u.ancestor WHERE u.distance < 4
@@ -252,7 +285,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ancestors_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, o, c, n = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation"))
     text = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    lines = l.where("l_orderkey % 50 = 1").select(F.concat(text("l", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), text("o", "l_orderkey").alias("parent_id"))
+    lines = l.select(F.concat(text("l", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), text("o", "l_orderkey").alias("parent_id"))
     nodes = lines.unionByName(o.select(text("o", "o_orderkey").alias("id"), text("c", "o_custkey").alias("parent_id"))).unionByName(c.select(text("c", "c_custkey").alias("id"), text("n", "c_nationkey").alias("parent_id"))).unionByName(n.select(text("n", "n_nationkey").alias("id"), text("r", "n_regionkey").alias("parent_id")))
     return graph.ancestors(nodes.distinct(), lines.select("id").distinct())
 
@@ -271,10 +304,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HOPS = ["amends", "defined_in", "proviso_of", "exception_to"]
 
 
-@query(f"WITH {_EDGES}, ways AS (SELECT src, dst FROM found WHERE kind <> 'refers_to' UNION SELECT dst, src FROM found WHERE kind <> 'refers_to') SELECT DISTINCT src AS seed, dst AS reached FROM ways WHERE src LIKE '%#s2'")
+@query(f"WITH {_EDGES}, ways AS (SELECT src, dst FROM found WHERE kind <> 'refers_to' UNION SELECT dst, src FROM found WHERE kind <> 'refers_to') SELECT DISTINCT src AS seed, dst AS reached FROM ways")
 def edge_expand_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _ = graph.resolve_edges(_edges(spark, sf_dir), corpus.chunks(spark, sf_dir), "chunk_id")
-    seeds = corpus.chunks(spark, sf_dir).where("line = 2").select(F.col("chunk_id").alias("seed"), F.col("chunk_id").alias("node"))
+    seeds = corpus.chunks(spark, sf_dir).select(F.col("chunk_id").alias("seed"), F.col("chunk_id").alias("node"))
     return graph.expand(seeds, edges, _HOPS)
 
 
@@ -283,11 +316,16 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_edges(_edges(spark, sf_dir), corpus.chunks(spark, sf_dir), "chunk_id")[1]
 
 
-@query(f"""WITH {_EDGES}, ways AS (SELECT src, dst FROM found WHERE kind <> 'refers_to' UNION SELECT dst, src FROM found WHERE kind <> 'refers_to')
-SELECT DISTINCT w.src AS seed, c.chunk_id FROM ways w JOIN c_chunks c ON c.chunk_id = w.dst WHERE w.src LIKE '%#s2' AND c.version = 'live' AND c.valid_from <= DATE '2022-06-01' AND (c.valid_to IS NULL OR c.valid_to > DATE '2022-06-01')""")
+@query(f"""WITH {_EDGES}, ways AS (SELECT src, dst FROM found WHERE kind <> 'refers_to' UNION SELECT dst, src FROM found WHERE kind <> 'refers_to'), up1 AS (SELECT a.chunk_id AS seed, b.chunk_id AS r, b.line FROM c_chunks a JOIN c_chunks b ON b.doc_key = a.doc_key AND b.line = a.line // 4 AND a.line > 0),
+up2 AS (SELECT u.seed, b.chunk_id AS r, b.line FROM up1 u JOIN c_chunks b ON u.line > 0 AND b.chunk_id = split_part(u.r, '#', 1) || '#s' || CAST(u.line // 4 AS VARCHAR)), reached AS (SELECT seed, r FROM up1 UNION SELECT seed, r FROM up2 UNION SELECT src, dst FROM ways)
+SELECT DISTINCT seed, c.chunk_id FROM reached JOIN c_chunks c ON c.chunk_id = r WHERE seed <> r AND c.version = 'live' AND c.valid_from <= DATE '2022-06-01' AND (c.valid_to IS NULL OR c.valid_to > DATE '2022-06-01')""")
 def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reached = edge_expand_1hop(spark, sf_dir).withColumnRenamed("reached", "chunk_id")
-    return gate.regate(reached, gate.gate(corpus.chunks(spark, sf_dir), "live", ["IN", "INTL"], "2022-06-01"), ["chunk_id"]).select("seed", "chunk_id")
+    """Two levels of ancestors, a line's parent being the one at a quarter of its number, and one hop over edges."""
+    c = corpus.chunks(spark, sf_dir)
+    edges, _ = graph.resolve_edges(_edges(spark, sf_dir), c, "chunk_id")
+    nodes = c.select(F.col("chunk_id").alias("id"), F.when(F.col("line") > 0, F.concat("doc_key", F.lit("#s"), F.floor(F.col("line") / 4).cast("string"))).alias("parent_id"))
+    reached = graph.related(nodes, edges, c.select(F.col("chunk_id").alias("seed")), _HOPS, 2).withColumnRenamed("reached", "chunk_id")
+    return gate.regate(reached, gate.gate(c, "live", ["IN", "INTL"], "2022-06-01"), ["chunk_id"]).select("seed", "chunk_id")
 
 
 @query(f"WITH {C_CHUNKS} SELECT a.chunk_id AS child, b.chunk_id AS parent FROM c_chunks a JOIN c_chunks b ON b.doc_key = a.doc_key AND b.line = a.line // 4 AND b.line < a.line WHERE a.version = 'live'")
@@ -308,12 +346,12 @@ def rule_key_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cites.join(a, F.col("cite") == F.col("a"), "left").join(b, F.col("other") == F.col("b"), "left").select("doc_id", F.coalesce("a", "b").alias("chunk_id"))
 
 
-@query(f"WITH {C_CHUNKS}, keys AS (SELECT doc_key, chunk_id || (CASE line % 3 WHEN 0 THEN '' WHEN 1 THEN '(a)' ELSE '-proviso' END) AS k, chunk_id AS root, line FROM c_chunks), asked AS (SELECT chunk_id AS root FROM c_chunks WHERE line % 4 = 1) SELECT a.root, k FROM asked a JOIN keys ON keys.root = a.root WHERE k = a.root OR starts_with(k, a.root || '(') OR starts_with(k, a.root || '-')")
+@query(f"WITH {C_CHUNKS}, keys AS (SELECT doc_key, chunk_id || (CASE line % 3 WHEN 0 THEN '' WHEN 1 THEN '(a)' ELSE '-proviso' END) AS k, chunk_id AS root, line FROM c_chunks), asked AS (SELECT chunk_id AS root FROM c_chunks) SELECT a.root, k FROM asked a JOIN keys ON keys.root = a.root WHERE k = a.root OR starts_with(k, a.root || '(') OR starts_with(k, a.root || '-')")
 def descendant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = corpus.chunks(spark, sf_dir)
     tail = F.when(F.col("line") % 3 == 0, "").when(F.col("line") % 3 == 1, "(a)").otherwise("-proviso")
     keys = c.select(F.concat("chunk_id", tail).alias("k")).withColumn("root", F.regexp_extract("k", r"^([^(-]+)", 1))
-    asked = c.where("line % 4 = 1").select(F.col("chunk_id").alias("root"))
+    asked = c.select(F.col("chunk_id").alias("root"))
     return asked.join(keys, "root").where((F.col("k") == F.col("root")) | F.col("k").startswith(F.concat("root", F.lit("("))) | F.col("k").startswith(F.concat("root", F.lit("-")))).select("root", "k")
 
 

@@ -1,6 +1,6 @@
 """Queries of the text functions, verification and rules.
 
-The data hold no legal text, so legal phrases are mixed into document lines from their ids, by the
+The data hold no legal text, so a legal phrase is put before each whole document by its id, by the
 same expression here and in the SQL.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import routing, text as tx
 from attesta.operators import rules
+from attesta.operators.assessments import watchlist_hits
 from attesta.session import table
 
 QUERIES = {}
@@ -45,7 +46,7 @@ PREMISES = [
 _P = ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES)
 _Q = ", ".join("'" + p.replace("'", "''") + "'" for p in PREMISES)
 MIXED = f"""mixed AS (
-  SELECT doc_id, ([{_P}])[doc_id % {len(PHRASES)} + 1] || ' ' || split_part(text, chr(10), 1) AS t, ([{_P}])[doc_id % {len(PHRASES)} + 1] AS claim, ([{_Q}])[doc_id % {len(PREMISES)} + 1] AS premise,
+  SELECT doc_id, ([{_P}])[doc_id % {len(PHRASES)} + 1] || ' ' || text AS t, ([{_P}])[doc_id % {len(PHRASES)} + 1] || ' ' || text AS claim, ([{_Q}])[doc_id % {len(PREMISES)} + 1] AS premise,
          (doc_id * 37 % 101) / 100.0 AS entailment FROM documents
 )"""
 
@@ -53,7 +54,8 @@ MIXED = f"""mixed AS (
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("doc_id") % len(of) + 1).cast("int"))
-    return d.select("doc_id", F.concat(pick(PHRASES), F.lit(" "), F.split_part("text", F.lit("\n"), F.lit(1))).alias("t"), pick(PHRASES).alias("claim"), pick(PREMISES).alias("premise"), F.concat_ws(" ", pick(PHRASES), "text").alias("whole"), ((F.col("doc_id") * 37 % 101) / 100.0).alias("entailment"))
+    whole = F.concat_ws(" ", pick(PHRASES), "text")
+    return d.select("doc_id", whole.alias("t"), whole.alias("claim"), pick(PREMISES).alias("premise"), whole.alias("whole"), ((F.col("doc_id") * 37 % 101) / 100.0).alias("entailment"))
 
 
 def _joined(c):
@@ -75,15 +77,22 @@ def alias_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.size("s") > 0).select("doc_id", _joined("s").alias("s")).select("doc_id", F.replace("s", F.lit("|"), F.lit(",")).alias("sources"))
 
 
-@query(f"""WITH {MIXED} SELECT doc_id, lower(regexp_extract(t, '(?i)\\b(?:section|sec\\.?|s\\.|rule|r\\.)\\s*(\\d+[A-Za-z]*(?:\\([a-zA-Z0-9]+\\))*)', 1)) AS clause,
-  CASE WHEN doc_id % 8 = 0 THEN 'patents_act_1970#s3(p)' END AS section_key FROM mixed WHERE doc_id % 8 < 3""")
+@query(f"""WITH {MIXED} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(t, '(?i)\\b(?:section|sec\\.?|s\\.|rule|r\\.)\\s*(\\d+[A-Za-z]*(?:\\([a-zA-Z0-9]+\\))*)', 1), lambda c: lower(c)), ',') AS clauses,
+  CASE WHEN doc_id % 8 = 0 THEN 'patents_act_1970#s3(p)' ELSE '' END AS section_keys FROM mixed""")
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.try_element_at(routing.citations(F.col("t")), F.lit(1))
-    return mixed(spark, sf_dir).where("doc_id % 8 < 3").select("doc_id", F.coalesce(first["clause"], F.lit("")).alias("clause"), first["section_key"].alias("section_key"))
+    found = mixed(spark, sf_dir).select("doc_id", routing.citations(F.col("t")).alias("c"))
+    return found.select("doc_id", F.array_join("c.clause", ",").alias("clauses"), F.array_join("c.section_key", ",").alias("section_keys"))
 
 
-@query(f"""WITH {MIXED} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'qa' WHEN 1 THEN 'out_of_scope' WHEN 2 THEN 'qa' WHEN 3 THEN 'out_of_scope' WHEN 4 THEN 'out_of_scope' WHEN 5 THEN 'out_of_scope' WHEN 6 THEN 'qa' ELSE 'out_of_scope' END AS intent,
-  CASE WHEN doc_id % 8 = 0 OR doc_id % 8 = 6 THEN 'patents_act_1970#s3(p)' END AS section_key FROM mixed""")
+def _route_sql() -> str:
+    says = lambda pattern: f"regexp_matches(claim, '{pattern}')"
+    cases = [(says(routing.UNRELATED), "out_of_scope", "NULL"), (says(routing.LEGAL_ADVICE), "legal_advice", "NULL"), ("doc_id % 8 = 0", "qa", "'patents_act_1970#s3(p)'"), (says(routing.TK_PATENT), "qa", "'patents_act_1970#s3(p)'")]
+    cases += [(says(pattern), intent, "NULL") for intent, pattern in routing.KEYWORDS] + [(says(routing.DOMAIN), "qa", "NULL")]
+    pick = lambda i: " ".join(f"WHEN {c[0]} THEN {c[i] if i == 2 else repr(c[i])}" for c in cases)
+    return f"WITH {MIXED} SELECT doc_id, CASE {pick(1)} ELSE 'out_of_scope' END AS intent, CASE {pick(2)} END AS section_key FROM mixed"
+
+
+@query(_route_sql())
 def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", routing.route(F.col("claim")).alias("r")).select("doc_id", "r.intent", "r.section_key")
 
@@ -191,20 +200,23 @@ def url_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", authoritative(F.col("url"), ["example.org", "example.net"]).alias("authoritative"))
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') AS t, length(html) AS area FROM pages) SELECT page_id, CASE WHEN trim(t, ' ') = '' THEN area = 0 ELSE round(length(trim(t, ' ')) * 1000.0 / area, 6) < 800 AND length(trim(t, ' ')) < 2000 END AS review FROM p""")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') AS t, length(html) AS area FROM pages) SELECT page_id, CASE WHEN page_id % 9 = 4 THEN area = 0 WHEN trim(t, ' ') = '' THEN area = 0 ELSE CASE WHEN area > 0 THEN length(trim(t, ' ')) * 1000.0 / (area * 100) ELSE 0 END < 3.0 AND length(trim(t, ' ')) < 100 END AS review FROM p""")
 def ocr_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
-    p = table(spark, sf_dir, "pages").select("page_id", t.alias("t"), F.length("html").alias("area"))
-    return p.select("page_id", F.when(F.col("t") == "", F.col("area") == 0).otherwise((F.round(F.length("t") * 1000.0 / F.col("area"), 6) < 800) & (F.length("t") < 2000)).alias("review"))
+    from attesta.operators.quality import needs_ocr_review, page_density
+
+    p = table(spark, sf_dir, "pages").select("page_id", t.alias("t"), "html", (F.length("html") * 100).alias("area"))
+    shown = F.when(F.col("page_id") % 9 == 4, "<< Previous page | NEXT >>").otherwise(F.col("t"))
+    return p.select("page_id", needs_ocr_review(shown, F.col("html"), page_density(F.col("t"), F.col("area"))).alias("review"))
 
 
 _IPC = {"tion": "A61K", "ble": "A61P", "heit": "C12N", "eux": "A23L"}
 
 
-@query("""WITH k AS (SELECT unnest(['tion', 'ble', 'heit', 'eux']) AS s, unnest(['A61K', 'A61P', 'C12N', 'A23L']) AS c), t AS (SELECT p_partkey, doc.text FROM part JOIN (SELECT doc_id, substr(text, 1, 30) AS text FROM documents) doc ON doc.doc_id = p_partkey % 100)
+@query("""WITH k AS (SELECT unnest(['tion', 'ble', 'heit', 'eux']) AS s, unnest(['A61K', 'A61P', 'C12N', 'A23L']) AS c), t AS (SELECT p_partkey, doc.text FROM part JOIN documents doc ON doc.doc_id = p_partkey % 100)
 SELECT p_partkey, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), 'A61K 36/00') AS classes FROM t LEFT JOIN k ON contains(text, s) GROUP BY p_partkey""")
 def ipc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.substring("text", 1, 30).alias("text"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
     t = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 100).join(d, "k")
     found = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(s)), c) for s, c in _IPC.items()]), lambda x: x.isNotNull())))
     return t.select("p_partkey", F.coalesce(F.nullif(F.array_join(found, ","), F.lit("")), F.lit("A61K 36/00")).alias("classes"))
@@ -281,7 +293,7 @@ def intake_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.create_map(*pairs).alias("answers")).select("o_orderkey", rules.intake().alias("outcome"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS k, list(DISTINCT p_brand) AS b, list(DISTINCT split_part(p_type, ' ', 1)) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey), a AS (SELECT * FROM o WHERE k % 500 = 1), r AS (SELECT * FROM o WHERE k % 50 = 7),
+@query("""WITH o AS (SELECT l_orderkey AS k, list(DISTINCT p_brand) AS b, list(DISTINCT split_part(p_type, ' ', 1)) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey), a AS (SELECT * FROM o WHERE k % 50 = 0), r AS (SELECT * FROM o),
 x AS (SELECT a.k AS ask, r.k AS ref, len(list_intersect(a.b, r.b)) AS m, len(a.b) + len(r.b) - len(list_intersect(a.b, r.b)) AS u, list_contains(r.t, 'STANDARD') AS boost FROM a JOIN r ON list_has_any(a.b, r.b)), s AS (
   SELECT ask, ref, round(least(1.0, CAST(m AS DOUBLE) / u + CASE WHEN boost THEN 0.15 ELSE 0 END), 2) AS score FROM x)
 SELECT ask, ref, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, ref) AS rank FROM s) WHERE rank <= 8""")
@@ -289,19 +301,20 @@ def formulation_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.operators.ranking import top_k
 
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("t"))
-    o = table(spark, sf_dir, "lineitem").where("l_orderkey % 500 = 1 OR l_orderkey % 50 = 7").join(p, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("b"), F.collect_set("t").alias("t"))
-    a = o.where("l_orderkey % 500 = 1").select(F.col("l_orderkey").alias("ask"), F.col("b").alias("ab"))
-    r = o.where("l_orderkey % 50 = 7").select(F.col("l_orderkey").alias("ref"), F.col("b").alias("rb"), F.array_contains("t", "STANDARD").alias("boost"))
+    o = table(spark, sf_dir, "lineitem").join(p, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("b"), F.collect_set("t").alias("t"))
+    a = o.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("ask"), F.col("b").alias("ab"))
+    r = o.select(F.col("l_orderkey").alias("ref"), F.col("b").alias("rb"), F.array_contains("t", "STANDARD").alias("boost"))
     # pairs that share an ingredient, by an equi-join
     pairs = a.select("ask", F.explode("ab").alias("x")).join(r.select("ref", F.explode("rb").alias("x")), "x").select("ask", "ref").distinct()
     s = pairs.join(a, "ask").join(r, "ref").select("ask", "ref", rules.set_match("ab", "rb", F.col("boost")).alias("score"))
     return top_k(s, ["ask"], [F.desc("score"), "ref"], 8)
 
 
-@query("""WITH o AS (SELECT l_orderkey AS k, list(DISTINCT l_suppkey) AS s FROM lineitem WHERE l_orderkey % 100 = 3 GROUP BY l_orderkey), w AS (SELECT s_nationkey AS n, list(s_suppkey) AS s FROM supplier GROUP BY s_nationkey) SELECT k, n FROM o JOIN w ON list_has_any(o.s, w.s)""")
+@query("""WITH o AS (SELECT l_orderkey AS k, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY l_orderkey), w AS (SELECT s_nationkey AS n, list(s_suppkey) AS s FROM supplier GROUP BY s_nationkey) SELECT k, n FROM o JOIN w ON list_has_any(o.s, w.s)""")
 def species_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 3").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("s_suppkey"))
-    return o.join(table(spark, sf_dir, "supplier"), "s_suppkey").select("k", F.col("s_nationkey").alias("n")).distinct()
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ask")).agg(F.collect_set("l_suppkey").alias("items"))
+    w = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("case")).agg(F.collect_set("s_suppkey").alias("species"))
+    return watchlist_hits(o, w).select(F.col("ask").alias("k"), F.col("case").alias("n"))
 
 
 @query()

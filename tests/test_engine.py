@@ -154,14 +154,6 @@ def test_longest_increasing():
     assert structure.longest_increasing([3, 1, 2, 5, 4]) == [1, 2, 4] and structure.longest_increasing([]) == []
 
 
-def test_chunks_are_verbatim():
-    text = "CHAPTER I\n1. Short title\nThis is one. (a) first part (b) second part\n2. Definitions\nMore.\nCHAPTER II\n3. End\nx"
-    got = structure.chunk_text(text)
-    assert [k for k, *_ in got] == ["cI/s1", "cI/s1(a)", "cI/s1(b)", "cI/s2", "cII/s3"]
-    assert text[got[1][2]:got[1][3]] == "(a) first part " and all(text[s:e] for _, _, s, e in got)
-    assert [k for k, *_ in structure.chunk_text("plain\n\ntext")] == ["p1", "p3"]
-
-
 def test_rate_limit_forgets_rejected_hits(spark, tmp_path):
     assert [a for a, _ in decide([0, 1, 2, 10.5, 11.5], deque(), 2, 10)] == [True, True, False, True, True]
     events = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate([0, 1, 2, 10.5, 11.5])] + [(2, 9, 1.0)], "u bigint, e bigint, s double").select("u", "e", F.col("s").cast("timestamp").alias("ts"))
