@@ -98,7 +98,7 @@ def intent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MIXED}, one AS (SELECT doc_id, regexp_replace(claim, '\\b\\d{{2}}[A-Z]{{5}}\\d{{4}}[A-Z][A-Z\\d]Z[A-Z\\d]\\b', '[GSTIN]', 'g') AS t FROM mixed), two AS (SELECT doc_id, regexp_replace(t, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b', '[PAN]', 'g') AS t FROM one),
-three AS (SELECT doc_id, regexp_replace(t, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '[EMAIL]', 'g') AS t FROM two) SELECT doc_id, regexp_replace(t, '(^|[^\\d])(\\+?91[-\\s]?)?[6-9]\\d{{9}}', '\\1[PHONE]', 'g') AS scrubbed FROM three""")
+three AS (SELECT doc_id, regexp_replace(t, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '[EMAIL]', 'g') AS t FROM two) SELECT doc_id, regexp_replace(t, '(^|[^\\d])(\\+?91[-\\s]?)?[6-9]\\d{{9}}($|[^\\d])', '\\1[PHONE]\\3', 'g') AS scrubbed FROM three""")
 def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", tx.scrub_pii(F.col("claim")).alias("scrubbed"))
 
