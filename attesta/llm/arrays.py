@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,55 @@ import pyarrow.compute  # noqa: F401
 STEP_BYTES = 8 << 20
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+_LAST = [0.0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little; at most five times a second."""
+    if _LIBC and time.monotonic() - _LAST[0] > 0.2:
+        pa.default_memory_pool().release_unused()
+        _LIBC.malloc_trim(0)
+        _LAST[0] = time.monotonic()
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back at its end."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _LAST[0] = 0.0
+        give_back()
+
+    return mapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """The same for applyInArrow."""
+
+    def grouped(t: pa.Table) -> pa.Table:
+        out = run(t)
+        give_back()
+        return out
+
+    return grouped
+
+
+def lean_cogroup(run: Callable) -> Callable:
+    """The same for two tables."""
+
+    def cogrouped(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return cogrouped
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every input bit (murmur3's finaliser)."""
     x = x ^ (x >> np.uint64(33))

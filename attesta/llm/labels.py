@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from attesta.session import materialize
 
 
 def held_out(key: str, folds: int, fold: int):
@@ -23,7 +26,17 @@ def label_sample(labels: DataFrame, label: str, per_class: int, folds: int, fold
     return picked[0].unionByName(picked[1]), sizes
 
 
-def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """_text and y of the sampled documents; the sample is bounded, so it is broadcast."""
+def labelled_texts(docs: DataFrame, sample: DataFrame, class_bytes: int) -> DataFrame:
+    """_doc, _text and y of the sampled documents; the sample is bounded, so it is broadcast.
+
+    One row a doc_id: its shortest text, of the smallest hash. Of each class the texts in the order
+    of the ids' hashes stay while they have at most class_bytes together (the first stays anyway).
+    """
     ids = F.broadcast(sample.select(F.col("doc_id").alias("_id"), F.col("y").alias("_y")))
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(ids, F.col("_doc") == F.col("_id")).select("_text", F.col("_y").alias("y"))
+    size = F.coalesce(F.octet_length("_text"), F.lit(0))
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(ids, F.col("_doc") == F.col("_id"))
+    rows = rows.groupBy("_doc").agg(F.min(F.struct(size.alias("size"), F.xxhash64("_text").alias("hash"), "_text")).alias("row"), F.first("_y").alias("y")).select("_doc", "row._text", "row.size", "y")
+    rows = materialize(rows, "labelled-texts")
+    before = Window.partitionBy("y").orderBy(F.xxhash64("_doc"), "_doc").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("_doc", "size", F.sum("size").over(before).alias("total"), F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("_doc"), "_doc")).alias("k"))
+    return rows.join(F.broadcast(within.where((F.col("total") <= class_bytes) | (F.col("k") == 1)).select("_doc")), "_doc").select("_doc", "_text", "y")

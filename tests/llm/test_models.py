@@ -70,6 +70,86 @@ def test_labels_of_one_class_or_none(spark, labelled):
     assert toxicity.toxicity_report(docs.where("1 = 0"), labelled[1]).collect() == []
 
 
+def dense_toxicity(rows):
+    """An independent fit: dense matrix of n-gram sets, the same loss, minimised by plain gradient steps; the scores of all texts."""
+    def grams(text):
+        t = f" {text.lower()} "
+        return {t[i:i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    y = np.array([label for _, label in rows])
+    sets = [grams(t) for t, _ in rows]
+    names = sorted(set().union(*sets))
+    place = {g: i for i, g in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, s in enumerate(sets):
+        x[i, [place[g] for g in s]] = 1
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    c1, c0 = x[y == 1].sum(0), x[y == 0].sum(0)
+    r = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+    r[(c1 + c0 < 3) | (np.abs(r) < 1)] = 0
+    x = x * r / np.sqrt(np.median([len(s) for s in sets]))
+    w, b, weight = np.zeros(len(names)), 0.0, np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    for _ in range(3000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w -= 2.0 * (x.T @ g + 1e-3 * w)
+        b -= 2.0 * g.sum()
+    return 1 / (1 + np.exp(-(x @ w + b)))
+
+
+def test_toxicity_agrees_with_a_dense_fit(labelled):
+    docs, labels, known, _ = labelled
+    learned = [r for r in docs.where("doc_id < 600").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    want = dense_toxicity([(r.text, known[r.doc_id][1]) for r in learned])
+    model = toxicity.train(docs, labels)
+    got = np.array([1 / (1 + np.exp(-(model.bias + model.weights[toxicity.ngram_ids(r.text)].sum()))) for r in learned])
+    assert ((got >= 0.5) == (want >= 0.5)).mean() > 0.99 and np.corrcoef(got, want)[0, 1] > 0.97
+
+
+def test_ngrams_are_counted_once_a_document():
+    text = "Abcabc"
+    grams = {f" {text.lower()} "[i:i + n] for n in toxicity.ORDERS for i in range(len(text) + 3 - n)}
+    assert len(toxicity.ngram_ids(text)) == len(grams) == len(toxicity.ngram_ids(text, seen=np.zeros(1 << toxicity.BITS, np.int32)))
+
+
+def test_samples_are_bounded_in_bytes_and_rows(spark, labelled):
+    from attesta.llm.labels import label_sample, labelled_texts
+
+    docs = spark.createDataFrame([(i, "x" * (i % 90), "extra") for i in range(100)] + [(7, "again" * 30, "e")] * 50, "doc_id bigint, text string, y string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, toxic int")
+    sample, _ = label_sample(labels, "toxic", 1000, 5, 0)
+    rows = labelled_texts(docs, sample, 700).collect()
+    assert len({r._doc for r in rows}) == len(rows) and all(sum(len(r._text) for r in rows if r.y == y) <= 700 for y in (0, 1))
+    assert len(labelled_texts(docs, sample, 0).collect()) == 2 and len(labelled_texts(docs, sample, 1 << 20).collect()) == sample.count()
+    one = toxicity.train(*labelled[:2], class_bytes=0)
+    assert np.isfinite(one.weights).all()
+
+
+def test_quality_agrees_with_plain_gradient_steps():
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(300, 4))
+    y = (x @ [1, -2, 0.5, 0] + rnd.normal(size=300) > 0.3).astype(int)
+    ranking = quality.fit_pairs(x, y, y.mean())
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, 4)  # every preference pair
+    w = np.zeros(4)
+    for _ in range(2000):
+        w -= 0.5 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 1e-3 * w)
+    assert np.corrcoef(z @ w, ranking.raw(x))[0, 1] > 0.99
+    assert abs((ranking.score(x) >= 0.7).mean() - y.mean()) < 0.05
+    far = x[:1].copy()
+    far[0, 1] = 1e9  # one outlying feature scores like 8 deviations
+    assert ranking.raw(far) == pytest.approx(np.clip((far - ranking.mean) / ranking.scale, -8, 8) @ ranking.weights)
+
+
+def test_scores_with_clashing_columns_and_empty_tables(spark, labelled):
+    docs, labels = labelled[:2]
+    odd = docs.selectExpr("*", "'a' as score", "1 as _doc", "2 as _text", "3 as y", "4 as _score")
+    for report, keep, plain in ((toxicity.toxicity_report, toxicity.drop_toxic, toxicity), (quality.quality_report, quality.keep_quality, quality)):
+        assert sorted(report(odd, labels).collect(), key=str) == sorted(report(docs, labels).collect(), key=str)
+        assert keep(odd, labels).columns == odd.columns and keep(odd, labels).count() == keep(docs, labels).count()
+        assert report(docs.where("1 = 0"), labels).collect() == [] and keep(odd.where("1 = 0"), labels).collect() == [], plain
+
+
 def test_rules_and_hosts(spark):
     rows = [
         (1, "https://WWW.Example.NET/en/a?b#c", None), (2, "http://example.net/fr/", None), (3, "http://a.example.com/de/x", ""), (4, "http://a.example.com/en/x", '<a href="http://good.org/fr/1">'), (5, "http://good.org/fr/1", None),
@@ -110,6 +190,76 @@ def test_derivatives_link_back(spark):
     assert "source-header: Content-Type=text/html; charset=utf-8" in facts.block
 
 
+def test_derivatives_carry_the_headers_and_dates_of_their_input(spark):
+    pages = spark.sql("select 1L as page_id, 'http://a/' as url, '<p>x' as html, map('Content-Type', 'text/x', 'Server', 's') as h, timestamp'2020-02-03 04:05:06' as t union all select 2L, null, null, null, null")
+    source = warc.responses(pages, headers_column="h", date_column="t")
+    made = warc.derivatives(source.selectExpr("*", "'k' as warc_type", "'b' as block", "7 as crawl")).collect()
+    assert len(made) == 4 and made[0].asDict().keys() >= {"page_id", "crawl", "warc_type", "block"} and {r.warc_type for r in made} == {"metadata", "conversion"}
+    facts = {r.page_id: r for r in made if r.warc_type == "metadata"}
+    assert facts[1].date == "2020-02-03T04:05:06Z" and facts[1].source_headers == {"Content-Type": "text/x", "Server": "s"} and "source-header: Server=s\r\n" in facts[1].block
+    assert facts[2].date == "2024-01-01T00:00:00Z" and facts[2].source_headers["Content-Length"] == "0"
+    assert warc.derivative_report(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_url_verdicts_against_brute_force(spark):
+    rnd = random.Random(5)
+    names = ["a.net", "b.net", "example.net", "x.example.net", "example.com", "w.example.com", "good.org", "c.io", "d.io", "e.io", "f.io", "planet"]
+    rows = []
+    for i in range(150):
+        links = "".join(f'<a href="http://{rnd.choice(names)}/{rnd.choice(["en/", "fr/", ""])}">' for _ in range(rnd.randint(0, 4)))
+        rows.append((i, f"http://{rnd.choice(names)}/{rnd.choice(['en/', 'de/', 'fr/', ''])}{'long/' * (2000 if i == 3 else 0)}{i}?q#f", links))
+    rows += [(i, None, "<a href=//c.io/>") for i in (200, 200)]
+
+    def judged(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1].split("#")[0].split("?")[0]
+        host, slash, path = rest.partition("/")
+        host, path = host.lower(), slash + path
+        fit = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fit) if fit else None
+
+    hosts = {n: [0, 0, 0] for n in names}
+    links = {}
+    for _, url, html in rows:
+        host, _, rule = judged(url)
+        if host:
+            hosts[host][0] += 1
+            hosts[host][1 if rule and rule[2] == "allow" else 2] += rule is not None
+            for target in html.split('href="http://')[1:]:
+                links[host, target.split("/")[0]] = links.get((host, target.split("/")[0]), 0) + 1
+    share = {}
+    for way in (1, 2):
+        edges = {(a, b) if way == 1 else (b, a): n for (a, b), n in links.items()}
+        move = np.zeros((len(names), len(names)))
+        for i, a in enumerate(names):
+            total = sum(n for (x, _), n in edges.items() if x == a)
+            if not total:
+                move[i, i] = 1
+            for j, b in enumerate(names):
+                if (a, b) in edges:
+                    move[i, j] += edges[a, b] / total
+        seed, base = (np.array([hosts[n][k] for n in names], float) for k in (way, 0))
+        s, t = seed, base
+        for _ in range(12):
+            s, t = 0.15 * seed + 0.85 * s @ move, 0.15 * base + 0.85 * t @ move
+        share[way] = dict(zip(names, np.where(t > 0, s / np.maximum(t, 1e-300), 0), strict=True))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as host", "'y' as rule", "1 as trust", "2 as src")
+    got = urls.filter_urls(df).collect()
+    assert len(got) == len(rows)
+    by_url = {r[0]: r[1] for r in rows}
+    seen = set()
+    for r in got:
+        host, path, rule = judged(by_url[r.page_id])
+        method = "block" if host and share[2][host] - share[1][host] > 0.5 + 1e-9 else "allow"
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule and rule[1], rule[2] if rule else method)
+        assert not host or (r.trust, r.distrust) == (pytest.approx(share[1][host], abs=1e-5), pytest.approx(share[2][host], abs=1e-5))
+        seen.add((r.rule is None, r.verdict))
+    assert len(seen) >= 3
+    tie = [("block", "x.io", "/a/"), ("allow", "io", "/a/")]
+    assert [r.verdict for r in urls.filter_urls(spark.createDataFrame([(1, "http://x.io/a/b", None)], "page_id bigint, url string, html string"), tie).collect()] == ["block"]
+
+
 def test_pipeline_keeps_and_drops(spark):
     import corpus_pipeline
 
