@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.arrays import mix64, steps, text_bytes
+from attesta.llm.arrays import lean, mix64, steps, text_bytes
 
 #: Chunks kept by a worker, of about 0.1 KB each; when full, those met in one step only are dropped.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer matches are merged one at a time.
 BATCH_BYTES = 64
 #: Fixed value: the pattern of the public vocabularies. A blank begins a match of it wherever no white space is before it, and a line feed between other characters is a match.
@@ -111,16 +111,10 @@ def lone_space(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (seen[at[1:]] == seen[at[:-1]]) & (np.diff(at) > 0)
 
 
-_POWERS: list[np.ndarray] = []
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x9E3779B97F4A7C15
-        size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.full(size, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of an odd number modulo 2^64, and of its inverse; not kept, as workers wait with what they keep."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.cumprod(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
 
 
 def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -439,7 +433,7 @@ def _coded(df: DataFrame, text: str, key: str, ranks_path: str, pattern: str, ba
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
         for batch in batches:
-            for part in steps(batch, "_text", 2 << 20):
+            for part in steps(batch, "_text", 1 << 20):
                 ids, offsets, decoded, ends = codec.encode_all(*text_bytes(part["_text"]))
                 columns = [part["_key"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
                 if back:
@@ -447,7 +441,7 @@ def _coded(df: DataFrame, text: str, key: str, ranks_path: str, pattern: str, ba
                 yield pa.RecordBatch.from_arrays(columns, ["_key", "ids", "decoded"][: len(columns)])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, ids array<int>" + ", decoded binary" * back).withColumnRenamed("_key", key)
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(lean(run), f"_key {kind}, ids array<int>" + ", decoded binary" * back).withColumnRenamed("_key", key)
 
 
 def bpe_decode(df: DataFrame, ids: str, key: str, ranks_path: str, pattern: str) -> DataFrame:
@@ -460,7 +454,7 @@ def bpe_decode(df: DataFrame, ids: str, key: str, ranks_path: str, pattern: str)
             yield pa.RecordBatch.from_arrays([batch["_key"], pa.array([codec.decode(np.array(x or [], np.int32)).tobytes() for x in batch["_ids"].to_pylist()], pa.binary())], ["_key", "decoded"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(ids).alias("_ids")).mapInArrow(run, f"_key {kind}, decoded binary").withColumnRenamed("_key", key)
+    return df.select(F.col(key).alias("_key"), F.col(ids).alias("_ids")).mapInArrow(lean(run), f"_key {kind}, decoded binary").withColumnRenamed("_key", key)
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.arrays import steps
+from attesta.llm.arrays import lean, steps
 
 UNKNOWN = "application/octet-stream"
 
@@ -271,7 +271,7 @@ def sniff_media(df: DataFrame, content: str, declared: str, key: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([part["_key"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], ITEMS)], ["_key", "detected", "corrected", "items"])
 
     kind = df.schema[_free_key(key, ("detected", "corrected", "items"))].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(content).cast("binary").alias("_content"), F.col(declared).alias("_declared")).mapInArrow(run, f"_key {kind}, {_SNIFFED}").withColumnRenamed("_key", key)
+    return df.select(F.col(key).alias("_key"), F.col(content).cast("binary").alias("_content"), F.col(declared).alias("_declared")).mapInArrow(lean(run), f"_key {kind}, {_SNIFFED}").withColumnRenamed("_key", key)
 
 
 def carve_media(df: DataFrame, content: str, items: str) -> DataFrame:
@@ -313,7 +313,7 @@ def store_media(df: DataFrame, text: str, key: str, unit: int = 64) -> DataFrame
                 )
 
     kind = df.schema[_free_key(key, ("n_bytes", "media", "payload", "detected", "corrected", "items", "signal"))].dataType.simpleString()
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, n_bytes bigint, media binary, payload binary, {_SNIFFED}, signal string").withColumnRenamed("_key", key)
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(lean(run), f"_key {kind}, n_bytes bigint, media binary, payload binary, {_SNIFFED}, signal string").withColumnRenamed("_key", key)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

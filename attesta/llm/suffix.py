@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.arrays import mix64, text_bytes
+from attesta.llm.arrays import lean_cogroup, lean_group, mix64, text_bytes
 
 LENGTH = 50
 #: Long enough that unlike texts seldom share one by chance; the longer, the more anchors.
@@ -37,14 +37,16 @@ ANCHOR = 24
 BLOCK_BYTES = 2 << 20
 #: Bytes of runs that one suffix array takes: positions must fit 21 bits.
 PART_BYTES = (1 << 21) - 1
-_SLICE = 1 << 20
+#: Bytes that are hashed at a time.
+_SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.full(max(n, 1 << 16), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    """Powers of an odd number modulo 2^64, and of its inverse, for at most a slice and a string."""
+    if not _POWERS:
+        _POWERS[:] = [np.cumprod(np.full(_SLICE + 4 * LENGTH, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -54,6 +56,20 @@ def _sums(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _run_hashes(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of a text of runs (at most 76 bytes each), a slice at a time."""
+    stop = np.cumsum(size)
+    out, a = np.zeros(len(size), np.uint64), 0
+    while a < len(size):
+        begin = stop[a] - size[a]
+        z = max(a + 1, int(np.searchsorted(stop, begin + _SLICE, side="right")))
+        at, end = stop[a:z] - size[a:z] - begin, stop[a:z] - begin
+        sums = _sums(text[begin:begin + end[-1]])
+        out[a:z] = mix64((sums[end] - sums[at]) * _powers(int(end[-1]))[1][at] + size[a:z].astype(np.uint64))
+        a = z
+    return out
+
+
 def gram_runs(b: np.ndarray, offsets: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first and last start of each run of 50-byte strings with one anchor, the anchor's hash and a hash of the run's bytes."""
     begins, ends = offsets[:-1][usable], offsets[1:][usable] - LENGTH + 1
@@ -97,17 +113,22 @@ def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.
     Ranks by 5 bytes come from one sort; each refinement sorts tied positions by the rank h bytes on, until h is depth.
     """
     n = len(text)
-    wide = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
+    wide = np.concatenate([text, np.zeros(8, np.uint8)])
+    packed = np.zeros(n, np.uint64)
     for k in range(5):
-        key = (key << np.uint64(8)) | np.where(left > k, wide[k:k + n], 0)
+        packed <<= np.uint64(8)
+        packed |= np.where(left > k, wide[k:k + n], np.uint8(0))
     place = np.uint64((1 << 21) - 1)
-    packed = np.sort((key << np.uint64(21)) | np.arange(n, dtype=np.uint64))
-    sa = (packed & place).astype(np.int64)
+    packed <<= np.uint64(21)
+    packed |= np.arange(n, dtype=np.uint32)
+    packed.sort()
+    sa = (packed & place).astype(np.int32)
+    packed >>= np.uint64(21)
     head = np.ones(n, bool)
-    head[1:] = (packed[1:] >> np.uint64(21)) != (packed[:-1] >> np.uint64(21))
-    rank = np.empty(n, np.uint64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0)).astype(np.uint64) + np.uint64(1)
+    head[1:] = packed[1:] != packed[:-1]
+    del packed
+    rank = np.empty(n, np.uint32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.uint32), np.uint32(0))) + np.uint32(1)
     h = 5
     while h < depth:
         step = min(h, depth - h)
@@ -118,14 +139,14 @@ def suffix_array(text: np.ndarray, left: np.ndarray, depth: int = LENGTH) -> np.
             break
         at = sa[slots]
         on = at + step
-        further = np.where(left[at] > step, rank[np.minimum(on, n - 1)], 0)
+        further = np.where(left[at] > step, rank[np.minimum(on, n - 1)], 0).astype(np.uint64)
         # ties stay in the slots of their group, as the group's rank leads
-        packed = np.sort((rank[at] << np.uint64(42)) | (further << np.uint64(21)) | at.astype(np.uint64))
-        sa[slots] = (packed & place).astype(np.int64)
+        packed = np.sort((rank[at].astype(np.uint64) << np.uint64(42)) | (further << np.uint64(21)) | at.astype(np.uint64))
+        sa[slots] = (packed & place).astype(np.int32)
         new = np.ones(len(slots), bool)
         new[1:] = (packed[1:] >> np.uint64(21)) != (packed[:-1] >> np.uint64(21))
         head[slots] = new
-        rank[sa[slots]] = np.maximum.accumulate(np.where(new, slots, 0)).astype(np.uint64) + np.uint64(1)
+        rank[sa[slots]] = (np.maximum.accumulate(np.where(new, slots, 0)) + 1).astype(np.uint32)
         h += step
     return sa
 
@@ -136,11 +157,11 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, first: np.ndarray, counts:
     Kasai's method over all runs at once: in text order a position shares at least one byte less
     than the one before it did, unless its neighbour's run ends. first and counts: the runs' positions in sa's domain.
     """
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[sa[1:]] = sa[:-1]
     member = np.zeros(len(text) + 1, bool)
     member[sa] = True
-    shared = np.zeros(len(text), np.int64)
+    shared = np.zeros(len(text), np.uint8)  # depth is below 256
     wide = np.concatenate([text, np.zeros(depth, np.uint8)])
     order = np.argsort(-counts, kind="stable")
     first, counts = first[order], counts[order]
@@ -186,16 +207,16 @@ def repeated_starts(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, part_
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         t, n = text[offsets[a]:offsets[z]], sizes[a:z]
         begin = offsets[a:z] - offsets[a]
-        left = np.repeat(begin + n, n) - np.arange(len(t))
+        left = np.repeat((begin + n).astype(np.int32), n) - np.arange(len(t), dtype=np.int32)
         sa = suffix_array(t, left)
         sa = sa[left[sa] >= LENGTH]
         shared = common_prefixes(t, sa, begin, n - LENGTH + 1)
         head = shared < LENGTH
         head[:1] = True
         at_head = np.flatnonzero(head)
-        own = np.repeat(docs[a:z], n)[sa]
-        least = np.minimum.reduceat(own, at_head)
-        parts.append((len(t), sa, np.cumsum(head) - 1, own, least, left))
+        own = np.repeat(np.arange(a, z, dtype=np.int32), n)[sa]
+        least = np.minimum.reduceat(docs[own], at_head) if len(own) else np.zeros(0, docs.dtype)
+        parts.append((len(t), sa, np.cumsum(head, dtype=np.int32) - 1, own, least, left))
         if len(cuts) > 2:
             window = np.lib.stride_tricks.sliding_window_view(t, LENGTH)[sa[at_head]]
             strings = np.concatenate([window, np.ones((len(window), 1), np.uint8)], 1)  # the last byte keeps trailing zeros
@@ -204,7 +225,7 @@ def repeated_starts(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, part_
     out = []
     for (n, sa, group, own, _, left), least in zip(parts, merged, strict=True):
         flag = np.zeros(n, bool)
-        flag[sa] = least[group] < own
+        flag[sa] = least[group] < docs[own]
         out.append(flag[left >= LENGTH])
     return np.concatenate(out) if out else np.zeros(0, bool)
 
@@ -346,9 +367,7 @@ def _find_repeats(t: pa.Table) -> pa.Table:
         text = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
         docs = np.frombuffer(b"".join(t["docs"].to_pylist()), np.int64)
         # equal runs are sorted once, as the smallest document's
-        stop = np.cumsum(size)
-        at, sums = stop - size, _sums(text)
-        own = mix64((sums[stop] - sums[at]) * _powers(len(text))[1][at] + size.astype(np.uint64))
+        at, own = np.cumsum(size) - size, _run_hashes(text, size)
         order = np.lexsort((docs, size, own))
         new = np.ones(len(order), bool)
         new[1:] = (own[order][1:] != own[order][:-1]) | (size[order][1:] != size[order][:-1])
@@ -384,7 +403,7 @@ def _cut(names: list[str]):
         if spans.num_rows:
             np.add.at(gone, np.frombuffer(b"".join(spans["starts"].to_pylist()), np.int64), 1)
             np.add.at(gone, np.frombuffer(b"".join(spans["ends"].to_pylist()), np.int64), -1)
-        keep = np.cumsum(gone[:-1]) == 0
+        keep = np.cumsum(gone[:-1], dtype=np.int32) == 0
         removed, runs, kept = [], [], []
         for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             k = keep[a:z]
@@ -413,12 +432,12 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     hashed = F.when(F.col(f"c{of}").isNull(), F.xxhash64(f"c{at}")).otherwise(F.xxhash64(f"c{of}"))
     dealt = own.select(F.pmod(hashed, F.lit(blocks)).cast("int").alias("_block"), F.col(f"c{of}").cast("bigint").alias("_id"), F.col(f"c{at}").alias("_text"), *[c for c in names if c != f"c{at}"])
     kept_columns = [c for c in names if c != f"c{at}"]
-    anchors = dealt.groupBy("_block").applyInArrow(_list_anchors(shards), _LIST)
-    shared = anchors.groupBy("b").applyInArrow(_shared_anchors, _SHARED)
-    runs = dealt.groupBy("_block").cogroup(shared.groupBy("block")).applyInArrow(_send_runs(shards), _RUNS)
-    spans = runs.groupBy("b").applyInArrow(_find_repeats, _SPANS)
+    anchors = dealt.groupBy("_block").applyInArrow(lean_group(_list_anchors(shards)), _LIST)
+    shared = anchors.groupBy("b").applyInArrow(lean_group(_shared_anchors), _SHARED)
+    runs = dealt.groupBy("_block").cogroup(shared.groupBy("block")).applyInArrow(lean_cogroup(_send_runs(shards)), _RUNS)
+    spans = runs.groupBy("b").applyInArrow(lean_group(_find_repeats), _SPANS)
     columns = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in kept_columns)
-    return dealt.groupBy("_block").cogroup(spans.groupBy("block")).applyInArrow(_cut(kept_columns), f"{columns}, _n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept binary, _kept_text string")
+    return dealt.groupBy("_block").cogroup(spans.groupBy("block")).applyInArrow(lean_cogroup(_cut(kept_columns)), f"{columns}, _n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept binary, _kept_text string")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

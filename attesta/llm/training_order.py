@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
-from attesta.llm.arrays import steps, text_bytes
+from attesta.llm.arrays import lean, lean_group, steps, text_bytes
 from attesta.session import materialize, shared_dir
 
 MAGIC = b"SEQSHARD"
@@ -177,8 +177,8 @@ def write_shards(docs: DataFrame, out: str, text: str = "text", key: str = "doc_
             target.move(partial, path)
         return pa.table({"shard": [shard], "path": [f"{out}/shard-{shard:08d}.bin"], "first_slot": [first], "sequences": [count], "bytes": [size]})
 
-    sent = named.mapInArrow(send, "shard bigint, slots binary, records binary")
-    return materialize(sent.groupBy("shard").applyInArrow(store, "shard bigint, path string, first_slot bigint, sequences bigint, bytes bigint"), "order-manifest")
+    sent = named.mapInArrow(lean(send), "shard bigint, slots binary, records binary")
+    return materialize(sent.groupBy("shard").applyInArrow(lean_group(store), "shard bigint, path string, first_slot bigint, sequences bigint, bytes bigint"), "order-manifest")
 
 
 def read_shards(manifest: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
@@ -208,7 +208,7 @@ def read_shards(manifest: DataFrame, first: int = 0, last: int | None = None) ->
 
     wanted = manifest.where((F.col("first_slot") + F.col("sequences") > first) & (F.lit(True) if last is None else F.col("first_slot") <= last)).select("shard", "path")
     tasks = max(1, min(wanted.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))  # a shard is a file; a task reads whole ones
-    return wanted.repartitionByRange(tasks, "shard").mapInArrow(run, "slot bigint, shard bigint, offset bigint, doc_id bigint, place int, n_tokens bigint, tokens binary")
+    return wanted.repartitionByRange(tasks, "shard").mapInArrow(lean(run), "slot bigint, shard bigint, offset bigint, doc_id bigint, place int, n_tokens bigint, tokens binary")
 
 
 def training_order(spark: SparkSession, docs: DataFrame, text: str = "text", length: int = 1024, shard_sequences: int = 8192, seed: int = 1, width: int = 4) -> DataFrame:
