@@ -52,3 +52,13 @@ def listed(documents: DataFrame, jurisdiction: str | None = None, doc_type: str
     """Documents by optional filters; BOTH and null take any jurisdiction."""
     kept = documents if jurisdiction in (None, "BOTH") else documents.where(F.col("jurisdiction") == jurisdiction)
     return kept if doc_type is None else kept.where(F.col("doc_type") == doc_type)
+
+
+def artifact_of(document_versions: DataFrame, documents: DataFrame, versions: DataFrame, label: str) -> DataFrame:
+    """doc_key, path, sha256 and source_url of each document's artifact in the version with a label; the least path of several.
+
+    document_versions: document_id, version_id, path, sha256, source_url; documents: document_id, doc_key; versions: version_id, label.
+    """
+    named = document_versions.join(versions.where(F.col("label") == label).select("version_id"), "version_id").join(documents.select("document_id", "doc_key"), "document_id")
+    first = named.groupBy("doc_key").agg(F.min(F.struct("path", "sha256", "source_url")).alias("a"))
+    return first.select("doc_key", "a.path", "a.sha256", "a.source_url")

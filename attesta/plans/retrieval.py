@@ -361,3 +361,32 @@ def missing_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = d.agg(F.collect_set("source").alias("have"))
     asked = d.select("doc_id", F.array("source", F.concat(F.lit("src"), (F.col("doc_id") % 23).cast("string"))).alias("req"))
     return asked.crossJoin(F.broadcast(have)).where(gate.missing_instruments("req", "have")).select("doc_id")
+
+
+@query(f"WITH {C_DOCUMENTS} SELECT doc_key FROM c_documents WHERE jurisdiction = 'IN' AND doc_type = 'rule'")
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.listed(corpus.documents(spark, sf_dir), "IN", "rule").select("doc_key")
+
+
+@query(f"WITH {C_DOCUMENTS}, v AS (SELECT doc_id, 'p' || CAST(doc_id % 3 AS VARCHAR) || '/' || doc_key AS path, doc_key, version, url FROM c_documents JOIN pages ON page_id = doc_id % 50) SELECT doc_key, min(path) AS path, arg_min(url, path) AS source_url FROM v WHERE version = 'live' GROUP BY doc_key")
+def version_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, their versions and the versions' labels, joined three ways."""
+    d = corpus.documents(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), F.col("url").alias("source_url"))
+    held = d.withColumn("p", F.col("doc_id") % 50).join(pages, "p").select(F.col("doc_id").alias("document_id"), F.col("version").alias("version_id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), "doc_key").alias("path"), F.lit("x").alias("sha256"), "source_url")
+    versions = d.select(F.col("version").alias("version_id"), F.col("version").alias("label")).distinct()
+    return gate.artifact_of(held, d.select(F.col("doc_id").alias("document_id"), "doc_key"), versions, "live").select("doc_key", "path", "source_url")
+
+
+@query("SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0 AND label % 3 = 1")
+def model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only queries whose version was embedded with the model at hand may be searched by vectors."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), (F.col("label") % 3).alias("version"))
+    versions = q.select("version").distinct().withColumn("embedding_model", F.concat(F.lit("m"), F.col("version").cast("string")))
+    return ranking.matching_models(q, versions, "m1").select("query_id")
+
+
+@query(f"WITH {C_QUESTIONS} SELECT query_id, CAST(CASE WHEN query_id % 2 = 0 THEN as_of ELSE DATE '2024-05-06' END AS VARCHAR) AS as_of FROM c_questions")
+def default_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = corpus.questions(spark, sf_dir)
+    return q.select("query_id", gate.default_day(F.when(F.col("query_id") % 2 == 0, F.col("as_of")), "2024-05-06").cast("string").alias("as_of"))

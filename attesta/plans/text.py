@@ -329,10 +329,10 @@ def checklist_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus").distinct().join(F.broadcast(topics), "o_orderstatus").select("c_custkey", "topic").distinct()
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'legal_advice' WHEN o_orderkey % 13 = 0 THEN 'out_of_scope' WHEN o_totalprice < 1000 THEN 'no_evidence' WHEN o_orderkey % 11 = 0 THEN 'generation_unavailable' WHEN o_totalprice < 20000 THEN 'low_confidence' ELSE 'answer' END AS outcome FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN 'legal_advice' WHEN o_orderkey % 13 = 0 THEN 'out_of_scope' WHEN o_totalprice < 1000 THEN 'no_evidence' WHEN o_orderkey % 19 = 0 THEN 'deadline' WHEN o_orderkey % 11 = 0 THEN 'generation_unavailable' WHEN o_orderkey % 23 = 0 THEN 'verification_failed' WHEN o_totalprice < 20000 THEN 'low_confidence' ELSE 'answer' END AS outcome FROM orders""")
 def outcome_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.operators.quality import outcome
 
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 17 == 0).alias("advice"), (k % 13 == 0).alias("outside"), (F.col("o_totalprice") >= 1000).alias("evidence"), (k % 11 != 0).alias("generated"), (F.col("o_totalprice") < 20000).alias("abstain"))
-    return o.select("o_orderkey", outcome().alias("outcome"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 17 == 0).alias("advice"), (k % 13 == 0).alias("outside"), (F.col("o_totalprice") >= 1000).alias("evidence"), (k % 11 != 0).alias("generated"), (F.col("o_totalprice") < 20000).alias("abstain"), (k % 19 == 0).alias("late"), (k % 23 == 0).alias("unverified"))
+    return o.select("o_orderkey", outcome(late="late", unverified="unverified").alias("outcome"))
