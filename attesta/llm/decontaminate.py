@@ -2,13 +2,16 @@
 
 Test texts are cut into windows of 10 words. The corpus is read once to count the test terms, which
 ranks each window's terms by rarity; windows with a term that the corpus lacks are out. A second
-read stores the postings (document, position) of the rarest terms only. Intersecting the postings
-of a window's two rarest terms, each less its offset in the window, gives candidate starts, and
-the words at a candidate start are compared with the window (by md5 of the phrase).
-
-Documents are told by the md5 of their text while matching, so copies are matched once and null or
-repeated ids do no harm. Null texts have no words. An item without words matches nothing; one of
-fewer than 10 words is one window. Rows of docs stay one for one.
+read stores the index: the postings (term, document, position) of the rarest terms, as a table.
+Intersecting the postings of a window's two rarest terms, each less its offset in the window, gives
+candidate starts, and the words at a candidate start are compared with the window (by md5 of the
+phrase). What is kept of a document's candidates is bounded by its own length.
+
+Documents are told by the md5 of their text while matching, so copies share their postings and null
+or repeated ids do no harm. Null texts have no words. An item without words matches nothing; one of
+fewer than 10 words is one window. Rows of docs stay one for one, and other columns play no part.
+Small sides are broadcast if a count finds few rows; beyond that, joins on terms are salted, so that
+the postings of one very common term are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -23,24 +26,42 @@ WINDOW = 10
 RAREST = 2
 #: Fixed value: what parts words.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same characters one by one, less A-Z, which are lower-cased first.
+PARTING = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: Tables of at most this many rows are broadcast (tens of MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Parts that the postings of a term are dealt to where terms are joined by a shuffle.
+SALTS = 32
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS), "")
+    """Words of a text, by two passes without regular expressions."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + PARTING, LOWER + " " * len(PARTING))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def text_id(text: Column) -> Column:
+    """16 bytes that stand for a text; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def phrase_id(words: Column) -> Column:
     return F.md5(F.concat_ws(" ", words).cast("binary"))
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
     """df, to be broadcast if a count finds at most limit rows. df should be materialised."""
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
+def join_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Inner join on term, of many postings with a table of terms; a term's postings are salted where terms are too many to broadcast."""
+    if terms.count() <= BROADCAST_ROWS:
+        return postings.join(F.broadcast(terms), "term")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    dealt = terms.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return postings.withColumn("_salt", salt).join(dealt, ["term", "_salt"]).drop("_salt")
 
 
 def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -52,41 +73,48 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """term and n: how often each of terms (column term) is in the whole corpus; absent ones have no row."""
-    return docs.select(F.explode(words_of(F.col(text))).alias("term")).join(checked_broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    return join_terms(docs.select(F.explode(words_of(F.col(text))).alias("term")), terms).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """The inverted index of terms (column term): term, doc (md5 of the text) and position from 0."""
-    named = docs.select(F.md5(F.col(text).cast("binary")).alias("doc"), F.posexplode(words_of(F.col(text))).alias("position", "term"))
-    return named.join(checked_broadcast(terms), "term").select("term", "doc", "position")
+    """The inverted index of terms (column term): term, doc (text_id) and position from 0."""
+    named = docs.select(text_id(F.col(text)).alias("doc"), words_of(F.col(text)).alias("w"))
+    return join_terms(named.select("doc", F.posexplode("w").alias("position", "term")), terms).select("term", "doc", "position")
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, k: int = RAREST) -> DataFrame:
-    """phrase, length, term, shift and k: the k rarest places of each window whose terms all occur."""
-    places = windows.select("phrase", F.size("words").alias("length"), F.posexplode("words").alias("shift", "term")).join(counts, "term", "left")
-    by_phrase = Window.partitionBy("phrase")
-    ranked = places.withColumn("known", F.count("n").over(by_phrase)).where(F.col("known") == F.col("length")).withColumn("k", F.row_number().over(by_phrase.orderBy("n", "shift")))
-    return ranked.where(F.col("k") <= k).select("phrase", "length", "term", "shift", F.least(F.lit(k), "length").alias("k"))
+    """window, length, term, shift, turn (from 0, by rarity) and k: the k rarest places of each window whose terms all occur."""
+    places = windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("shift", "term")).join(counts, "term", "left")
+    of_window = Window.partitionBy("window")
+    ranked = places.withColumn("known", F.count("n").over(of_window)).where(F.col("known") == F.col("length")).withColumn("turn", F.row_number().over(of_window.orderBy("n", "shift")) - 1)
+    return ranked.where(F.col("turn") < k).select("window", "length", "term", "shift", "turn", F.least(F.lit(k), "length").alias("k"))
 
 
 def phrase_candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """doc, phrase, length and start where the anchors' postings, each less its shift, meet."""
-    shifted = index.join(anchors, "term").select("doc", "phrase", "length", "k", (F.col("position") - F.col("shift")).alias("start"), "shift").where("start >= 0")
-    met = shifted.groupBy("doc", "phrase", "start").agg(F.first("length").alias("length"), F.first("k").alias("k"), F.count_distinct("shift").alias("met"))
-    return met.where(F.col("met") == F.col("k")).select("doc", "phrase", "length", "start")
+    """doc, window and start where the anchors' postings, each less its shift, meet."""
+    shifted = join_terms(index, anchors).select("doc", "window", (F.col("position") - F.col("shift")).alias("start"), F.expr("shiftleft(1, turn)").alias("bit"), F.expr("shiftleft(1, k) - 1").alias("all")).where("start >= 0")
+    met = shifted.groupBy("doc", "window", "start").agg(F.bit_or("bit").alias("met"), F.first("all").alias("all"))
+    return met.where("met = all").select("doc", "window", "start")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Exact matches (doc, phrase, length, start), and the windows (item_id, phrase, words)."""
+def build_index(docs: DataFrame, benchmark: DataFrame, text: str, size: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The stored index, its anchors, the different windows (window, phrase, words) and all windows (item_id, words, phrase)."""
     every = materialize(test_windows(benchmark, size), "decontaminate-windows")
-    windows = every.dropDuplicates(["phrase"])
+    windows = materialize(every.select("phrase", "words").dropDuplicates(["phrase"]).withColumn("window", F.monotonically_increasing_id()), "decontaminate-phrases")
     terms = materialize(windows.select(F.explode("words").alias("term")).distinct(), "decontaminate-terms")
-    anchors = materialize(rarest_terms(windows, term_counts(docs, terms, text)), "decontaminate-anchors")
-    index = postings(docs, materialize(anchors.select("term").distinct(), "decontaminate-rare"), text)
-    found = phrase_candidates(index, checked_broadcast(anchors)).groupBy("doc").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("found"))
-    found = materialize(found, "decontaminate-candidates")
-    named = docs.select(F.md5(F.col(text).cast("binary")).alias("doc"), F.col(text).alias("text"))
-    asked = named.join(checked_broadcast(found, 20_000), "doc").dropDuplicates(["doc"]).select("doc", words_of(F.col("text")).alias("w"), "found")
+    anchors = materialize(rarest_terms(windows, term_counts(docs, terms, text), k), "decontaminate-anchors")
+    rare = materialize(anchors.select("term").distinct(), "decontaminate-rare")
+    return materialize(postings(docs, rare, text), "decontaminate-index"), anchors, windows, every
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Exact matches (doc, phrase, length, start; rows of copies repeat), and the windows (item_id, words, phrase)."""
+    index, anchors, windows, every = build_index(docs, benchmark, text, size, RAREST)
+    named = windows.select("window", "phrase", F.size("words").alias("length"))
+    met = phrase_candidates(index, anchors).join(checked_broadcast(named), "window")
+    found = materialize(met.groupBy("doc").agg(F.collect_list(F.struct("start", "length", "phrase")).alias("found")), "decontaminate-candidates")
+    own = docs.select(text_id(F.col(text)).alias("doc"), F.col(text).alias("text"))
+    asked = own.join(checked_broadcast(found, 20_000), "doc").select("doc", words_of(F.col("text")).alias("w"), "found")
     true = F.filter("found", lambda c: phrase_id(F.slice(F.col("w"), c["start"] + 1, c["length"])) == c["phrase"])
     return asked.select("doc", F.explode(true).alias("c")).select("doc", "c.phrase", "c.length", "c.start"), every
 
@@ -94,21 +122,17 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", si
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, slop: int = 3, k: int = 3) -> DataFrame:
     """doc, phrase and start where the k rarest terms of a window stand in its order, shifted by at most slop words in all.
 
-    Found from the postings alone: each occurrence of the rarest term asks the other terms' postings
-    of the same document for a place within slop of the expected one.
+    Found from the stored postings alone: each occurrence of the window's first anchor asks the other
+    anchors' postings of the same document for a place within slop of the expected one.
     """
-    windows = test_windows(benchmark, size).dropDuplicates(["phrase"])
-    terms = materialize(windows.select(F.explode("words").alias("term")).distinct(), "proximity-terms")
-    counts = term_counts(docs, terms, text)
-    anchors = materialize(rarest_terms(windows, counts, k), "proximity-anchors")
-    first = Window.partitionBy("phrase").orderBy("shift")
-    anchors = anchors.withColumn("turn", F.row_number().over(first))
-    index = materialize(postings(docs, anchors.select("term").distinct(), text).distinct(), "proximity-index")
-    at = index.join(anchors, "term").select("doc", "phrase", "k", "turn", "position", (F.col("position") - F.col("shift")).alias("start")).withColumn("cell", F.floor(F.col("start") / (slop + 1)))
-    head = at.where("turn = 1").select("doc", "phrase", "k", F.col("start").alias("s"), F.col("position").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    rest = at.where("turn > 1").select("doc", "phrase", "turn", "start", "position", "cell")
-    near = head.join(rest, ["doc", "phrase", "cell"], "left").where(F.col("start").isNull() | (F.abs(F.col("start") - F.col("s")) <= slop) & (F.col("position") > F.col("p")))
-    return near.groupBy("doc", "phrase", "s", "k").agg(F.count_distinct("turn").alias("met")).where(F.col("met") == F.col("k") - 1).select("doc", "phrase", F.col("s").alias("start"))
+    index, anchors, windows, _ = build_index(docs, benchmark, text, size, k)
+    anchors = materialize(anchors.withColumn("order", F.row_number().over(Window.partitionBy("window").orderBy("shift"))), "decontaminate-ordered")
+    at = join_terms(index.distinct(), anchors).select("doc", "window", "k", "order", "position", (F.col("position") - F.col("shift")).alias("start")).withColumn("cell", F.floor(F.col("start") / (slop + 1)))
+    head = at.where("order = 1").select("doc", "window", "k", F.col("start").alias("s"), F.col("position").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    rest = at.where("order > 1").select("doc", "window", "order", "start", "position", "cell")
+    near = head.join(rest, ["doc", "window", "cell"], "left").where(F.col("start").isNull() | (F.abs(F.col("start") - F.col("s")) <= slop) & (F.col("position") > F.col("p")))
+    met = near.groupBy("doc", "window", "s", "k").agg(F.count_distinct("order").alias("met")).where(F.col("met") == F.col("k") - 1)
+    return met.join(checked_broadcast(windows.select("window", "phrase")), "window").select("doc", "phrase", F.col("s").alias("start"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -127,7 +151,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs."""
     found = materialize(contamination(docs, benchmark), "decontaminate-found")
-    named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("doc"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    named = docs.select("doc_id", text_id(F.col("text")).alias("doc"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     return named.join(checked_broadcast(found), "doc", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
@@ -136,8 +160,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs whose text holds no window of the benchmark; same columns."""
-    found = materialize(contamination(docs, benchmark, text).select(F.col("doc").alias("_found")), "decontaminate-found")
-    return docs.join(checked_broadcast(found), F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")) == F.col("_found"), "left_anti")
+    name = "_found"
+    while name in docs.columns:
+        name += "_"
+    found = materialize(contamination(docs, benchmark, text).select(F.col("doc").alias(name)), "decontaminate-found")
+    return docs.join(checked_broadcast(found), text_id(docs[text]) == F.col(name), "left_anti")
 
 
 REPORT_SQL = f"""
