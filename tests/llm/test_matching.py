@@ -59,12 +59,28 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination_report(df, spark.createDataFrame([], "item_id bigint, text string")).collect())
 
 
+def test_decontamination_by_shuffles_and_with_a_hot_term(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = [(i, "hot " * 3 + " ".join(rnd.choice(["hot", "a", "b", "c", "d"]) for _ in range(12))) for i in range(6)]
+    docs = [(i, "hot " * rnd.randint(0, 60) + (items[i % 6][1] if i % 4 == 0 else "a b hot c")) for i in range(60)]
+    df, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_windows(docs, items)
+    clash = df.selectExpr("*", "1 as doc", "2 as term", "3 as w", "4 as position")
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        assert sorted((tuple(r) for r in decontaminate.contamination_report(clash, bench).collect()), key=str) == want
+    monkeypatch.undo()
+    parts = [i for i in range(128) if not chr(i).isalnum()]
+    odd = spark.createDataFrame([(0, "".join(f"A{chr(i)}é" for i in parts))], SCHEMA)
+    assert odd.select(decontaminate.words_of(odd.text).alias("w")).first().w == ["a", *["éa"] * (len(parts) - 1), "é"]
+
+
 def test_proximity_allows_for_words_between(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id bigint, text string")
     docs = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta so gamma delta epsilon zeta eta theta iota kappa"), (3, "kappa iota theta eta"), (4, "alpha " + "x " * 30 + "beta gamma")]
     got = decontaminate.proximity_matches(spark.createDataFrame(docs, SCHEMA), bench)
-    names = {hashlib.md5(t.encode()).hexdigest(): k for k, t in docs}
-    assert {names[r.doc] for r in got.collect()} == {1, 2}
+    names = {hashlib.md5(t.encode()).digest(): k for k, t in docs}
+    assert {names[bytes(r.doc)] for r in got.collect()} == {1, 2}
 
 
 def brute_near(rows):
@@ -184,3 +200,15 @@ def test_suffix_array_sorts():
     t = np.frombuffer(b"banana\0bandana\0banana", np.uint8)
     sa = suffix.suffix_array(t, np.arange(len(t), 0, -1))
     assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
+
+
+def test_strays_of_a_large_bucket_send_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rows = [(7, i, 1, 100) for i in range(1000)] + [(7, 2000 + i, 2 + i, 100) for i in range(3)] + [(8, i, i, 5) for i in range(10)]
+    members = spark.createDataFrame(rows, "bucket bigint, id bigint, comp bigint, n bigint")
+    dealt = minhash._dealt(members, "bucket", 16).cache()
+    assert dealt.where("bucket = 7").count() == 1000 + 3 * (63 + 1) and dealt.where("bucket = 8").count() == 10
+    met = {(min(a.id, b.id), max(a.id, b.id)) for g in [dealt.where("bucket = 7").collect()] for a in g if a.side != 1 and a.comp != 1 for b in g if (b.kind, b.i, b.j) == (a.kind, a.i, a.j) and b.comp != a.comp and (b.side == 2 or b.side != a.side)}
+    assert met == {(min(x, y), max(x, y)) for x in (2000, 2001, 2002) for y in [*range(1000), 2000, 2001, 2002] if x != y}
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    assert minhash._dealt(members, "bucket").where("bucket = 7 AND kind = 'inner'").select("j").distinct().count() == 250
