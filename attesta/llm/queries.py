@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.llm.backtrack import backtrack_digests
 from attesta.llm.bpe import bpe_digests, bpe_encode
 from attesta.llm.decontaminate import REPORT_SQL as DECONTAMINATE_SQL
 from attesta.llm.decontaminate import contamination_report
@@ -65,6 +66,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return backtrack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op2_decontaminate": op2_decontaminate,
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
+    "op11_backtracking_bpe": op11_backtracking_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL}
