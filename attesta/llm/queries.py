@@ -13,6 +13,8 @@ from attesta.llm.decontaminate import contamination_report
 from attesta.llm.media import media_digests
 from attesta.llm.minhash import near_duplicates
 from attesta.llm.quality import quality_report
+from attesta.llm.resample import REPORT_SQL as RESAMPLE_SQL
+from attesta.llm.resample import resample_report
 from attesta.llm.suffix import repeat_report
 from attesta.llm.toxicity import toxicity_report
 from attesta.llm.training_order import training_order
@@ -72,6 +74,10 @@ def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
     "op11_backtracking_bpe": op11_backtracking_bpe,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL, "op12_importance_resampling": RESAMPLE_SQL}
