@@ -66,7 +66,10 @@ class Backtracking(Codec):
         import regex
 
         vocabulary, merges, added = read_vocabulary(data)
-        self._set_up(vocabulary | added, BLANKS_BEGIN)
+        tokens = [b""] * (max((vocabulary | added).values()) + 1)
+        for token, i in (vocabulary | added).items():
+            tokens[i] = token
+        self._set_up(tokens, BLANKS_BEGIN)
         self.of_byte = np.array([vocabulary.get(bytes([i]), -1) for i in range(256)], np.int64)
         self.ranks = {bytes([i]): vocabulary[bytes([i])] for i in range(256) if bytes([i]) in vocabulary}
         self.halves, self.made, self.merge = {}, dict.fromkeys(self.ranks.values(), -1), {}

@@ -167,25 +167,25 @@ class Codec:
     """Encodes and decodes texts; keeps the ids of chunks that it has met."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self._set_up(ranks, pattern)
+        tokens = [b""] * (max(ranks.values(), default=0) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self._set_up(tokens, pattern)
+        self.ranks, self.of_byte = ranks, np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         halves = [(ranks[t[:i]] * self.base + ranks[t[i:]] + 1, r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = Table(len(halves))
         self.pairs.add(np.array([k for k, _ in halves], np.uint64), np.array([r for _, r in halves], np.int64))
 
-    def _set_up(self, ranks: dict[bytes, int], pattern: str) -> None:
-        """Tables for decoding, and the empty store of chunks."""
+    def _set_up(self, tokens: list[bytes], pattern: str) -> None:
+        """Tables for decoding (the bytes of each id), and the empty store of chunks."""
         import regex
 
-        self.ranks, self.find, self.by_chunk = ranks, regex.compile(pattern).findall, pattern == BLANKS_BEGIN
-        tokens = [b""] * (max(ranks.values(), default=0) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        self.find, self.by_chunk = regex.compile(pattern).findall, pattern == BLANKS_BEGIN
         self.token_sizes = [len(t) for t in tokens]
         self.sizes = np.array(self.token_sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
         self.base = len(tokens)
-        self.of_byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
         self.slots = Table(CACHE_ENTRIES)  # of chunks, by hash
         self.n_slots = self.pool_used = 0
         self.pool = np.zeros(1 << 16, np.int32)

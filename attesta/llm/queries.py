@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.llm.align import alignment_report
 from attesta.llm.backtrack import backtrack_digests
 from attesta.llm.bpe import bpe_digests, bpe_encode
 from attesta.llm.decontaminate import REPORT_SQL as DECONTAMINATE_SQL
@@ -78,6 +79,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_signatures": op1_media_signatures,
     "op2_decontaminate": op2_decontaminate,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_backtracking_bpe": op11_backtracking_bpe,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL, "op12_importance_resampling": RESAMPLE_SQL}
