@@ -17,7 +17,8 @@ block in separate groups, and the pairs inside a bucket's or cluster's largest c
 Losses: banding loses a pair of similarity 0.75 with odds of 5e-6, the estimate within a bucket with
 odds of 8e-5 unless another path joins the two; more similar pairs are lost less often.
 
-Shingles are told by 64-bit hashes. With fewer than five words the whole sequence is the one
+Shingles are told by 64-bit hashes that depend on a secret number drawn for each call, so two unlike
+shingles of a pair of documents are taken for one with odds of about 1e-19 whatever the texts are. With fewer than five words the whole sequence is the one
 shingle; without words or text the set is empty and linked with nothing. Rows that repeat a doc_id
 are one document with several texts. A null doc_id links nothing but shares its class's component.
 """
@@ -25,6 +26,7 @@ are one document with several texts. A null doc_id links nothing but shares its
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +47,18 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 BROADCAST_ROWS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.full(max(n, 1 << 16), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+def word_hashes(b: np.ndarray, blank: np.ndarray, starts: np.ndarray, stops: np.ndarray, secret: int) -> np.ndarray:
+    """A hash of each word: the sum of what a secret number makes of each byte and its place in the word, so that nobody can write texts whose words collide."""
+    size = stops - starts
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum(), dtype=np.uint64) - np.repeat(first, size).astype(np.uint64)
+    spread = mix64((place << np.uint64(8) | b[~blank]) + np.uint64(secret))
+    return mix64((np.add.reduceat(spread, first) if len(first) else np.zeros(0, np.uint64)) + size.astype(np.uint64))
 
 
-def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, secret: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after another, and n + 1 offsets."""
     raw, at = text_bytes(texts)
     b = lower_ascii(raw)
@@ -67,14 +71,11 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
     stop = ~blank
     stop[:-1] &= blank[1:] | inner[1:-1]
     stops = np.flatnonzero(stop) + 1
-    power, inverse = _powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-    word = mix64((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    word = word_hashes(b, blank, starts, stops, secret)
     first = np.searchsorted(starts, at)  # words before each text
     counts = np.diff(first)
     rolled = word.copy()
-    for k in range(1, words):
+    for k in range(1, min(words, len(word))):
         rolled[: len(word) - k] = rolled[: len(word) - k] * np.uint64(_BASE) + word[k:]
     rolled = mix64(rolled)
     out, sizes = [], np.zeros(len(counts), np.int64)
@@ -122,13 +123,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def document_signatures(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def document_signatures(docs: DataFrame, secret: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, set_key (16 bytes of the whole set), bands and sig; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, "_text", 1 << 20):
-                flat, offsets = shingle_sets(part["_text"])
+                flat, offsets = shingle_sets(part["_text"], secret)
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
                 sig = signatures(flat, np.append(offsets[full], offsets[-1])) if len(full) else np.zeros((0, COORDINATES), np.uint32)
@@ -141,13 +142,13 @@ def document_signatures(docs: DataFrame, text: str = "text", key: str = "doc_id"
     return docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(lean(run), "_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, sig binary").withColumnRenamed("_key", key)
 
 
-def document_sets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def document_sets(docs: DataFrame, secret: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and the full set as array<bigint>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in steps(batch, "_text", 4 << 20):
-                flat, offsets = shingle_sets(part["_text"])
+            for part in steps(batch, "_text", 1 << 20):
+                flat, offsets = shingle_sets(part["_text"], secret)
                 yield pa.RecordBatch.from_arrays([part["_key"], pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))], ["_key", "set"])
 
     return docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(lean(run), "_key bigint, set array<bigint>").withColumnRenamed("_key", key)
@@ -287,11 +288,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("_n", shared).where(F.col("_n") * 100 >= (F.size("_sa") + F.size("_sb") - F.col("_n")) * 75).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.60) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs."""
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.60, secret: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs. secret: of 63 bits, what hashes of words depend on; drawn for each call if not given."""
+    secret = secrets.randbits(63) if secret is None else secret
     spark = docs.sparkSession
     named = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(document_signatures(named), "minhash-signatures")
+    signed = materialize(document_signatures(named, secret), "minhash-signatures")
     classes = materialize(signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-classes")
 
     placed = classes.select(F.explode("bands").alias("bucket"), "id", "n")
@@ -305,7 +307,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         found = None
     else:
         wanted = F.broadcast(ids) if few <= BROADCAST_ROWS else ids
-        sets = materialize(document_sets(named.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set"]), "minhash-sets")
+        sets = materialize(document_sets(named.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), secret).dropDuplicates(["doc_id", "set"]), "minhash-sets")
         links = materialize(_verified(pairs, sets), "minhash-links")
         found = components(links, "a", "b")
         # buckets that still hold several components

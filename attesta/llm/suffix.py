@@ -7,7 +7,8 @@ strings with one anchor form a run, at most 76 bytes of text.
 1. Blocks of documents list their anchors; anchors met in two documents or more are shared.
 2. Blocks send the runs of shared anchors to the shard of the anchor. Equal runs of one block are
    combined first: only those of the smallest document travel, so a passage that a third of all
-   documents share comes to a shard once a block, and the shard combines those again.
+   documents share comes to a shard once a block, and the shard combines those again. Hashes bring
+   runs side by side, their bytes decide whether they are equal.
 3. A shard sorts the suffixes of its runs by prefix doubling (Larsson-Sadakane refinement: only
    groups that are still tied are sorted again), takes the common prefixes of neighbours by
    Kasai's method, and so has all equal 50-byte strings side by side with their smallest
@@ -70,6 +71,17 @@ def _run_hashes(text: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def part_unlike(text: np.ndarray, at: np.ndarray, size: np.ndarray, order: np.ndarray, new: np.ndarray, slab: int = 1 << 13) -> None:
+    """Mark in `new` (which of the ordered runs begin a group, as their hashes and sizes tell) those too whose bytes differ from the run before."""
+    pairs = np.flatnonzero(~new)
+    for s in range(0, len(pairs), slab):
+        i = pairs[s:s + slab]
+        x, y = order[i], order[i - 1]
+        n = size[x]
+        differ = text[_ragged(at[x], n)] != text[_ragged(at[y], n)]
+        new[i] = np.logical_or.reduceat(differ, np.cumsum(n) - n)
+
+
 def gram_runs(b: np.ndarray, offsets: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first and last start of each run of 50-byte strings with one anchor, the anchor's hash and a hash of the run's bytes."""
     begins, ends = offsets[:-1][usable], offsets[1:][usable] - LENGTH + 1
@@ -277,7 +289,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _shard_and_key(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of an anchor, and 39 of its hash's upper bits. Unlike anchors that share both only send runs in vain: runs are compared by their bytes."""
+    """The shard of an anchor, and 39 of its hash's upper bits. Unlike anchors that share both only send runs in vain."""
     return (hashes >> np.uint64(1)) % np.uint64(shards), hashes >> np.uint64(25)
 
 
@@ -336,8 +348,10 @@ def _send_runs(shards: int):
         doc = ids[np.searchsorted(offsets, first, side="right") - 1]
         # equal runs of the block: those of the smallest document travel, the others are repeats already
         order = np.lexsort((doc, own, k))
+        length = last - first + LENGTH
         new = np.ones(len(order), bool)
-        new[1:] = (k[order][1:] != k[order][:-1]) | (own[order][1:] != own[order][:-1])
+        new[1:] = (k[order][1:] != k[order][:-1]) | (own[order][1:] != own[order][:-1]) | (length[order][1:] != length[order][:-1])
+        part_unlike(b, first, length, order, new)
         least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         repeat = np.zeros(len(order), bool)
         repeat[order] = doc[order] > least
@@ -371,6 +385,7 @@ def _find_repeats(t: pa.Table) -> pa.Table:
         order = np.lexsort((docs, size, own))
         new = np.ones(len(order), bool)
         new[1:] = (own[order][1:] != own[order][:-1]) | (size[order][1:] != size[order][:-1])
+        part_unlike(text, at, size, order, new)
         heads = order[new]
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attesta.llm import decontaminate, graph, minhash, suffix
@@ -212,3 +213,56 @@ def test_strays_of_a_large_bucket_send_few_rows(spark, monkeypatch):
     assert met == {(min(x, y), max(x, y)) for x in (2000, 2001, 2002) for y in [*range(1000), 2000, 2001, 2002] if x != y}
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
     assert minhash._dealt(members, "bucket").where("bucket = 7 AND kind = 'inner'").select("j").distinct().count() == 250
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_plain_sums_share_no_shingle(spark):
+    docs = [(2 * i, thue_morse(n, "ab")) for i, n in enumerate((1024, 2048, 4096))] + [(2 * i + 1, thue_morse(n, "ba")) for i, n in enumerate((1024, 2048, 4096))]
+    docs += [(10, f"one two three four {thue_morse(2048, 'xy')}"), (11, f"one two three four {thue_morse(2048, 'yx')}"), (12, f"one two three four {thue_morse(2048, 'xy')}")]
+    for secret in (None, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(docs, SCHEMA), secret=secret).collect()}
+        assert got == brute_near(docs) and {k: c for k, (_, c, _) in got.items()} == {k: 10 if k == 12 else k for k, _ in docs}
+
+
+def test_steps_of_few_words():
+    for n in range(8):
+        flat, offsets = minhash.shingle_sets(pa.array([" ".join("abcdefgh"[:n])]), 3)
+        assert offsets.tolist() == [0, len(flat)] and len(flat) == (max(1, n - 4) if n else 0)
+
+
+def test_runs_of_equal_hash_and_unlike_bytes_are_not_repeats(spark, monkeypatch):
+    one = "mmmmmmmmmmmmmmmmwwwhstztvbjyhnppqxfyzoppoushhkwwhecdyouoruzammmmmmmmmmmmmmmm"
+    two = "kjklmlkklmpnlmomwwwhstztvbjyhnppqxfyzoppoushhkwwhecdyouoruzamnknlllnnnlnnmmm"
+    docs = [(1, one), (2, two), (3, one), (4, two), (5, two + one), (6, one), (7, two)]
+    for block in (suffix.BLOCK_BYTES, 60):  # all in a block, and each in its own
+        monkeypatch.setattr(suffix, "BLOCK_BYTES", block)
+        for rows in (docs[:2], docs):
+            got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.repeat_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+            want = {k: (len(t), len(t) - n) for k, t, n in brute_cut(rows)}
+            assert got == want and got[2] == (76, 0)
+
+
+def brute_cut(docs):
+    first = {}
+    for k, t in docs:
+        for p in range(len(t) - 49):
+            first[t[p:p + 50]] = min(first.get(t[p:p + 50], k), k)
+    for k, t in docs:
+        gone = {q for p in range(len(t) - 49) if first[t[p:p + 50]] < k for q in range(p, p + 50)}
+        yield k, t, len(t) - len(gone)
+
+
+def test_all_runs_may_share_a_hash(monkeypatch):
+    monkeypatch.setattr(suffix, "_run_hashes", lambda text, size: np.zeros(len(size), np.uint64))
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab") for _ in range(60)) for _ in range(6)]
+    runs = [rnd.choice(texts)[a:a + 55] for a in (rnd.randint(0, 5) for _ in range(60))]
+    text, size = np.frombuffer("".join(runs).encode(), np.uint8), np.full(60, 55)
+    order = np.lexsort((np.arange(60), size, np.zeros(60)))
+    new = np.zeros(60, bool)
+    new[0] = True
+    suffix.part_unlike(text, np.arange(60) * 55, size, order, new, slab=7)
+    assert new.tolist() == [True, *(a != b for a, b in zip(runs, runs[1:]))]
