@@ -24,6 +24,7 @@ are never cut; one of any length is one group of windows. Other columns, of any
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.llm.arrays import lean, steps, text_bytes
-from attesta.llm.backtrack import Backtracking, file_bytes
+from attesta.llm.backtrack import Backtracking, file_bytes, read_vocabulary
 from attesta.llm.bpe import BLANKS_BEGIN, Codec, gather
 from attesta.session import materialize
 
@@ -70,14 +71,21 @@ class Pieces(Codec):
 
     def _chunks(self, b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # behind a line feed a chunk stands as it is; the model's own space and the line feed go again
-        ids, counts = _flat(self.model.encode(["\n" + b[a:z].tobytes().decode() for a, z in zip(starts.tolist(), stops.tolist(), strict=True)], num_threads=1))
+        n = stops - starts
+        behind = np.cumsum(n + 1)
+        joined = np.full(int(behind[-1]) if len(n) else 0, 10, np.uint8)
+        own = np.ones(len(joined), bool)
+        own[behind - n - 1] = False
+        joined[own] = gather(b, starts, n)
+        data = joined.tobytes()
+        ids, counts = _flat(self.model.encode([data[a:z].decode() for a, z in zip((behind - n - 1).tolist(), behind.tolist(), strict=True)], num_threads=1))
         first = np.cumsum(counts) - counts
         return gather(ids, first + 2, counts - 2), counts - 2
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in ids], np.int64)
-    return np.fromiter((i for x in ids for i in x), np.int32, counts.sum()), counts
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.int32, counts.sum()), counts
 
 
 _CODECS: dict[int, tuple[Codec, Codec]] = {}
@@ -128,11 +136,21 @@ def _encoder(a: bytes, b: bytes):
     return run
 
 
+def _sizes(a_path: str, b_path: str) -> tuple[list[int], int]:
+    """Bytes of all tokens, A's before B's, and the number of A's."""
+    import sentencepiece
+
+    vocabulary, _, added = read_vocabulary(file_bytes(a_path))
+    tokens = {i: len(t) for t, i in (vocabulary | added).items()}
+    model = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    n_a = max(tokens) + 1
+    return [tokens.get(i, 0) for i in range(n_a)] + [len(piece_bytes(model.id_to_piece(i))) for i in range(model.get_piece_size())], n_a
+
+
 def token_lengths(spark, a_path: str, b_path: str) -> tuple[DataFrame, int]:
     """id and n (bytes) of all tokens, B's ids moved up by the size of A's vocabulary, and that size."""
-    a, b = _codecs(file_bytes(a_path), file_bytes(b_path))
-    sizes = np.concatenate([a.sizes, b.sizes]).astype(np.int32)
-    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(sizes), dtype=np.int32)), "n": pa.array(sizes)})), a.base
+    sizes, base = _sizes(a_path, b_path)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(sizes)), pa.int32()), "n": pa.array(sizes, pa.int32())})), base
 
 
 def aligned(docs: DataFrame, text: str, key: str, a_path: str, b_path: str) -> DataFrame:
@@ -188,6 +206,7 @@ def _nest(n_ids: int):
     """Rows of aligned() to a row for each document; what stands together belongs together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _CODECS.clear()  # the worker has encoded before and needs them no more
         decimals, held = _decimals(n_ids), []
 
         def documents(t: pa.Table) -> pa.RecordBatch:
@@ -231,7 +250,7 @@ def _nest(n_ids: int):
 
 def align(docs: DataFrame, text: str, key: str, a_path: str, b_path: str) -> DataFrame:
     """_row, _key, n_a, n_b, n_groups, groups_sha256 (of the groups written as `a1,a2|b1;a3|b2,b3`; without tokens ''), a and b (the ids of each link) of each row of docs, stored."""
-    n_ids = sum(len(c.sizes) for c in _codecs(file_bytes(a_path), file_bytes(b_path)))
+    n_ids = len(_sizes(a_path, b_path)[0])
     kind = docs.schema[key].dataType.simpleString()
     rows = aligned(docs, text, key, a_path, b_path).select("_row", "_key", "a", "b", "new_a", "new_b", "group_id")
     return materialize(rows.mapInArrow(lean(_nest(n_ids)), f"_row bigint, _key {kind}, {_NESTED}"), "aligned")

@@ -19,6 +19,7 @@ too), other columns are left out. A key column may not be named ids or decoded.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from attesta.llm.arrays import lean, steps, text_bytes
 from attesta.llm.bpe import BLANKS_BEGIN, Codec, gather
 
 #: Pairs whose compatibility a worker keeps; beyond, the table starts anew.
-PAIRS = 1_000_000
+PAIRS = 300_000
 _NEVER = 1 << 40
 
 
@@ -103,33 +104,33 @@ class Backtracking(Codec):
             else:
                 return True
 
-    def _fits(self, left: int, right: int) -> bool:
-        key = left * self.base + right
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.compatible(left, right)
+    def _fits(self, key: int) -> bool:
+        """compatible() of a pair, left * base + right, that is not in the table yet."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[key] = self.compatible(*divmod(key, self.base))
         return found
 
     def backtrack(self, longest: list[int], begin: int, end: int) -> list[int]:
         """Ids of the match at begin..end; longest: the longest token that begins at each place."""
-        dead, out, at, sizes, shorter = set(), [], begin, self.token_sizes, self.shorter
-        token = longest[at]
+        dead, out, at, sizes, shorter, known, base = set(), [], begin, self.token_sizes, self.shorter, self.pairs.get, self.base
+        token, left = longest[at], -1  # left: the token before, times base
         while True:
             stop = at + sizes[token]
-            if stop <= end and stop not in dead and (not out or self._fits(out[-1], token)):
-                out.append(token)
-                at = stop
-                if at == end:
-                    return out
-                token = longest[at]
-                continue
+            if stop <= end and stop not in dead:
+                fits = left < 0 or known(left + token)
+                if fits or fits is None and self._fits(left + token):
+                    out.append(token)
+                    if stop == end:
+                        return out
+                    at, left, token = stop, token * base, longest[stop]
+                    continue
             token = shorter[token]
             while token is None:  # no token fits here
                 dead.add(at)
                 last = out.pop()
                 at -= sizes[last]
+                left = out[-1] * base if out else -1
                 token = shorter[last]
 
     def _encode_raw(self, raw: list[bytes]) -> Iterator[list[int]]:
@@ -148,7 +149,8 @@ class Backtracking(Codec):
         index = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
         which = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
         raw = [p.encode() for p in index]
-        found = [[i] if (i := self.ranks.get(x)) is not None else None for x in raw]
+        whole = self.ranks.get
+        found = [[i] if (i := whole(x)) is not None else None for x in raw]
         new, size = [], 0
         for k, ids in enumerate(found):
             if ids is None:
@@ -158,8 +160,8 @@ class Backtracking(Codec):
                 for j, ids in zip(new, self._encode_raw([raw[j] for j in new]), strict=True):
                     found[j] = ids
                 new, size = [], 0
-        count = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.int32, count.sum())
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, count.sum())
         return gather(flat, (np.cumsum(count) - count)[which], count[which]), count[which]
 
     def encode_all(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
