@@ -36,7 +36,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     kind = F.col("item_id") % 3
     return b.select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"), F.when(kind == 0, "IN").when(kind == 1, "INTL").otherwise("BOTH").alias("scope"),
+        F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.when(kind == 0, "IN").when(kind == 1, "INTL").otherwise("BOTH").alias("scope"),
         F.date_add(F.lit("2022-01-01").cast("date"), (F.col("item_id") * 17).cast("int")).alias("as_of"),
     )
 
@@ -63,7 +63,7 @@ C_CHUNKS = (
 )"""
 )
 C_QUESTIONS = r"""c_questions AS (
-  SELECT item_id AS query_id, array_to_string((regexp_split_to_array(text, '\s+'))[1:8], ' ') AS question, CASE item_id % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'INTL' ELSE 'BOTH' END AS scope,
+  SELECT item_id AS query_id, text AS question, CASE item_id % 3 WHEN 0 THEN 'IN' WHEN 1 THEN 'INTL' ELSE 'BOTH' END AS scope,
          CAST(DATE '2022-01-01' + CAST(item_id * 17 AS INTEGER) AS DATE) AS as_of
   FROM benchmark
 ), c_asked AS (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.stem import stem_sql
 from attesta.functions.text import evidence_id
 from attesta.operators import gate, graph, ranking
 from attesta.plans import corpus
@@ -204,9 +205,51 @@ def full_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(found, ["query_id"], [F.desc("exact"), F.desc("density"), "chunk_id"], 40)
 
 
-#: Documents that have a vector; those with ids divisible by 50 ask, by their vector and their first 8 words.
+_COVERS = f"""{_FTS}, occ AS (
+  SELECT q.query_id, t.chunk_id, p.position, p.term, n.n FROM (SELECT chunk_id, unnest(w) AS term, unnest(range(len(w))) AS position, len(w) AS dl FROM toks) p JOIN terms q USING (term) JOIN n USING (query_id)
+  JOIN f t ON t.query_id = q.query_id AND t.chunk_id = p.chunk_id AND t.exact
+), lefts AS (
+  SELECT query_id, chunk_id, r, min(m) AS l FROM (SELECT a.query_id, a.chunk_id, a.position AS r, a.n, b.term, max(b.position) AS m FROM occ a JOIN occ b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.position <= a.position GROUP BY ALL) GROUP BY query_id, chunk_id, r, n HAVING count(*) = n
+), shortest AS (
+  SELECT query_id, chunk_id, l, min(r) AS r FROM lefts GROUP BY query_id, chunk_id, l
+), weighed AS (
+  SELECT s.query_id, s.chunk_id, s.l, 0.1 / (1 + s.r - s.l + 1 - count(*)) AS w FROM shortest s JOIN occ o ON o.query_id = s.query_id AND o.chunk_id = s.chunk_id AND o.position BETWEEN s.l AND s.r GROUP BY s.query_id, s.chunk_id, s.l, s.r
+), summed AS (SELECT query_id, chunk_id, count(*) AS covers, sum(w) AS w FROM weighed GROUP BY query_id, chunk_id), covered AS (
+  SELECT f.query_id, f.chunk_id, exact, CAST(coalesce(covers, 0) AS INTEGER) AS covers, round(coalesce(w, 0) / (1 + ln(len(toks.w))), 9) AS cover, density FROM f JOIN toks USING (chunk_id) LEFT JOIN summed s ON s.query_id = f.query_id AND s.chunk_id = f.chunk_id
+)"""
+
+
+@query(f"WITH {_COVERS.replace('sum(w) AS w FROM weighed', 'sum(weighed.w) AS w FROM weighed').replace('coalesce(w, 0)', 'coalesce(s.w, 0)')} SELECT query_id, chunk_id, exact, covers, cover, density, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, cover DESC, density DESC, chunk_id) AS rank FROM covered) WHERE rank <= 40")
+def cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold all words of the question first, by how close together they stand, then the others by density."""
+    found = ranking.cover_density(corpus.questions(spark, sf_dir), _live(spark, sf_dir))
+    return ranking.top_k(found, ["query_id"], [F.desc("exact"), F.desc("cover"), F.desc("density"), "chunk_id"], 40)
+
+
+_STEMMED = f"""{C_CHUNKS}, {C_QUESTIONS}, live AS (SELECT * FROM c_chunks WHERE version = 'live'),
+toks0 AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM live), ask0 AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM c_questions),
+seen AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM toks0 UNION ALL SELECT term FROM ask0)), {stem_sql('seen', 'stems')},
+stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks0), tf AS (SELECT stem AS term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM toks0) JOIN stems USING (term) GROUP BY stem, chunk_id, dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), terms AS (SELECT DISTINCT query_id, stem AS term FROM ask0 JOIN stems USING (term)),
+bm25 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY query_id, chunk_id)"""
+
+
+@query(f"WITH {_STEMMED} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 40")
+def stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over Porter stems."""
+    found = ranking.stemmed_bm25(corpus.questions(spark, sf_dir).select("query_id", "question"), _live(spark, sf_dir).select("chunk_id", "text"))
+    return ranking.top_k(found, ["query_id"], [F.desc("score"), "chunk_id"], 40)
+
+
+@query(f"WITH {C_CHUNKS}, seen AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM c_chunks), {stem_sql('seen', 'stems')} SELECT term, stem FROM stems")
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of each distinct word of the corpus."""
+    return ranking.word_stems(corpus.chunks(spark, sf_dir), "text")
+
+
+#: Documents that have a vector; those with ids divisible by 50 ask, by their vector and their text.
 _HYBRID = f"""{C_DOCUMENTS}, it AS (SELECT d.doc_id, d.jurisdiction, d.text, CAST(e.embedding AS DOUBLE[]) AS v FROM c_documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE version = 'live'),
-asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, array_to_string((regexp_split_to_array(text, '\\s+'))[1:8], ' ') AS question FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
+asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, text AS question FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
 toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM it), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY term, doc_id, dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM asked),
 kw AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM terms JOIN tf USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY query_id, doc_id),
@@ -221,7 +264,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector leg and a keyword leg over the live documents that have a vector, fused in each jurisdiction."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     items = corpus.documents(spark, sf_dir).where("version = 'live'").join(e, "doc_id").select("doc_id", "jurisdiction", "text", "vec")
-    asked = table(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("question"), F.col("vec").alias("qvec"))
+    asked = table(spark, sf_dir, "documents").select("doc_id", "text").join(e, "doc_id").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"), F.col("vec").alias("qvec"))
     bucket = items.select(F.col("doc_id").alias("item"), F.col("jurisdiction").alias("bucket"))
     by_vector = ranking.dense(asked.select("query_id", "qvec"), items.select(F.col("doc_id").alias("item"), F.col("jurisdiction").alias("bucket"), "vec")).select("query_id", "bucket", "item", "score")
     by_words = ranking.bm25(asked, items.select(F.col("doc_id").alias("chunk_id"), "text")).select("query_id", F.col("chunk_id").alias("item"), "score").join(bucket, "item").select("query_id", "bucket", "item", "score")
