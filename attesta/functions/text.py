@@ -23,6 +23,13 @@ def holds_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def keyword_classes(text: Column, classes: dict[str, str], otherwise: str) -> Column:
+    """The classes whose keyword the text holds, each once and in order; one class otherwise, also for null."""
+    found = F.array(*[F.when(F.contains(text, F.lit(word)), F.lit(c)) for word, c in classes.items()])
+    kept = F.array_sort(F.array_distinct(F.filter(found, lambda c: c.isNotNull())))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(otherwise)))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each ASCII word, padded by two blanks before and one after."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))

@@ -101,11 +101,16 @@ def line_headings(pages: DataFrame, line: dict[str, str], name: dict[str, str] |
     A raw match is led to the cleaned text by the length of what cleaning leaves of the page before it; the first name at or after that
     place must have the same number. A heading without a title takes the next line that isn't blank.
     """
-    raw = marks(pages, ["doc", "page"], "raw", line).join(pages.select("doc", "page", "raw", F.col("start").alias("page_start")), ["doc", "page"])
-    rest = F.split(F.substr("raw", F.col("until") + 1), r"\r?\n")
-    nextline = F.coalesce(F.try_element_at(F.filter(F.transform(rest, lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
-    title = F.regexp_replace(F.trim(F.when(F.col("title") != "", F.col("title")).otherwise(nextline)), r"\s+", " ")
-    asked = raw.select("doc", "page", "page_start", "number", title.alias("title"), F.length(page_clean(F.substr("raw", F.lit(1), F.col("at")))).alias("place"), F.col("at").alias("raw_at"))
+    found = marks(pages, ["doc", "page"], "raw", line).groupBy("doc", "page").agg(F.collect_list(F.struct("number", "title", "at", "until")).alias("_m"))
+
+    def derived(m: Column) -> Column:
+        rest = F.split(F.substr("raw", m["until"] + 1), r"\r?\n")
+        nextline = F.coalesce(F.try_element_at(F.filter(F.transform(rest, lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
+        title = F.regexp_replace(F.trim(F.when(m["title"] != "", m["title"]).otherwise(nextline)), r"\s+", " ")
+        return F.struct(m["number"].alias("number"), title.alias("title"), F.length(page_clean(F.substr("raw", F.lit(1), m["at"]))).alias("place"), m["at"].alias("raw_at"))
+
+    led = pages.select("doc", "page", "raw", F.col("start").alias("page_start")).join(found, ["doc", "page"])
+    asked = led.select("doc", "page", "page_start", F.explode(F.transform("_m", derived)).alias("_h")).select("doc", "page", "page_start", "_h.*")
     clean = marks(pages, ["doc", "page"], "text", name or CHAPTER).select("doc", "page", F.col("at").alias("place"), F.struct("number", "at", "until").alias("met"))
     met = at_or_after(asked, clean, ["doc", "page"], "place", "met").where("met IS NOT NULL")
     same = met if name is None else met.where(F.lower("met.number") == F.lower("number"))
@@ -156,11 +161,18 @@ def section_starts(documents: DataFrame) -> DataFrame:
 
 
 def bounded(headings: DataFrame, documents: DataFrame) -> DataFrame:
-    """headings with stop (where the next one begins, or TAIL characters past the last heading), full and cut (the last unit was cut)."""
+    """headings with stop (where the next one begins, or TAIL characters past the last heading) and cut (the last unit was cut); offsets only, no text."""
     order = Window.partitionBy("doc").orderBy("at")
-    joined = headings.join(documents.select("doc", "full"), "doc").withColumn("_next", F.lead("at").over(order))
-    long = F.col("_next").isNull() & (F.length("full") - F.col("until") > TAIL)
-    return joined.withColumn("cut", long).withColumn("stop", F.coalesce("_next", F.when(long, F.col("until") + TAIL).otherwise(F.length("full")))).drop("_next")
+    joined = headings.join(documents.select("doc", F.length("full").alias("_size")), "doc").withColumn("_next", F.lead("at").over(order))
+    long = F.col("_next").isNull() & (F.col("_size") - F.col("until") > TAIL)
+    return joined.withColumn("cut", long).withColumn("stop", F.coalesce("_next", F.when(long, F.col("until") + TAIL).otherwise(F.col("_size")))).drop("_next", "_size")
+
+
+def with_own(pieces: DataFrame, documents: DataFrame, at: str = "at", stop: str = "stop") -> DataFrame:
+    """pieces (doc, offsets and more) with own, the text between two offsets. A document's offsets are gathered and meet its text once, so a text travels once, however many pieces it has."""
+    held = pieces.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in pieces.columns if c != "doc"])).alias("_p"))
+    cut = lambda x: F.struct(x.alias("x"), _slice("full", x[at], x[stop]).alias("own"))
+    return documents.select("doc", "full").join(held, "doc").select("doc", F.explode(F.transform("_p", cut)).alias("_q")).select("doc", "_q.x.*", "_q.own")
 
 
 def _slice(full: str, start: Column, stop: Column) -> Column:
@@ -183,15 +195,15 @@ def _titled(prefix: str) -> Column:
 
 
 def article_units(run: DataFrame, documents: DataFrame) -> DataFrame:
-    text = _rtrim(_slice("full", F.col("at"), F.col("stop")))
-    return bounded(run, documents).select(*_unit(F.concat("doc", F.lit("#art"), "number"), F.lit(None), _titled("Article "), F.nullif("title", F.lit("")), text, F.col("at")))
+    text = _rtrim(F.col("own"))
+    return with_own(bounded(run, documents), documents).select(*_unit(F.concat("doc", F.lit("#art"), "number"), F.lit(None), _titled("Article "), F.nullif("title", F.lit("")), text, F.col("at")))
 
 
 def rule_units(run: DataFrame, documents: DataFrame, chapters: DataFrame) -> DataFrame:
     """Rules end where a chapter begins before the next one."""
     named = at_or_after(bounded(run, documents).withColumn("place", F.col("until") + 1), chapters.select("doc", F.col("at").alias("place"), F.col("at").alias("chapter")), ["doc"], "place", "chapter")
     stop = F.when(F.col("chapter") < F.col("stop"), F.col("chapter")).otherwise(F.col("stop"))
-    return named.select(*_unit(F.concat("doc", F.lit("#r"), "number"), F.lit(None), _titled("Rule "), F.nullif("title", F.lit("")), _rtrim(_slice("full", F.col("at"), stop)), F.col("at")))
+    return with_own(named.withColumn("stop", stop).drop("place", "chapter"), documents).select(*_unit(F.concat("doc", F.lit("#r"), "number"), F.lit(None), _titled("Rule "), F.nullif("title", F.lit("")), _rtrim(F.col("own")), F.col("at")))
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -235,9 +247,10 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
     key = F.when(~F.col("_again"), base).otherwise(F.concat(base, F.lit("-p"), F.col("page").cast("string"), F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")))
     heading = F.nullif(F.regexp_replace(F.trim("title"), r"^[\[\]]+|[\[\]]+$", ""), F.lit(""))
     path = F.concat(F.coalesce("chapter.path", F.array().cast("array<string>")), F.array(F.concat(F.lit("Section "), "number")), F.when(heading.isNotNull(), F.array(heading)).otherwise(F.array().cast("array<string>")))
-    raw = _slice("full", F.col("until"), F.col("end"))
+    raw = _slice("own", F.col("until") - F.col("at"), F.col("end") - F.col("at"))
     left = F.length(raw) - F.length(F.regexp_replace(raw, r"^\s+", ""))
-    sections = keyed.select("doc", key.alias("key"), path.alias("path"), heading.alias("heading"), "full", "at", "end", (F.col("until") + left).alias("inner"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("body"))
+    keyed = with_own(keyed.drop("later", "cut", "stop"), documents, stop="end")
+    sections = keyed.select("doc", key.alias("key"), path.alias("path"), heading.alias("heading"), "own", "at", "end", (F.col("until") + left).alias("inner"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("body"))
 
     clauses = clause_rows(sections, "key", "body").join(sections.select("doc", "key", "path", "inner", "body"), "key")
     split = _rtrim(_slice("body", F.col("at"), F.col("stop")))
@@ -247,7 +260,7 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
 
     firsts = clauses.groupBy("key").agg(F.min(F.col("inner") + F.col("at")).alias("_first"))
     heads = sections.join(firsts, "key", "left")
-    units = heads.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(_slice("full", F.col("at"), F.coalesce("_first", "end"))), F.col("at")))
+    units = heads.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(_slice("own", F.lit(0), F.coalesce("_first", "end") - F.col("at"))), F.col("at")))
     opened = sub.groupBy(F.col("parent").alias("key")).agg(F.min("start").alias("_first"))
     led = level.join(opened, "key", "left")
     head = F.when(F.col("_first").isNotNull(), _rtrim(F.substr("p.body", F.lit(1), F.col("_first") - F.col("start")))).otherwise(F.col("p.body"))

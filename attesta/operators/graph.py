@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.session import materialize
+
 
 def ancestors(nodes: DataFrame, seeds: DataFrame, depth: int = 4, key: str = "id", parent: str = "parent_id") -> DataFrame:
     """seed, ancestor and distance, up to depth levels; a node that was met before isn't met again. The depth is small and fixed, so the joins are unrolled."""
@@ -18,6 +20,25 @@ def ancestors(nodes: DataFrame, seeds: DataFrame, depth: int = 4, key: str = "id
     return reduce(DataFrame.unionByName, found).where("seed <> ancestor").groupBy("seed", "ancestor").agg(F.min("distance").alias("distance"))
 
 
+def ancestors_in_version(nodes: DataFrame, seeds: DataFrame, depth: int, version: str = "version", key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """seed, version, ancestor and distance: parents of parents in the seed's version, for any depth.
+
+    nodes: key, parent, version; seeds: key, version. A node is only left through its row in the seed's version, so a parent that another
+    version holds is met, but not its own parents. What a seed has met is kept, so cycles end and each ancestor has its least distance; the
+    seed itself is none. Each round works on the front of the last one, stored in the shared folder, and the rounds end with an empty front.
+    """
+    up = nodes.select(F.col(key).alias("_n"), F.col(version).alias("_v"), F.col(parent).alias("_p")).where("_p IS NOT NULL").distinct()
+    front = seeds.select(F.col(key).alias("seed"), F.col(version).alias("_v"), F.col(key).alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    seen = front = materialize(front, "ancestors")
+    for i in range(1, depth + 1):
+        step = front.withColumnRenamed("ancestor", "_n").join(up, ["_n", "_v"]).select("seed", "_v", F.col("_p").alias("ancestor")).distinct()
+        front = materialize(step.join(seen, ["seed", "_v", "ancestor"], "left_anti").withColumn("distance", F.lit(i)), "ancestors")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.where("distance > 0").withColumnRenamed("_v", version)
+
+
 def expand(seeds: DataFrame, edges: DataFrame, kinds: list[str], depth: int = 1) -> DataFrame:
     """seed and reached: nodes within depth steps over edges (src, dst, kind) of the kinds, in either direction; seeds don't reach seeds of their own group again."""
     both = edges.where(F.col("kind").isin(kinds)).select("src", "dst")

@@ -163,8 +163,8 @@ def _prefix(r: Column, share: Column) -> Column:
     return F.slice(r, 1, F.greatest(F.lit(1), F.least(n, n - F.ceil(share * n - 1e-9) + 1 + F.floor(LONGER * n))).cast("int"))
 
 
-def _met(queries: DataFrame, items: DataFrame, share: Column, floor: float) -> DataFrame:
-    """query_id, section_id and f of pairs whose similarity may reach a share of the query's.
+def prefix_candidates(queries: DataFrame, items: DataFrame, share: Column, floor: float) -> DataFrame:
+    """query_id, section_id and f of pairs whose Jaccard similarity may reach a share of the query's; queries and items have r, their sets in one common order.
 
     Sizes must fit. What both prefixes share is counted; what else the sets may share is in one of them beyond its prefix, namely in the
     one whose prefix ends earlier. Pairs that can't get enough members by that are dropped before any set is looked at.
@@ -205,10 +205,10 @@ def trigram_search(asked: DataFrame, sections: DataFrame, floor: float = 0.2, k:
     missing = sets.join(known, "query_id", "left").select("query_id", none.alias("absent"))
     queries = ordered_sets(sets, ["query_id"], ranks).join(missing, "query_id").select("query_id", F.concat(F.transform(F.when(F.col("absent") < 0, F.sequence(F.col("absent"), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda x: x), "r").alias("r"))
     queries = materialize(queries, "trigram-questions")
-    first = _similar(_met(queries, items, F.lit(0.35), 0.35), queries, items)
+    first = _similar(prefix_candidates(queries, items, F.lit(0.35), 0.35), queries, items)
     kth = top_k(first, ["query_id"], [F.desc("sim"), "section_id"], k).where(F.col("rank") == k).select("query_id", F.col("sim").alias("bound"))
     bounded = materialize(queries.join(kth, "query_id", "left").withColumn("t", F.greatest(F.lit(floor), F.coalesce("bound", F.lit(floor)) - 1e-6)), "trigram-bounds")
-    pairs = materialize(_met(bounded, items, F.col("t"), floor), "trigram-pairs")
+    pairs = materialize(prefix_candidates(bounded, items, F.col("t"), floor), "trigram-pairs")
     if counted is not None:
         counted["pairs"] = pairs.count()
     sims = _similar(pairs, queries, items).where(F.col("sim") > floor)

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from attesta.operators import ranking
+from attesta.session import materialize
+
 #: The patent-risk tree's conditions and weights, by section of the Act.
 PATENT_RISK = [
     {"id": "p_classical_source_match", "section": "3(p)", "cite": ["patents_act_1970#s3(p)"], "weight": 0.5, "when": {"all": [{"field": "classical_sources_cited", "op": "nonempty"}]}},
@@ -104,12 +107,19 @@ def confidence(df: DataFrame, margin: str, entailment: str, verified: str, back_
     return out.withColumn("level", F.when(F.col("score") < low, "low").when(F.col("score") < high, "medium").otherwise("high")).withColumn("abstain", F.col("score") < low).withColumn("review", (F.col("score") >= low) & (F.col("score") < high))
 
 
-def fuzzy_names(names: DataFrame, dictionary: DataFrame, name: str, entry: str, least: float = 0.6, k: int = 3) -> DataFrame:
+def _letters(names: DataFrame, name: str, lowered: str) -> DataFrame:
+    """name and t for each letter of a name; the second a of a name is another member than the first."""
+    each = names.select(name, F.explode(F.split(lowered, "")).alias("c")).where("c <> ''").groupBy(name, "c").agg(F.count("*").cast("int").alias("n"))
+    return each.select(name, F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat("c", k.cast("string")))).alias("t"))
+
+
+def fuzzy_names(names: DataFrame, dictionary: DataFrame, name: str, entry: str, least: float = 0.6, k: int = 3, counted: dict | None = None) -> DataFrame:
     """name, entry and ratio: equal names (case aside) win alone, else the k most similar entries of ratio `least` or more.
 
-    The ratio is that of longest matching blocks (difflib) over distinct names and entries. It is at most twice the smaller length over the sum
-    of lengths, and counts characters in common, so only pairs are compared whose lengths fit and that share a letter; blocks of entries by length
-    keep a task's share of the work small. Null names match nothing; the empty name equals the empty entry alone.
+    The ratio is that of longest matching blocks (difflib) over distinct names and entries. It counts characters in common, so it is at most
+    twice the common letters over the sum of lengths, repeated letters included. Pairs that may reach it by that bound are found by the prefixes
+    of the multisets of letters, rare ones first (prefix_candidates); matching blocks are run on these only. counted, if given, gets their
+    number. Null names match nothing; the empty name equals the empty entry alone.
     """
     import difflib
 
@@ -117,10 +127,15 @@ def fuzzy_names(names: DataFrame, dictionary: DataFrame, name: str, entry: str,
     d = dictionary.select(F.col(entry).alias("_e"), F.lower(entry).alias("_le")).where("_e IS NOT NULL").distinct()
     same = n.join(d, F.col("_ln") == F.col("_le")).select(F.col("_n").alias(name), F.col("_e").alias(entry), F.lit(1.0).alias("ratio"))
     left = n.join(same.select(F.col(name).alias("_n")).distinct(), "_n", "left_anti").where(F.length("_ln") > 0)
-    share = least / (2 - least) - 1e-9  # the shorter length over the longer one, at least
-    lengths = F.sequence(F.ceil(F.length("_ln") * share).cast("int"), F.floor(F.length("_ln") / share).cast("int"))
-    asked = left.withColumn("_size", F.explode(lengths))
-    pairs = asked.join(d.withColumn("_size", F.length("_le")), "_size").where(F.arrays_overlap(F.split("_ln", ""), F.split("_le", "")))
+    of_entries = materialize(_letters(d, "_e", "_le"), "letters")
+    rank = of_entries.groupBy("t").agg(F.count("*").alias("df")).select("t", F.struct("df", "t").alias("rank"))
+    ordered = lambda each, key: each.join(ranking.small(rank), "t", "left").groupBy(key).agg(F.sort_array(F.collect_list(F.coalesce("rank", F.struct(F.lit(0).cast("bigint").alias("df"), F.col("t").alias("t"))))).alias("r"))
+    asked, known = ordered(_letters(left, "_n", "_ln"), "_n").withColumnRenamed("_n", "query_id"), ordered(of_entries, "_e").select(F.col("_e").alias("section_id"), F.lit(0).alias("f"), "r")
+    share = least / (2 - least) - 1e-9  # of the union, if the ratio is `least`
+    found = materialize(ranking.prefix_candidates(asked, known, F.lit(share), share), "name-pairs")
+    if counted is not None:
+        counted["pairs"] = found.count()
+    pairs = found.select(F.col("query_id").alias("_n"), F.col("section_id").alias("_e"), F.lower("query_id").alias("_ln"), F.lower("section_id").alias("_le"))
 
     @F.arrow_udf(DoubleType())
     def ratio(left: pa.Array, right: pa.Array) -> pa.Array:

@@ -121,7 +121,7 @@ def formulation_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tk_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _formulas(spark, sf_dir).where("ask % 50 = 0").select("ask", F.transform("items", lambda b: F.when(b == "Brand#11", "unknown herb").otherwise(F.upper(b))).alias("items"), "indication")
     names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct().withColumn("canonical", F.col("name"))
-    cases = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 7).alias("case")).agg(F.array_sort(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 3)).alias("species"))
+    cases = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("case")).agg(F.array_sort(F.collect_set("p_brand")).alias("species"))
     r = am.tk_radar(asked, names, _known(spark, sf_dir), cases)
     return r.select("ask", F.array_join("canonical", ",").alias("canonical"), F.array_join("terms", ",").alias("terms"), F.array_join(F.transform("matches", lambda m: F.concat(m["ref"].cast("string"), F.lit("="), m["score"].cast("string"))), ",").alias("matches"), F.array_join(F.transform("watchlist", lambda w: w.cast("string")), ",").alias("watchlist"))
 
@@ -135,28 +135,34 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.documents(spark, sf_dir)
+    """Each document as it is, a page for each of its lines; before them, by its id, a page with sections, articles, rules or nothing."""
     k = F.col("doc_id") % 4
-    plain = F.regexp_replace("text", r"[\[\]*_().]+|\d", "")
-    act = F.concat(F.lit("CHAPTER I\nPRELIMINARY\n1. Short title.—This Act may be called so. 2. Definitions.—In this Act, (a) “one” means 1; (b) “two” means more Provided that it is so. 3. Powers.—"), plain)
-    treaty = F.concat(F.lit("Article 1\nScope\nIt is about scope.\nArticle 2\nUse\nUse it.\nArticle 3\nEnd\n"), plain)
-    rule = F.concat(F.lit("Rule 1\nTitle\nThese are rules.\nRule 2\nForms\n"), plain)
-    return d.select(F.col("doc_id").alias("doc"), F.when(k == 2, "rule").otherwise("statute").alias("doc_type"), F.lit(0).alias("page"), F.lit(1).alias("printed"), F.when(k == 0, act).when(k == 1, treaty).when(k == 2, rule).otherwise(plain).alias("raw"))
+    act = "CHAPTER I\nPRELIMINARY\n1. Short title.—This Act may be called so. 2. Definitions.—In this Act, (a) “one” means 1; (b) “two” means more Provided that it is so. 3. Powers.—"
+    treaty = "Article 1\nScope\nIt is about scope.\nArticle 2\nUse\nUse it.\nArticle 3\nEnd\n"
+    rule = "Rule 1\nTitle\nThese are rules.\nRule 2\nForms\n"
+    head = F.when(k == 0, F.array(F.lit(act))).when(k == 1, F.array(F.lit(treaty))).when(k == 2, F.array(F.lit(rule))).otherwise(F.array().cast("array<string>"))
+    pages = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.when(k == 2, "rule").otherwise("statute").alias("doc_type"), F.posexplode(F.concat(head, F.split("text", "\n"))).alias("page", "raw"))
+    return pages.withColumn("printed", F.col("page") + 1)
 
 
 @query()
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of all documents, a quarter of them led by sections, articles, rules or nothing."""
+    """Units of all documents."""
     units, _, _ = chunking.chunk_documents(_pages(spark, sf_dir))
     return units.select("doc", "key", "parent", F.array_join("path", " > ").alias("path"), "start", "end", "page_start", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query("""SELECT doc_id AS doc, CASE doc_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE CAST(length(trim(regexp_replace(regexp_replace(text, '[\\[\\]*_().]+|\\d', '', 'g'), '\\s+', ' ', 'g'), ' ')) > 0 AS INTEGER) END AS n_units, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS n_edges FROM documents""")
+@query(r"""SELECT doc_id AS doc, doc_id % 4 <> 3 OR length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) > 0 AS has_units, true AS verbatim, true AS known_parents FROM documents""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units, edges, _ = chunking.chunk_documents(_pages(spark, sf_dir))
-    d = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("doc"))
-    n = lambda df, name: df.groupBy("doc").agg(F.count("*").alias(name))
-    return d.join(n(units, "n_units"), "doc", "left").join(n(edges, "n_edges"), "doc", "left").select("doc", F.coalesce("n_units", F.lit(0)).alias("n_units"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+    """Of each document: it has units if it has text; each unit's text is what the document holds at its offsets; each unit's parent is a unit."""
+    pages = _pages(spark, sf_dir)
+    units, _, _ = chunking.chunk_documents(pages)
+    _, documents = chunking.parsed(pages)
+    held = units.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "text", "key", "parent")).alias("u"))
+    keys = F.transform("u", lambda u: u["key"])
+    at_home = F.forall("u", lambda u: F.substr("full", u["start"] + 1, u["end"] - u["start"]) == u["text"])
+    found = documents.select("doc", "full").join(held, "doc", "left")
+    return found.select("doc", F.col("u").isNotNull().alias("has_units"), F.coalesce(at_home, F.lit(True)).alias("verbatim"), F.coalesce(F.forall("u", lambda u: u["parent"].isNull() | F.array_contains(keys, u["parent"])), F.lit(True)).alias("known_parents"))
 
 
 _PARTS = f"""{C_CHUNKS}, u AS (SELECT doc_key AS doc, chunk_id || CASE line % 3 WHEN 1 THEN '-proviso' WHEN 2 THEN '-explanation' ELSE '' END AS key, line FROM c_chunks),

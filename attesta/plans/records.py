@@ -90,7 +90,7 @@ def suggested_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS t FROM pages) SELECT page_id, href, trim(regexp_replace(t, '<[^>]*>', '', 'g'), ' ') AS text FROM l""")
 def anchor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.anchors(table(spark, sf_dir, "pages"), "page_id", "html")
+    return files.anchors(table(spark, sf_dir, "pages"), "page_id", "html").drop("place")
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_type, ' ', ' ; '), ';'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM part")

@@ -333,6 +333,19 @@ def ancestors_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(nodes.distinct(), lines.select("id").distinct())
 
 
+@query(f"""WITH RECURSIVE {C_CHUNKS}, nodes AS (SELECT chunk_id AS id, version, CASE WHEN line > 0 THEN doc_key || '#s' || CAST(line // 2 AS VARCHAR) ELSE doc_key END AS parent_id FROM c_chunks UNION ALL
+  SELECT doc_key, CASE WHEN doc_id % 5 = 0 THEN 'staged' ELSE version END, source FROM c_documents), up AS (
+  SELECT id AS seed, version, parent_id AS ancestor, 1 AS distance FROM nodes WHERE contains(id, '#')
+  UNION SELECT u.seed, u.version, n.parent_id, u.distance + 1 FROM up u JOIN nodes n ON n.id = u.ancestor AND n.version = u.version WHERE u.distance < 12
+) SELECT seed, version, ancestor, CAST(min(distance) AS INTEGER) AS distance FROM up GROUP BY seed, version, ancestor""")
+def ancestors_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines lead to the line of half their number, the first to its document, a document to its source where the versions are the same."""
+    c, d = corpus.chunks(spark, sf_dir), corpus.documents(spark, sf_dir)
+    lines = c.select(F.col("chunk_id").alias("id"), "version", F.when(F.col("line") > 0, F.concat("doc_key", F.lit("#s"), F.floor(F.col("line") / 2).cast("string"))).otherwise(F.col("doc_key")).alias("parent_id"))
+    owners = d.select(F.col("doc_key").alias("id"), F.when(F.col("doc_id") % 5 == 0, "staged").otherwise(F.col("version")).alias("version"), F.col("source").alias("parent_id"))
+    return graph.ancestors_in_version(lines.unionByName(owners), lines.select("id", "version"), 12)
+
+
 _KINDS = ", ".join(f"'{k}'" for k in corpus.EDGE_KINDS)
 _EDGES = f"""{C_CHUNKS}, edges AS (
   SELECT chunk_id AS src, doc_key || '#s' || CAST(line + 1 AS VARCHAR) AS dst, ([{_KINDS}])[line % 5 + 1] AS kind FROM c_chunks
@@ -411,12 +424,12 @@ def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.listed(corpus.documents(spark, sf_dir), "IN", "rule").select("doc_key")
 
 
-@query(f"WITH {C_DOCUMENTS}, v AS (SELECT doc_id, 'p' || CAST(doc_id % 3 AS VARCHAR) || '/' || doc_key AS path, doc_key, version, url FROM c_documents JOIN pages ON page_id = doc_id % 50) SELECT doc_key, min(path) AS path, arg_min(url, path) AS source_url FROM v WHERE version = 'live' GROUP BY doc_key")
+@query(f"WITH {C_DOCUMENTS}, v AS (SELECT doc_id, 'p' || CAST(doc_id % 3 AS VARCHAR) || '/' || doc_key AS path, doc_key, version, url FROM c_documents JOIN pages ON page_id = doc_id) SELECT doc_key, min(path) AS path, arg_min(url, path) AS source_url FROM v WHERE version = 'live' GROUP BY doc_key")
 def version_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, their versions and the versions' labels, joined three ways."""
     d = corpus.documents(spark, sf_dir)
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), F.col("url").alias("source_url"))
-    held = d.withColumn("p", F.col("doc_id") % 50).join(pages, "p").select(F.col("doc_id").alias("document_id"), F.col("version").alias("version_id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), "doc_key").alias("path"), F.lit("x").alias("sha256"), "source_url")
+    held = d.withColumn("p", F.col("doc_id")).join(pages, "p").select(F.col("doc_id").alias("document_id"), F.col("version").alias("version_id"), F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"), F.lit("/"), "doc_key").alias("path"), F.lit("x").alias("sha256"), "source_url")
     versions = d.select(F.col("version").alias("version_id"), F.col("version").alias("label")).distinct()
     return gate.artifact_of(held, d.select(F.col("doc_id").alias("document_id"), "doc_key"), versions, "live").select("doc_key", "path", "source_url")
 

@@ -210,16 +210,13 @@ def ocr_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", needs_ocr_review(shown, F.col("html"), page_density(F.col("t"), F.col("area"))).alias("review"))
 
 
+#: Parts of words and the classes they point to.
 _IPC = {"tion": "A61K", "ble": "A61P", "heit": "C12N", "eux": "A23L"}
 
 
-@query("""WITH k AS (SELECT unnest(['tion', 'ble', 'heit', 'eux']) AS s, unnest(['A61K', 'A61P', 'C12N', 'A23L']) AS c), t AS (SELECT p_partkey, doc.text FROM part JOIN documents doc ON doc.doc_id = p_partkey % 100)
-SELECT p_partkey, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), 'A61K 36/00') AS classes FROM t LEFT JOIN k ON contains(text, s) GROUP BY p_partkey""")
+@query(f"""WITH k AS (SELECT unnest({list(_IPC)}) AS s, unnest({list(_IPC.values())}) AS c) SELECT doc_id, coalesce(string_agg(DISTINCT c, ',' ORDER BY c), 'A61K 36/00') AS classes FROM documents LEFT JOIN k ON contains(text, s) GROUP BY doc_id""")
 def ipc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "text")
-    t = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey") % 100).join(d, "k")
-    found = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(s)), c) for s, c in _IPC.items()]), lambda x: x.isNotNull())))
-    return t.select("p_partkey", F.coalesce(F.nullif(F.array_join(found, ","), F.lit("")), F.lit("A61K 36/00")).alias("classes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.keyword_classes(F.col("text"), _IPC, "A61K 36/00"), ",").alias("classes"))
 
 
 _FACTS = """facts AS (

@@ -50,7 +50,7 @@ def yaml_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def single_candidate(links: DataFrame, pages: DataFrame, key: str, host: str, folder: str) -> DataFrame:
-    """key, url and error: the one PDF that a page links to. pages: key, url, title; links: key, href, text.
+    """key, url and error: the one PDF that a page links to. pages: key, url, title; links: key, place, href, text.
 
     Candidates are .pdf links on the host whose path holds the folder; relative links are led by the page's url. One whose text equals the title
     (in any case) wins if it is the only such one; else the only candidate; else the error is ambiguous or none.
@@ -60,7 +60,7 @@ def single_candidate(links: DataFrame, pages: DataFrame, key: str, host: str, fo
     led = links.join(pages.select(key, "url", "title"), key).withColumn("full", full)
     path = F.lower(F.regexp_extract("full", r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
     named = led.where((F.lower(F.regexp_extract("full", r"^[a-zA-Z]+://([^/?#:]*)", 1)) == host) & path.endswith(".pdf") & F.contains(path, F.lit(folder.lower())))
-    last = named.groupBy(key, "full").agg(F.last("text").alias("text"), F.first("title").alias("title"))
+    last = named.groupBy(key, "full").agg(F.max_by("text", "place").alias("text"), F.max("title").alias("title"))  # of links to one file the last on the page counts
     same = F.lower("text") == F.lower("title")
     counts = last.groupBy(key).agg(F.count("*").alias("n"), F.count_if(same).alias("exact"), F.max(F.when(same, F.col("full"))).alias("by_title"), F.max("full").alias("only"))
     chosen = F.when(F.col("exact") == 1, F.col("by_title")).when(F.col("n") == 1, F.col("only"))
@@ -90,10 +90,10 @@ def fetched(files: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, href and text of the links of a page, in quotes."""
+    """key, place (from 0 on), href and text of the links of a page, in quotes."""
     shape = r"""(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(shape), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(shape), F.lit(2)).alias("text"))
-    return pages.select(key, F.explode(pairs).alias("a")).select(key, F.col("a.href").alias("href"), F.trim(F.regexp_replace("a.text", r"<[^>]*>", "")).alias("text"))
+    return pages.select(key, F.posexplode(pairs).alias("place", "a")).select(key, "place", F.col("a.href").alias("href"), F.trim(F.regexp_replace("a.text", r"<[^>]*>", "")).alias("text"))
 
 
 def write_version(chunks: DataFrame, path: str, version: str) -> None:
