@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from attesta.functions.text import evidence_id
 from attesta.operators.gate import valid_on
+from attesta.operators.ranking import meet
 from attesta.operators.rules import gauge, rule_hits, set_match
 
 #: Sections of the risk card in their order, what their rules say and cite, and what would help.
@@ -114,9 +115,10 @@ def formulation_matches(asked: DataFrame, known: DataFrame, k: int = 8) -> DataF
     """ask, ref, score, overlap, missing, extra (sorted sets), indication_match and rank: the k best known formulations that share an ingredient.
 
     asked: ask, items (array), indication; known: ref, items, indications (array). A match of the indication adds 0.15. Pairs come from an
-    equi-join on ingredients; an ingredient's postings are split by the asking side's task, and pairs are counted once.
+    equi-join on ingredients and are counted once; the asking side is broadcast if it is small, else an ingredient's postings are dealt to salts.
     """
-    pairs = asked.select("ask", F.explode(F.array_distinct("items")).alias("x")).join(known.select("ref", F.explode(F.array_distinct("items")).alias("x")), "x").select("ask", "ref").distinct()
+    of_known, of_asked = known.select("ref", F.explode(F.array_distinct("items")).alias("x")), asked.select("ask", F.explode(F.array_distinct("items")).alias("x"))
+    pairs = meet(of_known, of_asked, ["x"], "ref").select("ask", "ref").distinct()
     joined = pairs.join(asked.select("ask", F.col("items").alias("_a"), "indication"), "ask").join(known.select("ref", F.col("items").alias("_r"), "indications"), "ref")
     boosted = F.coalesce((F.coalesce("indication", F.lit("")) != "") & F.exists("indications", lambda i: F.contains(F.lower(i), F.lower(F.col("indication")))), F.lit(False))
     scored = joined.withColumn("indication_match", boosted).withColumn("score", set_match("_a", "_r", F.col("indication_match")))
