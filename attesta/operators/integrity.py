@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,23 +34,50 @@ def chain(entries: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
     A chain is sequential by nature, so a key's entries stay in one task; they stream through it in their order, and only the
     last hash is kept. A null payload hashes like an empty one; entries with a null key are a chain of their own.
     """
-    rows = entries.select(F.col(key).alias("_k"), F.col(seq).cast("bigint").alias("_s"), F.coalesce(F.col(payload), F.lit("")).alias("_p"))
+    return append_chain(entries, None, key, seq, payload).drop("place")
+
+
+def append_chain(entries: DataFrame, heads: DataFrame | None, key: str, seq: str, payload: str) -> DataFrame:
+    """key, seq, place (from 0), prev_hash and entry_hash of new entries, as continuations of stored chains: only the new entries are hashed.
+
+    heads: key, seq, place and entry_hash of each chain's last entry (chain_heads); a head travels to its key's task as a row of its own. A key
+    without a head starts a chain. An entry that isn't after its chain's head in seq is an error, as it would change what is stored.
+    """
+    rows = entries.select(F.col(key).alias("_k"), F.col(seq).cast("bigint").alias("_s"), F.coalesce(F.col(payload), F.lit("")).alias("_p"), F.lit(None).cast("bigint").alias("_n"))
+    if heads is not None:
+        rows = rows.unionByName(heads.select(F.col(key).alias("_k"), F.col(seq).cast("bigint").alias("_s"), F.col("entry_hash").alias("_p"), F.col("place").cast("bigint").alias("_n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hash_ = object(), GENESIS
+        last, hash_, place, after_seq = object(), GENESIS, 0, None
         for batch in batches:
-            before, after = [], []
-            for k, text in zip(batch["_k"].to_pylist(), batch["_p"].to_pylist(), strict=True):
+            keep, places, before, after = [], [], [], []
+            for k, s, text, n in zip(*(batch[c].to_pylist() for c in ("_k", "_s", "_p", "_n")), strict=True):
                 if k != last:
-                    last, hash_ = k, GENESIS
+                    last, hash_, place, after_seq = k, GENESIS, 0, None
+                keep.append(n is None)
+                if n is not None:
+                    hash_, place, after_seq = text, n + 1, s
+                    continue
+                if after_seq is not None and (s is None or s <= after_seq):
+                    raise ValueError(f"entry {s} of chain {k} is not after its head {after_seq}")
+                places.append(place)
                 before.append(hash_)
-                hash_ = hashlib.sha256((hash_ + text).encode()).hexdigest()
+                hash_, place = hashlib.sha256((hash_ + text).encode()).hexdigest(), place + 1
                 after.append(hash_)
-            yield pa.RecordBatch.from_arrays([batch["_k"], batch["_s"], pa.array(before, pa.string()), pa.array(after, pa.string())], ["_k", "_s", "prev_hash", "entry_hash"])
+            new = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([new["_k"], new["_s"], pa.array(places, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], ["_k", "_s", "place", "prev_hash", "entry_hash"])
 
     kind = entries.schema[key].dataType.simpleString()
-    linked = rows.repartition("_k").sortWithinPartitions("_k", "_s", "_p").mapInArrow(run, f"_k {kind}, _s bigint, prev_hash string, entry_hash string")
-    return linked.select(F.col("_k").alias(key), F.col("_s").alias(seq), "prev_hash", "entry_hash")
+    linked = rows.repartition("_k").sortWithinPartitions("_k", F.col("_n").isNull(), "_s", "_p").mapInArrow(run, f"_k {kind}, _s bigint, place bigint, prev_hash string, entry_hash string")
+    return linked.select(F.col("_k").alias(key), F.col("_s").alias(seq), "place", "prev_hash", "entry_hash")
+
+
+def chain_heads(linked: DataFrame, heads: DataFrame | None, key: str, seq: str) -> DataFrame:
+    """key, seq, place and entry_hash of each chain's last entry after new entries (append_chain) came to the stored heads."""
+    rows = linked.select(key, seq, "place", "entry_hash")
+    rows = rows if heads is None else rows.unionByName(heads.select(key, seq, "place", "entry_hash"))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(seq, "place", "entry_hash"), "place").alias("_l"))
+    return last.select(key, f"_l.{seq}", "_l.place", "_l.entry_hash")
 
 
 def chain_breaks(chained: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
@@ -116,6 +144,42 @@ def merkle_proofs(leaves: DataFrame, tree: str, order: str, leaf: str, keep: lis
     return own.join(grouped, ["tree", "i"], "left").withColumn("proof", F.coalesce("proof", F.array().cast("array<struct<level:int,sibling:string,left:boolean>>")))
 
 
+def append_merkle(leaves: DataFrame, frontier: DataFrame | None, tree: str, order: str, leaf: str) -> DataFrame:
+    """The frontier (tree, level, i, hash) of trees after new leaves came to the stored frontier: the roots of the full subtrees, one for each bit of
+    the number of leaves.
+
+    Only new leaves and log n stored nodes of each tree are hashed: level by level, new nodes meet the stored node of their level, pairs go up, and what is left
+    without a partner is the frontier there. Within a batch, leaves stand in the order of a column; a later batch stands after those before. Leaves
+    whose tree is null belong to no tree. A tree without new leaves keeps its frontier.
+    """
+    rows = leaves.where(F.col(tree).isNotNull()).select(F.col(tree).alias("tree"), F.col(order).alias("o"), F.col(leaf).alias("hash"))
+    new = numbered(rows, "tree", "o").select("tree", "i", "hash")
+    if frontier is None:
+        old = new.sparkSession.createDataFrame([], new.schema).select("tree", F.lit(0).alias("level"), "i", "hash")
+    else:
+        old = frontier.select(F.col(tree).alias("tree"), F.col("level").cast("int").alias("level"), "i", "hash")
+        sizes = old.groupBy("tree").agg(F.sum(F.expr("shiftleft(1L, level)")).alias("_size"))
+        new = new.join(sizes, "tree", "left").select("tree", (F.col("i") + F.coalesce("_size", F.lit(0))).alias("i"), "hash")
+    nodes, left, level = new.checkpoint(), [], 0
+    top = old.agg(F.max("level")).first()[0]
+    most = nodes.agg(F.max("i")).first()[0]
+    while (most is not None and most >> level) or (top is not None and level <= top) or (level == 0 and most is not None):
+        met = nodes.unionByName(old.where(F.col("level") == level).select("tree", "i", "hash"))
+        pairs = met.groupBy("tree", F.floor(F.col("i") / 2).cast("bigint").alias("up")).agg(F.min_by("hash", "i").alias("l"), F.max_by("hash", "i").alias("r"), F.min("i").alias("i"), F.count("*").alias("n")).checkpoint()
+        left.append(pairs.where("n = 1").select("tree", F.lit(level).alias("level"), "i", F.col("l").alias("hash")))
+        nodes = pairs.where("n = 2").select("tree", F.col("up").alias("i"), pair_hash(F.col("l"), F.col("r")).alias("hash"))
+        level += 1
+    left.append(nodes.select("tree", F.lit(level).alias("level"), "i", "hash"))
+    return reduce(DataFrame.unionByName, left).withColumnRenamed("tree", tree).checkpoint()
+
+
+def frontier_roots(frontier: DataFrame, tree: str) -> DataFrame:
+    """tree and root of stored frontiers: their nodes (one a bit of the tree's size) are hashed from the smallest subtree up."""
+    peaks = F.array_sort(F.collect_list(F.struct("level", "hash")))
+    rows = frontier.groupBy(tree).agg(peaks.alias("_p"))
+    return rows.select(tree, F.aggregate(F.slice("_p", 2, F.size("_p")), F.element_at("_p", 1)["hash"], lambda h, p: pair_hash(p["hash"], h)).alias("root"))
+
+
 def proof_root(leaf: Column, proof: Column) -> Column:
     """The root that a leaf and its proof lead to."""
     return F.aggregate(proof, leaf, lambda h, s: F.when(s["left"], pair_hash(s["sibling"], h)).otherwise(pair_hash(h, s["sibling"])))
@@ -141,10 +205,10 @@ def audit_entries(results: DataFrame) -> DataFrame:
     return named.withColumn("entry", canonical_json(F.to_json(entry, {"ignoreNullFields": "false"}))).drop("_request")
 
 
-def build_receipts(results: DataFrame, log: str, seq: str) -> DataFrame:
-    """results with entry, result_hash, prev_hash, entry_hash and receipt_id; entries of one log are one chain, ordered by seq."""
+def build_receipts(results: DataFrame, log: str, seq: str, heads: DataFrame | None = None) -> DataFrame:
+    """results with entry, result_hash, place, prev_hash, entry_hash and receipt_id; entries of one log are one chain, ordered by seq, which goes on from stored heads."""
     entries = audit_entries(results)
-    linked = chain(entries, log, seq, "entry")
+    linked = append_chain(entries, heads, log, seq, "entry")
     return entries.join(linked, [log, seq]).withColumn("receipt_id", receipt_id(F.col(seq)))
 
 

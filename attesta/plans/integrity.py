@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attesta.operators import integrity, quality, structure
 from attesta.plans import corpus
 from attesta.plans.corpus import C_CHUNKS, C_DOCUMENTS
-from attesta.session import table
+from attesta.session import materialize, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -76,6 +76,35 @@ def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("tree").alias("source"), "i", F.array_join(step, ",").alias("proof"))
 
 
+_APPENDED = _CHAIN.replace("ORDER BY event_id", "ORDER BY event_id % 3, event_id")
+
+
+@query(f"WITH {_APPENDED} SELECT user_id, event_id, n - 1 AS place, prev_hash, entry_hash FROM chain")
+def chain_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come in three batches, each of which goes on from the stored heads; all entries are those of one fold."""
+    k = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("user_id", (k + k % 3 * 10**12).alias("seq"), "props")
+    heads, parts = None, []
+    for batch in range(3):
+        new = integrity.append_chain(events.where(F.floor(F.col("seq") / 10**12) == batch), heads, "user_id", "seq", "props")
+        parts.append(materialize(new, "chain"))
+        heads = integrity.chain_heads(parts[-1], heads, "user_id", "seq")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("user_id", (F.col("seq") % 10**12).alias("event_id"), "place", "prev_hash", "entry_hash")
+
+
+@query("""WITH RECURSIVE leaves AS (SELECT source AS tree, list(sha256(text) ORDER BY doc_id % 3, doc_id) AS l FROM documents GROUP BY source), up AS (
+  SELECT tree, len(l) AS leaves, l FROM leaves UNION ALL
+  SELECT tree, leaves, list_transform(range(1, len(l) + 1, 2), lambda i: CASE WHEN i = len(l) THEN l[i] ELSE sha256(unhex(l[i] || l[i + 1])) END) FROM up WHERE len(l) > 1
+) SELECT tree AS source, leaves, bit_count(leaves) AS nodes, l[1] AS root FROM up WHERE len(l) = 1""")
+def merkle_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in three batches; each meets only the frontier that the ones before it left."""
+    leaves, frontier = _leaves(spark, sf_dir), None
+    for batch in range(3):
+        frontier = integrity.append_merkle(leaves.where(F.col("doc_id") % 3 == batch), frontier, "source", "doc_id", "leaf")
+    sizes = frontier.groupBy("source").agg(F.sum(F.expr("shiftleft(1L, level)")).alias("leaves"), F.count("*").cast("tinyint").alias("nodes"))
+    return sizes.join(integrity.frontier_roots(frontier, "source"), "source")
+
+
 @query("SELECT source, count(*) AS n, true AS valid, true AS tampered_fails FROM documents GROUP BY source")
 def proof_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _leaves(spark, sf_dir)
