@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from attesta.operators.integrity import EMPTY_ROOT, merkle_roots
+from attesta.sources import commits
 
 MANIFEST = "id string, title string, jurisdiction string, doc_type string, issuer string, tier string, language string, url string, sha256 string, in_force_from date, in_force_to date, download_strategy string"
 
@@ -26,8 +27,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The lines that don't parse, in column line."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").json(path).cache()
-    return rows.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).where(F.trim("value") != "").select(read["_bad"].alias("line")).where("line IS NOT NULL")
 
 
 def yaml_rows(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
@@ -122,30 +123,26 @@ def read_version(spark: SparkSession, path: str, version: str, expected: DataFra
 TABLES = ("sections", "chunks", "edges", "document_versions")
 
 
-def write_source(tables: dict[str, DataFrame], path: str, version: str, source: str) -> str:
-    """Write a source's tables into a folder of their own, then its marker: a source counts only once all its tables are there. Returns the folder.
+def write_source(tables: dict[str, DataFrame], path: str, version: str, source: str, since: int | None = None) -> str:
+    """Write a source's tables into a folder of their own, then commit it: a source counts only once all its tables are there. Returns the folder.
 
-    A run that dies leaves a folder without a marker, which nobody reads.
+    A run that dies leaves a folder that no commit names, which nobody reads. since: the newest commit that the tables were made from (by default the
+    newest one now); if another writer commits the same source after it, this one raises commits.Conflict.
     """
     if set(tables) != set(TABLES):
         raise ValueError(f"a source has the tables {TABLES}")
     spark = tables["chunks"].sparkSession
+    since = commits.newest(spark, path) if since is None else since
     folder = f"{path}/version={version}/source={source}/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version, source, folder)], "version string, source string, folder string").coalesce(1).write.mode("append").json(f"{path}/committed")
+    commits.commit(spark, path, {"kind": "source", "version": version, "source": source, "folder": folder}, since)
     return folder
 
 
-def committed(spark: SparkSession, path: str) -> DataFrame:
-    """version, source and folder of the sources that were written whole; the last marker of a source counts."""
-    rows = spark.read.schema("version string, source string, folder string").json(f"{path}/committed").withColumn("_at", F.col("_metadata.file_modification_time"))
-    return rows.groupBy("version", "source").agg(F.max_by("folder", F.struct("_at", "folder")).alias("folder"))
-
-
 def read_source_tables(spark: SparkSession, path: str, version: str, name: str) -> DataFrame:
     """One table of a version, over all its committed sources."""
-    folders = [r["folder"] for r in committed(spark, path).where(F.col("version") == version).select("folder").collect()]  # a marker a source: a short list of paths
+    folders = [r["folder"] for r in commits.committed(spark, path).where(F.col("version") == version).select("folder").collect()]  # a commit a source: a short list of paths
     return spark.read.parquet(*[f"{f}/{name}" for f in folders])
 
 
