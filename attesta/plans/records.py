@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import history
 from attesta.operators.integrity import merkle_roots
+from attesta.operators.stages import run_stages
 from attesta.session import shared_dir, table
-from attesta.sources import files
+from attesta.sources import commits, files
 from attesta.streaming.rate_limit import rate_limit as limit_hits
 
 QUERIES = {}
@@ -119,6 +122,45 @@ def snapshot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_version(spark, path, "v1", leaves, root).select(F.col("chunk_id").alias("doc_id"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+@query("""WITH d AS (SELECT doc_id, text, sha256(coalesce(text, '')) AS sha FROM documents WHERE doc_id % 2 = 1), e AS (SELECT doc_id FROM d WHERE doc_id % 3 = 0)
+SELECT 'versions' AS name, CAST(1 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS ids, CAST(NULL AS VARCHAR) AS first UNION ALL
+SELECT 'documents', count(*), CAST(sum(doc_id) AS BIGINT), min(sha) FROM d UNION ALL SELECT 'sections', count(*), CAST(sum(doc_id) AS BIGINT), min(sha) FROM d UNION ALL
+SELECT 'chunks', count(*), CAST(sum(doc_id) AS BIGINT), min(sha) FROM d UNION ALL SELECT 'document_versions', count(*), CAST(sum(doc_id) AS BIGINT), min(sha) FROM d UNION ALL
+SELECT 'edges', count(*), CAST(sum(doc_id) AS BIGINT), NULL FROM e""")
+def version_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions are written and committed, one of them twice; it goes live, and its six tables are exported and restored."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}"
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha256")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("v"), F.col("doc_id") % 2).alias("version"), "text", digest)
+    parts = lambda x: {"sections": x, "chunks": x, "edges": x.where("document_id % 3 = 0").select("document_id", "version", F.lit("refers_to").alias("kind")), "document_versions": x.drop("text")}
+    files.write_source(parts(d.where("version = 'v0'")), path, "v0", "all")
+    files.write_source(parts(d.where("version = 'v1'").withColumn("sha256", F.lit("old"))), path, "v1", "all")
+    files.write_source(parts(d.where("version = 'v1'")), path, "v1", "all")
+    commits.promote(spark, path, "v1", spark.createDataFrame([], "version string, failed string"), commits.newest(spark, path))
+    states = commits.statuses(spark, path)
+    live = states.where("status = 'live'").first()["version"]
+    files.save_snapshot({n: files.read_source_tables(spark, path, live, n) for n in files.TABLES} | {"versions": states, "documents": d.drop("version")}, live, f"{path}/export")
+    rows = [
+        t.select(F.lit(n).alias("name"), (F.col("document_id") if "document_id" in t.columns else F.lit(None)).cast("bigint").alias("id"), (F.col("sha256") if "sha256" in t.columns else F.lit(None)).cast("string").alias("sha"))
+        for n, t in files.load_snapshot(spark, f"{path}/export").items()]
+    return reduce(DataFrame.unionByName, rows).groupBy("name").agg(F.count("*").alias("rows"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids"), F.min("sha").alias("first"))
+
+
+@query("""SELECT 0 AS position, 'read' AS stage, 'done' AS status, count(*) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, count(*) FILTER (WHERE length(text) < 200) AS short FROM documents UNION ALL
+SELECT 1, 'translate', 'skipped', 0, 0, 0 UNION ALL
+SELECT 2, 'filled', 'done', count(*), CAST(coalesce(sum(length(text)), 0) AS BIGINT), count(*) FILTER (WHERE length(text) < 200) FROM documents WHERE length(text) > 100 UNION ALL
+SELECT 3, 'distinct', 'done', count(*), CAST(coalesce(sum(length(text)), 0) AS BIGINT), count(*) FILTER (WHERE length(text) < 200) FROM (SELECT DISTINCT text FROM documents WHERE length(text) > 100)""")
+def stage_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of stages over the documents, whose figures come from the plans that wrote them; one is left out."""
+    stages = [
+        ("read", lambda d: d.select("doc_id", "text")), ("translate", lambda d: None), ("filled", lambda d: d.where(F.length("text") > 100)), ("distinct", lambda d: d.dropDuplicates(["text"]))]
+    _, account = run_stages(table(spark, sf_dir, "documents"), stages, {"characters": F.sum(F.length("text")), "short": F.count_if(F.length("text") < 200)})
+    figure = lambda c: F.coalesce(c, F.lit(0))
+    return account.select("position", "stage", "status", figure(F.col("rows")).alias("rows"), figure(F.col("figures")["characters"]).alias("characters"), figure(F.col("figures")["short"]).alias("short"))
+
+
 @query()
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 6 * 3600.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from attesta.operators.integrity import EMPTY_ROOT, merkle_roots
+from attesta.operators.stages import observed_write
 from attesta.sources import commits
 
 MANIFEST = "id string, title string, jurisdiction string, doc_type string, issuer string, tier string, language string, url string, sha256 string, in_force_from date, in_force_to date, download_strategy string"
@@ -157,6 +158,37 @@ def export_version(tables: dict[str, DataFrame], version: str) -> dict[str, Data
     return own | {"documents": tables["documents"].join(own["sections"].select("document_id").distinct(), "document_id", "left_semi")}
 
 
+def _fingerprint(columns: list[str]) -> Column:
+    """A whole number for each row, from its columns' hash; a table's sum of them doesn't depend on the order of its rows, and repeats count."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return F.conv(F.substring(F.sha2(text, 256), 1, 9), 16, 10).cast("bigint")
+
+
+def save_snapshot(tables: dict[str, DataFrame], version: str, path: str) -> DataFrame:
+    """Export the six tables of a version (export_version) as one operation; returns its list: table, rows and digest.
+
+    Rows and digests are observed while the tables are written. The list is written last, so a snapshot without one isn't whole.
+    """
+    spark, found = tables["documents"].sparkSession, []
+    for name, df in sorted(export_version(tables, version).items()):
+        seen = observed_write(df, f"{path}/{name}", {"digest": F.sum(_fingerprint(df.columns))})
+        found.append((name, seen["rows"], seen["digest"], df.schema.json()))
+    spark.createDataFrame(found, "table string, rows bigint, digest bigint, schema string").coalesce(1).write.json(f"{path}/list")
+    return spark.createDataFrame([f[:3] for f in found], "table string, rows bigint, digest bigint")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a snapshot, each read once to check its rows and digest against the list; a difference is an error."""
+    out = {}
+    for kept in spark.read.schema("table string, rows bigint, digest bigint, schema string").json(f"{path}/list").collect():  # six rows
+        df = spark.read.schema(StructType.fromJson(json.loads(kept["schema"]))).parquet(f"{path}/{kept['table']}")
+        now = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_fingerprint(df.columns)), F.lit(0)).alias("digest")).first()
+        if (now["rows"], now["digest"]) != (kept["rows"], kept["digest"]):
+            raise ValueError(f"the snapshot's {kept['table']} is not what was written")
+        out[kept["table"]] = df
+    return out
+
+
 def ingest_report(sections: DataFrame, edges: DataFrame, warnings: DataFrame, sources: DataFrame) -> DataFrame:
     """source, sections, edges, unlocated (chunks without boxes), orphans and warnings of every source, 0 where it has none.
 
