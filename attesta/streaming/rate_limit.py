@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Seconds by which a stream's event times are led on: watermarks start at 1970, and times of a century before aren't late.
+LEAD = 36_525 * 86_400
+
+
 def decide(times: list[float], hits: deque, limit: int, window: float) -> list[tuple[bool, float]]:
     """(allowed, seconds to wait) for each time in order. Only allowed hits are remembered, so no window frame can say this."""
     out = []
@@ -60,7 +64,7 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, event: str, limit: i
     come are outside the window of all its hits.
     """
     kind = events.schema[key].dataType.simpleString()
-    named = events.select(F.col(key).alias("key"), F.col(event).cast("bigint").alias("event"), F.col(ts).cast("timestamp").alias("at")).where("at IS NOT NULL").withWatermark("at", delay)
+    named = events.select(F.col(key).alias("key"), F.col(event).cast("bigint").alias("event"), F.col(ts).cast("timestamp").alias("ts")).where("ts IS NOT NULL").withColumn("at", F.timestamp_micros(F.unix_micros("ts") + LEAD * 1_000_000)).withWatermark("at", delay)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,8 +74,8 @@ def rate_limit_stream(events: DataFrame, key: str, ts: str, event: str, limit: i
         hits = deque(state.get[0] if state.exists else [])
         out = _decided(g, hits, limit, window_seconds)
         state.update((list(hits),))
-        state.setTimeoutTimestamp(max(int((max(hits) + window_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((max(hits) + window_seconds + LEAD) * 1000), state.getCurrentWatermarkMs() + 1))
         yield out
 
-    timed = named.select("key", "event", "at", F.col("at").cast("double").alias("t"))
+    timed = named.select("key", "event", "at", F.col("ts").cast("double").alias("t"))
     return timed.groupBy("key").applyInPandasWithState(run, f"key {kind}, event bigint, allowed boolean, retry_after double", "hits array<double>", "append", "EventTimeTimeout").withColumnsRenamed({"key": key, "event": event})
