@@ -75,10 +75,23 @@ PII = [
 
 def scrub_pii(text: Column) -> Column:
     """Personal data replaced by placeholders; twelve digits only with a valid check digit. Text between matches is kept as it is."""
+    return reduce(lambda t, p: F.regexp_replace(t, p[1], f"[{p[0]}]"), PII, _without_aadhaar(text))
+
+
+def _without_aadhaar(text: Column) -> Column:
     matches = F.regexp_extract_all(text, F.lit(AADHAAR), F.lit(0))
     valid = F.filter(F.array_distinct(matches), lambda m: verhoeff_valid(F.regexp_replace(m, r"\s", "")))
-    scrubbed = F.aggregate(valid, text, lambda t, m: F.replace(t, m, F.lit("[AADHAAR]")))
-    return reduce(lambda t, p: F.regexp_replace(t, p[1], f"[{p[0]}]"), PII, scrubbed)
+    return F.aggregate(valid, text, lambda t, m: F.replace(t, m, F.lit("[AADHAAR]")))
+
+
+def pii_kinds(text: Column) -> Column:
+    """The kinds of personal data that scrub_pii replaces, in its order: AADHAAR once if there is any, the others once for each place. Empty for null."""
+    left = _without_aadhaar(text)
+    found = [F.when(left != text, F.array(F.lit("AADHAAR"))).otherwise(F.array().cast("array<string>"))]
+    for kind, pattern in PII:
+        found.append(F.array_repeat(F.lit(kind), F.coalesce(F.regexp_count(left, F.lit(pattern)), F.lit(0))))
+        left = F.regexp_replace(left, pattern, f"[{kind}]")
+    return F.concat(*found)
 
 
 def page_clean(text: Column) -> Column:

@@ -131,3 +131,23 @@ def answer_sections(verified: DataFrame, pack: DataFrame, asked: DataFrame) -> D
     both = sections.join(claims, ["query_id", "jurisdiction"], "full_outer").join(asked.select("query_id", "gaps"), "query_id", "left")
     none = F.array().cast("array<string>")
     return both.select("query_id", "jurisdiction", "position", F.coalesce(F.transform("c", lambda x: x["statement"]), none).alias("claims"), F.when(F.col("position") == 0, F.coalesce("gaps", none)).otherwise(none).alias("gaps"))
+
+
+def answers(verified: DataFrame, pack: DataFrame, asked: DataFrame, terms: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """query_id, sections (array, see answer_sections, asked jurisdictions first), evidence (map of evidence_id to its span, of all that kept claims cite) and glossary.
+
+    asked: query_id, lang, jurisdictions, gaps. The glossary holds the locked terms (term, glosses by language) that kept claims use and the language glosses; none
+    for English. All that is gathered of a query is bounded by its pack and claims.
+    """
+    parts = answer_sections(verified, pack, asked)
+    last = F.coalesce("position", F.lit(2**31 - 1))
+    sections = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(last.alias("position"), "jurisdiction", "claims", "gaps"))).alias("s"))
+    span = F.struct("number", "citation_label", "jurisdiction", "section_key", "section_path", "text")
+    spans = cited_only(pack, verified).groupBy("query_id", "evidence_id").agg(F.min_by(span, "number").alias("span"))
+    evidence = spans.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("evidence_id", "span")))).alias("evidence"))
+    kept = verified.where(F.col("verdict").isin(*KEPT)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_no", "statement"))).alias("c"))
+    said = F.array_join(F.transform("c", lambda x: x["statement"]), " ")
+    none = F.array().cast("array<struct<term:string,gloss:string>>")
+    glossed = [F.when(F.col("lang") == lang, tx.glossary(said, terms, lang)) for lang in sorted({k for _, g in terms for k in g})]
+    joined = asked.select("query_id", "lang").join(sections, "query_id", "left").join(evidence, "query_id", "left").join(kept, "query_id", "left")
+    return joined.select("query_id", F.transform("s", lambda x: x.dropFields("position")).alias("sections"), F.coalesce("evidence", F.create_map().cast(evidence.schema["evidence"].dataType)).alias("evidence"), F.coalesce(*glossed, none).alias("glossary"))

@@ -117,6 +117,18 @@ def answer_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("query_id", "jurisdiction", "position", F.size("claims").alias("n_claims"), F.sha2(F.array_join("claims", "\n").cast("binary"), 256).alias("claims_sha256"), F.size("gaps").alias("n_gaps"))
 
 
+@query()
+def answer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole answers in the documents' languages: sections, spans behind the claims, and glossed terms."""
+    verified, pack = _verified(spark, sf_dir)
+    asked = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "lang", F.array("jurisdiction").alias("jurisdictions"), F.array(F.lit("gap")).alias("gaps"))
+    terms = [("section", {"fr": "article", "de": "Paragraph", "es": "artículo"}), ("30 days", {"fr": "30 jours", "de": "30 Tage"}), ("proviso", {"fr": "réserve"})]
+    a = cl.answers(verified, pack, asked, terms)
+    shown = lambda s: F.concat(s["jurisdiction"], F.lit(":"), F.array_join(s["claims"], ";"), F.lit(":"), F.size(s["gaps"]).cast("string"))
+    spans = F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["number"].cast("string"), F.lit(" "), e["value"]["section_key"]))
+    return a.select("query_id", F.array_join(F.transform("sections", shown), "|").alias("sections"), F.array_join(spans, ",").alias("evidence"), F.array_join(F.transform("glossary", lambda g: F.concat(g["term"], F.lit("="), g["gloss"])), ",").alias("glossary"))
+
+
 @query()
 def cited_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     verified, pack = _verified(spark, sf_dir)

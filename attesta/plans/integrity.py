@@ -187,7 +187,7 @@ def receipt_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained.join(spans.select("log", "seq", "proof_valid"), ["log", "seq"], "left").select("log", "seq", "chain_valid", "proof_valid")
 
 
-@query()
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_id, CASE WHEN turn % 9 = 4 THEN 'mismatch' ELSE 'ok' END AS integrity FROM conversations WHERE role = 'user'")
 def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results with the receipt's id put in later; every ninth was edited."""
     r = _receipts(spark, sf_dir)

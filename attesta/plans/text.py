@@ -103,6 +103,13 @@ def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", tx.scrub_pii(F.col("claim")).alias("scrubbed"))
 
 
+@query(f"""WITH {MIXED}, one AS (SELECT doc_id, claim, regexp_replace(claim, '\\b\\d{{2}}[A-Z]{{5}}\\d{{4}}[A-Z][A-Z\\d]Z[A-Z\\d]\\b', '[GSTIN]', 'g') AS t FROM mixed), two AS (SELECT *, regexp_replace(t, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b', '[PAN]', 'g') AS u FROM one),
+three AS (SELECT *, regexp_replace(u, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b', '[EMAIL]', 'g') AS v FROM two) SELECT doc_id, rtrim(repeat('GSTIN,', len(regexp_extract_all(claim, '\\b\\d{{2}}[A-Z]{{5}}\\d{{4}}[A-Z][A-Z\\d]Z[A-Z\\d]\\b'))) || repeat('PAN,', len(regexp_extract_all(t, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b')))
+  || repeat('EMAIL,', len(regexp_extract_all(u, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b'))) || repeat('PHONE,', len(regexp_extract_all(v, '(^|[^\\d])(\\+?91[-\\s]?)?[6-9]\\d{{9}}($|[^\\d])'))), ',') AS kinds FROM three""")
+def pii_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).select("doc_id", F.array_join(tx.pii_kinds(F.col("claim")), ",").alias("kinds"))
+
+
 @query("""WITH RECURSIVE base AS (SELECT doc_id, lpad(CAST(100000000000 + doc_id * 7919 AS VARCHAR), 12, '0') AS digits FROM documents), dt AS (
   SELECT j, k, CASE WHEN j < 5 AND k < 5 THEN (j + k) % 5 WHEN j < 5 THEN (j + k - 5) % 5 + 5 WHEN k < 5 THEN (j - 5 - k + 5) % 5 + 5 ELSE (j - k + 5) % 5 END AS v FROM range(10) a(j), range(10) b(k)
 ), pt AS (SELECT 0 AS i, x, x AS v FROM range(10) r(x) UNION ALL SELECT i + 1, x, ([1, 5, 7, 6, 2, 8, 3, 0, 9, 4])[v + 1] FROM pt WHERE i < 7), steps AS (
