@@ -4,10 +4,10 @@ Test texts are cut into windows of 10 words. The corpus is read once to count th
 ranks each window's terms by rarity; windows with a term that the corpus lacks are out. A second
 read stores the index: the postings (term, document, position) of the rarest terms, as a table.
 Intersecting the postings of a window's two rarest terms, each less its offset in the window, gives
-candidate starts, and the words at a candidate start are compared with the window (by md5 of the
+candidate starts, and the words at a candidate start are compared with the window (by sha256 of the
 phrase). What is kept of a document's candidates is bounded by its own length.
 
-Documents are told by the md5 of their text while matching, so copies share their postings and null
+Documents are told by the sha256 of their text while matching, so copies share their postings and null
 or repeated ids do no harm. Null texts have no words. An item without words matches nothing; one of
 fewer than 10 words is one window. Rows of docs stay one for one, and other columns play no part.
 Small sides are broadcast if a count finds few rows; beyond that, joins on terms are salted, so that
@@ -42,12 +42,12 @@ def words_of(text: Column) -> Column:
 
 
 def text_id(text: Column) -> Column:
-    """16 bytes that stand for a text; null for null."""
-    return F.unhex(F.md5(text.cast("binary")))
+    """32 bytes that stand for a text; null for null. No two texts with one sha256 are known, as they are for shorter hashes."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def phrase_id(words: Column) -> Column:
-    return F.md5(F.concat_ws(" ", words).cast("binary"))
+    return F.unhex(F.sha2(F.concat_ws(" ", words).cast("binary"), 256))
 
 
 def checked_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
