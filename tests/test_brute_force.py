@@ -304,3 +304,21 @@ def test_radar(spark):
         watch = sorted(c for c, species in cases.items() if species & set(canonical))
         want.append((ask, ",".join(canonical), ",".join(names), ",".join(f"{r}={-s}" for s, r in sorted(scores)[:8]), ",".join(watch)))
     same(got(spark, "tk_radar", "ask", "canonical", "terms", "matches", "watchlist"), want)
+
+
+def test_routes_with_the_turn_before(spark):
+    from attesta.functions import routing
+
+    turns = {}
+    for c in rows(spark, "conversations"):
+        turns.setdefault(c.conv_id, []).append(c)
+    pairs = []
+    for own in turns.values():
+        own.sort(key=lambda c: c.turn)
+        pairs += [(c.conv_id, c.turn, c.text, own[i - 1].text if i else "") for i, c in enumerate(own) if c.role == "user"]
+    routed = spark.createDataFrame([(*p, f"{p[2]}\nPrior topic: {p[3]}") for p in pairs], "conv_id bigint, turn bigint, text string, before string, both string")
+    t, plain = tx.F.col("text"), []
+    for r in routed.select("*", routing.route(t).alias("first"), routing.route(tx.F.col("both")).alias("again"), t.rlike(routing.UNRELATED).alias("off")).collect():
+        taken = r.again if r.first.intent == "out_of_scope" and r.before and not r.off else r.first
+        plain.append((r.conv_id, r.turn, taken.intent, taken.section_key))
+    same(got(spark, "context_routes", "conv_id", "turn", "intent", "section_key"), plain)
