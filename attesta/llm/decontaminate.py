@@ -158,6 +158,24 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def proximity_report(docs: DataFrame, benchmark: DataFrame, slop: int = 3, k: int = 3) -> DataFrame:
+    """doc_id, n_near (places where a window's rarest terms stand near each other), n_near_items and near_items_sha256 for each row of docs.
+
+    Rows of docs stay one for one. Null texts and texts without words have no places; items with a word that the corpus lacks are near nothing.
+    An exact match is a near one too. Copies and repeated rows have equal values; other columns play no part.
+    """
+    near = materialize(proximity_matches(docs, benchmark, slop=slop, k=k), "decontaminate-near")
+    phrases = materialize(test_windows(benchmark).select("phrase", F.col("item_id").cast("string").alias("item")).distinct(), "decontaminate-near-items")
+    places = near.groupBy("doc").agg(F.count_distinct("start").alias("n_near"))
+    named = near.select("doc", "phrase").distinct().join(checked_broadcast(phrases), "phrase")
+    items = named.groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items")).select("doc", F.size("items").cast("bigint").alias("n_near_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("near_items_sha256"))
+    found = materialize(places.join(items, "doc"), "decontaminate-near-found")
+    own = docs.select("doc_id", text_id(F.col("text")).alias("doc"))
+    return own.join(checked_broadcast(found), "doc", "left").select(
+        "doc_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_near", "n_near_items")), F.coalesce("near_items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("near_items_sha256")
+    )
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs whose text holds no window of the benchmark; same columns."""
     name = "_found"
@@ -190,3 +208,37 @@ WITH d AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
        coalesce(t.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cells c ON c.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id"""
+
+
+PROXIMITY_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAPS}'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, w[i:i + 9] AS words FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), phrases AS (
+  SELECT DISTINCT words, len(words) AS length FROM windows
+), postings AS (
+  SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS position FROM d WHERE len(w) > 0
+), counts AS (
+  SELECT term, count(*) AS n FROM postings GROUP BY term
+), places AS (
+  SELECT words, length, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS shift FROM phrases
+), ranked AS (
+  SELECT words, length, term, shift, count(n) OVER (PARTITION BY words) AS known, row_number() OVER (PARTITION BY words ORDER BY n, shift) AS turn FROM places LEFT JOIN counts USING (term)
+), anchors AS (
+  SELECT words, term, shift, least(3, length) AS k, row_number() OVER (PARTITION BY words ORDER BY shift) AS place FROM ranked WHERE known = length AND turn <= 3
+), met AS (
+  SELECT doc_id, words, k, place, position, position - shift AS start FROM postings JOIN anchors USING (term)
+), near AS (
+  SELECT h.doc_id, h.words, h.start FROM (SELECT * FROM met WHERE place = 1) h
+  LEFT JOIN (SELECT * FROM met WHERE place > 1) r ON h.doc_id = r.doc_id AND h.words = r.words AND abs(r.start - h.start) <= 3 AND r.position > h.position
+  GROUP BY h.doc_id, h.words, h.start, h.k HAVING count(DISTINCT r.place) = h.k - 1
+), starts AS (
+  SELECT doc_id, count(DISTINCT start) AS n FROM near GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM near JOIN windows USING (words)) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_near, coalesce(i.n, 0) AS n_near_items, coalesce(i.items, sha256('')) AS near_items_sha256
+FROM d LEFT JOIN starts s ON s.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id"""

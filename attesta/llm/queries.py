@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from attesta.llm.align import alignment_report
 from attesta.llm.backtrack import backtrack_digests
 from attesta.llm.bpe import bpe_digests, bpe_encode
+from attesta.llm.decontaminate import PROXIMITY_SQL, contamination_report, proximity_report
 from attesta.llm.decontaminate import REPORT_SQL as DECONTAMINATE_SQL
-from attesta.llm.decontaminate import contamination_report
 from attesta.llm.media import media_digests
 from attesta.llm.minhash import near_duplicates
 from attesta.llm.quality import quality_report
@@ -32,6 +32,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's other half: places near a window's rarest terms, also where words between them were put in or left out."""
+    return proximity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_backtracking_bpe": op11_backtracking_bpe,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
+    "benchmark_proximity": benchmark_proximity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "op6_warc_derivatives": REPORT_SQL, "op12_importance_resampling": RESAMPLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL, "benchmark_proximity": PROXIMITY_SQL, "op6_warc_derivatives": REPORT_SQL, "op12_importance_resampling": RESAMPLE_SQL}

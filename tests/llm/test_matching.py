@@ -21,13 +21,21 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
-def brute_windows(docs, items, size=10):
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+def item_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+
+
+def item_windows(items, size=10):
     windows = collections.defaultdict(set)
     for k, t in items:
-        w = words(t)
+        w = item_words(t)
         for i in range(max(1, len(w) - size + 1) if w else 0):
             windows[tuple(w[i:i + size])].add(str(k))
+    return windows
+
+
+def brute_windows(docs, items, size=10):
+    words, windows = item_words, item_windows(items, size)
     lengths = {len(x) for x in windows}
     out = []
     for k, t in docs:
@@ -84,6 +92,46 @@ def test_proximity_allows_for_words_between(spark):
     assert {names[bytes(r.doc)] for r in got.collect()} == {1, 2}
 
 
+def brute_proximity(docs, items, slop=3, k=3):
+    counts = collections.Counter(w for _, t in docs for w in item_words(t))
+    out = []
+    for key, text in docs:
+        w = item_words(text)
+        starts, near = set(), set()
+        for window, names in item_windows(items).items():
+            if all(counts[x] for x in window):
+                first, *rest = sorted(sorted(range(len(window)), key=lambda i: (counts[window[i]], i))[:k])
+                for p in (i for i, x in enumerate(w) if x == window[first]):
+                    if all(any(w[q] == window[r] and abs(q - r - (p - first)) <= slop for q in range(p + 1, len(w))) for r in rest):
+                        starts.add(p - first)
+                        near |= names
+        out.append((key, len(starts), len(near), hashlib.sha256(",".join(sorted(near)).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_proximity_report_against_brute_force(spark):
+    rnd = random.Random(8)
+    some = lambda n: [f"t{min(int(rnd.expovariate(0.08)), 60)}" for _ in range(n)]
+    passages = [some(n) for n in (14, 11, 10, 6, 2, 1)]
+    docs = []
+    for i in range(60):
+        w = some(rnd.randrange(0, 40))
+        if i % 2:
+            part = list(rnd.choice(passages))
+            for _ in range(rnd.randrange(3)):
+                part.insert(rnd.randrange(len(part) + 1), "between")
+            w[5:5] = part
+        docs.append((i, " ".join(w)))
+    docs += [(7, docs[7][1]), (200, docs[9][1]), (201, None), (202, ""), (None, docs[11][1])]
+    items = [(i, " ".join(p)) for i, p in enumerate(passages)] + [(50, None), (51, " ,"), (52, "absent " + " ".join(passages[0][:9])), (53, " ".join(passages[3]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc", decontaminate.F.lit(1))
+    got = decontaminate.proximity_report(spark.createDataFrame(docs, SCHEMA).withColumn("doc", decontaminate.F.lit("x")), bench)
+    rows = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert rows == brute_proximity(docs, items) and sum(r[1] > 0 for r in rows) > 20
+    assert decontaminate.proximity_report(spark.createDataFrame([], SCHEMA), bench).count() == 0
+    assert decontaminate.proximity_report(spark.createDataFrame(docs, SCHEMA), bench.where("false")).agg({"n_near": "max"}).first()[0] == 0
+
+
 def brute_near(rows):
     sets, root = {}, {}
     for k, t in rows:
