@@ -122,17 +122,23 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", si
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW, slop: int = 3, k: int = 3) -> DataFrame:
     """doc, phrase and start where the k rarest terms of a window stand in its order, shifted by at most slop words in all.
 
-    Found from the stored postings alone: each occurrence of the window's first anchor asks the other
-    anchors' postings of the same document for a place within slop of the expected one.
+    Found from the stored postings alone, which are dealt once, by document. There the places of a window's anchors, each less its shift, are ordered,
+    and each one of the first anchor looks over those within slop for the other anchors, which must stand behind it: one whose shift is
+    greater by d may be at most d - 1 earlier than expected. A place looks over at most k * (2 * slop + 1) others.
     """
     index, anchors, windows, _ = build_index(docs, benchmark, text, size, k)
-    anchors = materialize(anchors.withColumn("order", F.row_number().over(Window.partitionBy("window").orderBy("shift"))), "decontaminate-ordered")
-    at = join_terms(index.distinct(), anchors).select("doc", "window", "k", "order", "position", (F.col("position") - F.col("shift")).alias("start")).withColumn("cell", F.floor(F.col("start") / (slop + 1)))
-    head = at.where("order = 1").select("doc", "window", "k", F.col("start").alias("s"), F.col("position").alias("p"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    rest = at.where("order > 1").select("doc", "window", "order", "start", "position", "cell")
-    near = head.join(rest, ["doc", "window", "cell"], "left").where(F.col("start").isNull() | (F.abs(F.col("start") - F.col("s")) <= slop) & (F.col("position") > F.col("p")))
-    met = near.groupBy("doc", "window", "s", "k").agg(F.count_distinct("order").alias("met")).where(F.col("met") == F.col("k") - 1)
-    return met.join(checked_broadcast(windows.select("window", "phrase")), "window").select("doc", "phrase", F.col("s").alias("start"))
+    of_window = Window.partitionBy("window")
+    order = F.row_number().over(of_window.orderBy("shift"))
+    bit = F.when(order > 1, F.call_function("shiftleft", F.lit(1), order - 2))
+    reach = F.least(F.lit(slop), F.col("shift") - F.min("shift").over(of_window) - 1)
+    anchors = materialize(anchors.select("window", "term", "shift", "k", bit.alias("bit"), reach.alias("reach")), "decontaminate-ordered")
+    at = join_terms(index.distinct().repartition("doc"), anchors).select("doc", "window", "k", "bit", "reach", (F.col("position") - F.col("shift")).alias("start"))
+    places = Window.partitionBy("doc", "window").orderBy("start")
+    seen = F.lit(0)
+    for early in range(slop + 1):
+        seen = seen.bitwiseOR(F.coalesce(F.bit_or(F.when(F.col("reach") == early, F.col("bit"))).over(places.rangeBetween(-early, slop)), F.lit(0)))
+    met = at.withColumn("seen", seen).where("bit IS NULL AND seen = shiftleft(1, k - 1) - 1")
+    return met.join(checked_broadcast(windows.select("window", "phrase")), "window").select("doc", "phrase", "start")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
