@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attesta.functions import routing, text as tx
 from attesta.operators import rules
 from attesta.operators.assessments import watchlist_hits
+from attesta.operators.language import identify, language_profile
 from attesta.session import table
 
 QUERIES = {}
@@ -168,6 +169,21 @@ def guard_modal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", tx.modal_ok(F.col("claim"), F.col("premise")).alias("ok"))
 
 
+@query("""WITH t AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS low FROM documents), runs AS (
+  SELECT doc_id, lang, substring(' ' || low || ' ', i, 3) AS run FROM (SELECT doc_id, lang, low, unnest(range(1, length(low) + 1)) AS i FROM t)
+), counts AS (SELECT lang, run, count(*) AS c FROM runs WHERE lang IS NOT NULL GROUP BY lang, run
+), sizes AS (SELECT lang, sum(c) + (SELECT count(DISTINCT run) FROM counts) AS size FROM counts GROUP BY lang
+), gains AS (SELECT lang, run, CAST(floor(1000 * ln((c + 1) / size)) AS BIGINT) - CAST(floor(1000 * ln(1 / size)) AS BIGINT) AS gain FROM counts JOIN sizes USING (lang)
+), scores AS (SELECT doc_id, lang, sum(score) AS score FROM (
+  SELECT r.doc_id, g.lang, g.gain AS score FROM runs r JOIN gains g USING (run) UNION ALL SELECT doc_id, sizes.lang, length(low) * CAST(floor(1000 * ln(1 / size)) AS BIGINT) FROM t, sizes WHERE low <> '') GROUP BY doc_id, lang
+), best AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS place FROM scores)
+SELECT doc_id, coalesce(best.lang, 'en') AS language FROM t LEFT JOIN (SELECT * FROM best WHERE place = 1) best USING (doc_id)""")
+def language_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from all documents that name their language, applied to all."""
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, language_profile(docs))
+
+
 @query()
 def guard_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).select("doc_id", tx.numbers_ok(F.col("whole"), F.col("premise")).alias("ok"))
