@@ -41,11 +41,21 @@ DOMAIN = (
 )
 
 
+def as_re2(citation: str) -> str:
+    """The citation pattern for Java with RE2's meaning, which the SQL has: word bounds of ASCII, blanks without the vertical tab, letters that ignore case beyond ASCII (U+017F is an s, U+212A a k)."""
+    first = "(?:s(?<![0-9A-Za-z_].)|\u017f(?<=[0-9A-Za-z_].))(?:ection|ec\\.?|\\.)|r(?<![0-9A-Za-z_].)(?:ule|\\.)"
+    same = {r"\b(?:section|sec\.?|s\.|rule|r\.)": f"(?:{first})", r"\s": r"[ \t\n\f\r]", "[A-Za-z]": "[A-Za-z\u017f\u212a]", "[a-zA-Z0-9]": "[a-zA-Z0-9\u017f\u212a]"}
+    for old, new in same.items():
+        citation = citation.replace(old, new)
+    return citation
+
+
 def citations(text: Column) -> Column:
     """An array of structs (clause, act, section_key) of all citations; the key is null for an act that isn't named or known, and lower-case."""
+    pattern = F.lit(as_re2(CITATION))
     acts = F.create_map(*[F.lit(x) for pair in ACTS.items() for x in pair])
-    clauses = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
-    names = F.transform(F.regexp_extract_all(text, F.lit(CITATION), F.lit(2)), lambda a: F.nullif(F.regexp_replace(F.lower(F.trim(a)), r"\s+", " "), F.lit("")))
+    clauses = F.regexp_extract_all(text, pattern, F.lit(1))
+    names = F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), lambda a: F.nullif(F.regexp_replace(F.lower(F.trim(a)), r"\s+", " "), F.lit("")))
     pairs = F.arrays_zip(clauses.alias("c"), names.alias("a"))
     return F.transform(pairs, lambda p: F.struct(F.lower(p["c"]).alias("clause"), p["a"].alias("act"), F.concat(F.try_element_at(acts, F.coalesce(p["a"], F.lit(""))), F.lit("#s"), F.lower(p["c"])).alias("section_key")))
 
