@@ -14,14 +14,22 @@ def held_out(key: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def label_rows(labels: DataFrame, label: str, folds: int, fold: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id and y of all training rows, and the classes' sizes.
+
+    A document with several label rows counts as 1 if any of them is 1; null labels and null ids count for nothing.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return rows, {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+
+
 def label_sample(labels: DataFrame, label: str, per_class: int, folds: int, fold: int) -> tuple[DataFrame, dict[int, int]]:
     """doc_id and y of at most per_class training rows of each class, and the classes' sizes over all training rows.
 
     The sample holds the smallest hashes of doc_id, so it is the same in any partitioning. A document
     with several label rows counts as 1 if any of them is 1; null labels and null ids count for nothing.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows, sizes = label_rows(labels, label, folds, fold)
     picked = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     return picked[0].unionByName(picked[1]), sizes
 
