@@ -63,3 +63,13 @@ def test_held_out_accuracy(spark):
     right = got.join(docs.select("doc_id", "lang"), "doc_id").agg(F.count("*"), F.avg((F.col("language") == F.col("lang")).cast("double"))).first()
     print(right)
     assert right[0] > 100 and right[1] > 0.95
+
+
+def test_runs_are_counted_in_tasks(spark, monkeypatch):
+    """No row for each run of a text: what is dealt out was summed in a task, also when a task's texts come in many steps."""
+    monkeypatch.setattr(language, "STEP", 5)
+    docs = spark.createDataFrame([(i, "ab" * i, "xy"[i % 2]) for i in range(9)] + [(9, "😀é", "x"), (10, None, "y")], "doc_id int, text string, lang string")
+    want = docs.where("text IS NOT NULL").select("lang", F.explode(language.trigrams(F.col("text"))).alias("run")).groupBy("lang", "run").count()
+    assert sorted(map(tuple, language.run_counts(docs, "text", "lang").collect())) == sorted(map(tuple, want.collect()))
+    plan = language.identify(docs, language.language_profile(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
