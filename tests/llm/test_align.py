@@ -96,3 +96,15 @@ def test_empty_tables(spark, paths):
     assert align.alignment_report(spark.createDataFrame([], SCHEMA), *paths).collect() == []
     got = align.alignment_report(spark.createDataFrame([(1, None), (2, "")], SCHEMA), *paths).collect()
     assert sorted(map(tuple, got)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_tokens_are_no_rows(spark, paths, monkeypatch):
+    """A text's tokens are aligned where it is read: neither they nor their links are dealt out, whatever the size of a step or a slice."""
+    monkeypatch.setattr(align, "TASK_BYTES", 100)
+    monkeypatch.setattr(align, "SLICE", 7)
+    monkeypatch.setattr(align, "HELD", 50)
+    docs = corpus(2, 30)
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert sorted(map(tuple, align.alignment_report(df, *paths).collect()), key=str) == brute(docs, paths)
+    plan = align.aligned(df, "text", "doc_id", *paths)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "Exchange" not in plan
