@@ -109,9 +109,18 @@ def reorder(refs: DataFrame, wanted: DataFrame, case: str, item: str) -> DataFra
     return refs.join(good, [case, item], "left").withColumn("position", F.coalesce(F.col("_at") + 1, F.col("position")).cast("int")).drop("_at")
 
 
+#: Rows that a task of a join between two large tables sorts at most, keys dealt evenly.
+TASK_ROWS = 2_000_000
+
+
 def unknown_requests(rows: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """rows whose request exists, and the rejected ones with their reason."""
-    known = requests.select(key).distinct()
+    """rows whose request exists, and the rejected ones with their reason.
+
+    Both sides are dealt to as many tasks as their rows need, so a task's memory doesn't grow with them; repeated requests do no harm and stay.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(rows.count(), requests.count()) // TASK_ROWS))
+    rows, known = rows.repartition(n, key), requests.select(key).repartition(n, key)
     return rows.join(known, key, "left_semi"), rows.join(known, key, "left_anti").withColumn("reason", F.lit("unknown_request"))
 
 

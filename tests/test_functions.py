@@ -292,3 +292,17 @@ def test_requests_meet_chunks_by_salts_too(spark, monkeypatch):
     want = sorted((r.query_id, r.item_id, r.score) for r in ranking.dense(asked, vectors).collect())
     monkeypatch.setattr(ranking, "BLOCK", 2)
     assert sorted((r.query_id, r.item_id, r.score) for r in ranking.dense(asked, vectors).collect()) == want and len(want) == 25
+
+
+def test_unknown_requests_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's rows, and with them its memory, don't grow with the tables; repeated requests take no row twice, null keys are unknown."""
+    from attesta.operators import history
+
+    monkeypatch.setattr(history, "TASK_ROWS", 10)
+    rows = spark.createDataFrame([(i if i else None, i) for i in range(120)], "k int, n int")
+    asked = spark.createDataFrame([(i,) for i in (*range(0, 120, 3), 3, 3, None)], "k int")
+    known, rejected = history.unknown_requests(rows, asked, "k")
+    assert sorted(r.n for r in known.collect()) == list(range(3, 120, 3)) and sorted(r.n for r in rejected.collect()) == sorted({*range(120)} - {*range(3, 120, 3)})
+    assert {r.reason for r in rejected.collect()} == {"unknown_request"}
+    for df in (known, rejected):
+        assert "RepartitionByExpression [k#" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and ", 12" in plan and "Aggregate" not in plan
