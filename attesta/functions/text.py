@@ -104,9 +104,10 @@ def page_clean(text: Column) -> Column:
 
 
 YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
-SECTION = r"(?i)(?<!\w)(?:sections?|rules?|clauses?|sub[\s-]?sections?|secs?\.?|s\.?|§)\s*(\d+[A-Za-z]*(?:\([a-zA-Z0-9]+\))*)"
-DIGITS = r"\b\d[\d,]*(?:\.\d+)?\s*%?\b|₹\s?\d[\d,]*|(?:Rs\.?)\s?\d[\d,]*"
-HEDGE = r"(?i)\b(shall not|no .{0,30} shall|except|unless|provided that|not be|excluding)\b"
+# a look at the next character first passes over most places of a text
+SECTION = r"(?i)(?=[src§])(?<!\w)(?:sections?|rules?|clauses?|sub[\s-]?sections?|secs?\.?|s\.?|§)\s*(\d+[A-Za-z]*(?:\([a-zA-Z0-9]+\))*)"
+DIGITS = r"(?=[\d₹R])(?:\b\d[\d,]*(?:\.\d+)?\s*%?\b|₹\s?\d[\d,]*|(?:Rs\.?)\s?\d[\d,]*)"
+HEDGE = r"(?i)(?=[snepu])\b(shall not|no .{0,30} shall|except|unless|provided that|not be|excluding)\b"
 #: Number words.
 ONES = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20), strict=True))
 TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10), strict=True))
@@ -114,6 +115,17 @@ ORDINALS = dict(zip("first second third fourth fifth sixth seventh eighth ninth
 MULTIPLIERS = {"hundred": 100, "thousand": 1000, "lakh": 100_000, "crore": 10_000_000}
 
 
+def _any_of(words: dict[str, int]) -> str:
+    """A pattern of whole words, by their first letters: a place is tried against those that begin alike, not against all."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        tails.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(sorted(tails))}])(?:{'|'.join(f'{a}(?:{"|".join(t)})' for a, t in sorted(tails.items()))})"
+
+
+NUMBER_WORDS = rf"(?i)\b{_any_of({**ONES, **TENS, **MULTIPLIERS, **ORDINALS})}(?:[\s-]{_any_of({**ONES, **TENS, **MULTIPLIERS})})*\b"
+
+
 def years(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)))
 
@@ -137,8 +149,7 @@ def numbers(text: Column) -> Column:
     """Distinct numbers of a text as digits: figures without commas and blanks, ordinals, and number words. Words for a number beyond a bigint are left out."""
     figures = F.transform(F.regexp_extract_all(text, F.lit(DIGITS), F.lit(0)), lambda m: F.regexp_replace(m, r"[,\s]", ""))
     ordinals = F.regexp_extract_all(text, F.lit(r"(?i)\b(\d+)(?:st|nd|rd|th)\b"), F.lit(1))
-    start, go_on = [sorted(words, key=lambda w: (-len(w), w)) for words in ({**ONES, **TENS, **MULTIPLIERS, **ORDINALS}, {**ONES, **TENS, **MULTIPLIERS})]
-    phrases = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{'|'.join(start)})(?:[\s-](?:{'|'.join(go_on)}))*\b"), F.lit(0))
+    phrases = F.regexp_extract_all(text, F.lit(NUMBER_WORDS), F.lit(0))
     words = F.transform(phrases, lambda p: _fold_words(F.split(F.lower(p), r"[\s-]+")).cast("string"))
     return F.array_distinct(F.concat(figures, ordinals, F.filter(words, lambda w: w.isNotNull())))
 

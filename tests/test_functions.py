@@ -306,3 +306,26 @@ def test_unknown_requests_are_dealt_by_their_number(spark, monkeypatch):
     assert {r.reason for r in rejected.collect()} == {"unknown_request"}
     for df in (known, rejected):
         assert "RepartitionByExpression [k#" in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and ", 12" in plan and "Aggregate" not in plan
+
+
+def test_number_words_are_matched_as_by_a_plain_list():
+    """Patterns that look at the first letter match what a list of all words matches."""
+    import random
+    import re
+
+    words = lambda *d: "|".join(sorted({k for x in d for k in x}, key=lambda w: (-len(w), w)))
+    plain = rf"(?i)\b(?:{words(tx.ONES, tx.TENS, tx.MULTIPLIERS, tx.ORDINALS)})(?:[\s-](?:{words(tx.ONES, tx.TENS, tx.MULTIPLIERS)}))*\b"
+    rnd, parts = random.Random(1), [*tx.ONES, *tx.TENS, *tx.ORDINALS, *tx.MULTIPLIERS, "x", "_", "12", "Teen"]
+    for _ in range(2000):
+        text = "".join(rnd.choice(parts) + rnd.choice([" ", "-", "\n", "", ". "]) for _ in range(rnd.randint(1, 8)))
+        for t in (text, text.upper()):
+            assert [m.span() for m in re.finditer(plain, t)] == [m.span() for m in re.finditer(tx.NUMBER_WORDS, t)]
+
+
+def test_verdicts_are_made_once(spark):
+    """What reads checked claims reads stored ones: no pattern is matched again."""
+    from attesta.plans import claims
+
+    for name in ("answer_cards", "verification_outcome", "cited_spans"):
+        plan = claims.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "unsupported_number" not in plan and "regexp_extract_all" not in plan.lower()
