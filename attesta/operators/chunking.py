@@ -12,6 +12,8 @@ null pages count as empty.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,12 +45,14 @@ NUMBERED = {"numbered": r"(?<!\S)\((\d{1,3})\)\s()"}
 LETTERED = {"lettered": r"(?<!\S)\(([a-z]{1,3})\)\s()"}
 #: Characters that the last unit of a document may run on past its heading.
 TAIL = 4000
+#: Decimal digits of all scripts, as ASCII digits.
+DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
 
 
 def marks(df: DataFrame, keys: list[str], text: str, shapes: dict[str, str], start: str | None = None) -> DataFrame:
     """keys, kind, number, title, at and until of every match of the shapes in a text column, from a place on if start names one.
 
-    Offsets count characters from 0. Null texts have no matches.
+    Offsets count characters from 0. Digits of any script are digits, and ASCII digits in number. Null texts have no matches.
     """
     compiled = {kind: re.compile(shape) for kind, shape in shapes.items()}
 
@@ -59,7 +63,7 @@ def marks(df: DataFrame, keys: list[str], text: str, shapes: dict[str, str], sta
                 for kind, shape in compiled.items():
                     for m in shape.finditer(t or "", begin or 0):
                         rows.append(i)
-                        found.append((kind, m.group(1) or "", (m.group(2) or "").strip(), m.start(), m.end()))
+                        found.append((kind, (m.group(1) or "").translate(DIGITS), (m.group(2) or "").strip(), m.start(), m.end()))
             kept = batch.select(keys).take(pa.array(rows, pa.int64()))
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             columns = [pa.array([f[j] for f in found], k) for j, k in enumerate(kinds)]
@@ -123,10 +127,11 @@ def article_run(headings: DataFrame) -> DataFrame:
     Documents whose run has fewer than three headings, or leaves a number out that another heading has, give none.
     """
     order = Window.partitionBy("doc").orderBy("page", "raw_at")
-    key = F.struct(F.regexp_extract("number", r"^(\d+)", 1).cast("int").alias("n"), F.regexp_extract("number", r"^\d+(.*)$", 1).alias("s"))
+    digits = F.regexp_replace(F.regexp_extract("number", r"^(\d+)", 1), "^0+(?=.)", "")
+    key = F.struct(F.length(digits).alias("size"), digits.alias("n"), F.regexp_extract("number", r"^\d+(.*)$", 1).alias("s"))  # numbers of any length
     ordered = headings.withColumn("_key", key).withColumn("_break", F.when(F.coalesce(F.col("_key") > F.lag("_key").over(order), F.lit(False)), 0).otherwise(1))
     runs = ordered.withColumn("_run", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    led = runs.withColumn("_led", F.max(F.when(F.col("_key.n") == 1, 1).otherwise(0)).over(Window.partitionBy("doc", "_run").orderBy("page", "raw_at").rowsBetween(Window.unboundedPreceding, 0))).where("_led = 1")
+    led = runs.withColumn("_led", F.max(F.when(F.col("_key.n") == "1", 1).otherwise(0)).over(Window.partitionBy("doc", "_run").orderBy("page", "raw_at").rowsBetween(Window.unboundedPreceding, 0))).where("_led = 1")
     best = led.groupBy("doc", "_run").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.array_sort(F.collect_set("number")).alias("own")).where("n >= 3")
     best = best.groupBy("doc").agg(F.max_by(F.struct("_run", "own"), F.struct("n", "first")).alias("b"))
     every = headings.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("every"))
@@ -180,7 +185,7 @@ def _slice(full: str, start: Column, stop: Column) -> Column:
 
 
 def _rtrim(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.regexp_replace(text, r"\s+\z", "")
 
 
 UNIT = ["doc", "key", "parent", "path", "heading", "text", "start"]
@@ -234,7 +239,10 @@ def clause_rows(bodies: DataFrame, key: str, text: str, numbered: bool = True) -
 
 
 def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units and edges (doc, src, dst, kind) of sections, their clauses, clauses inside numbered ones, and provisos and explanations."""
+    """Units and edges (doc, src, dst, kind) of sections, their clauses, clauses inside numbered ones, and provisos and explanations.
+
+    Each level is stored before the next is sought in it, so no text is cut twice and plans stay small.
+    """
     chapters = marks(documents, ["doc"], "full", CHAPTER, "body").select("doc", F.col("at").alias("_p"), F.struct("at", F.when(F.col("title") != "", F.array(F.concat(F.lit("Chapter "), "number"), F.initcap("title"))).otherwise(F.array(F.concat(F.lit("Chapter "), "number"))).alias("path")).alias("chapter"))
     own = at_or_before(bounded(starts, documents).withColumn("_p", F.col("at")), chapters, ["doc"], "_p", "chapter")
     inside = at_or_before(own.withColumn("_p", F.col("stop")), chapters.withColumnRenamed("chapter", "later"), ["doc"], "_p", "later").drop("_p")
@@ -247,19 +255,20 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
     key = F.when(~F.col("_again"), base).otherwise(F.concat(base, F.lit("-p"), F.col("page").cast("string"), F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")))
     heading = F.nullif(F.regexp_replace(F.trim("title"), r"^[\[\]]+|[\[\]]+$", ""), F.lit(""))
     path = F.concat(F.coalesce("chapter.path", F.array().cast("array<string>")), F.array(F.concat(F.lit("Section "), "number")), F.when(heading.isNotNull(), F.array(heading)).otherwise(F.array().cast("array<string>")))
+    keyed = with_own(keyed.drop("later", "cut", "stop"), documents, stop="end")
+    stored = materialize(keyed.select("doc", key.alias("key"), path.alias("path"), heading.alias("heading"), "own", "at", "until", "end"), "sections")
     raw = _slice("own", F.col("until") - F.col("at"), F.col("end") - F.col("at"))
     left = F.length(raw) - F.length(F.regexp_replace(raw, r"^\s+", ""))
-    keyed = with_own(keyed.drop("later", "cut", "stop"), documents, stop="end")
-    sections = keyed.select("doc", key.alias("key"), path.alias("path"), heading.alias("heading"), "own", "at", "end", (F.col("until") + left).alias("inner"), F.regexp_replace(raw, r"^\s+|\s+$", "").alias("body"))
+    sections = stored.select("*", (F.col("until") + left).alias("inner"), _rtrim(F.regexp_replace(raw, r"^\s+", "")).alias("body"))
 
     clauses = clause_rows(sections, "key", "body").join(sections.select("doc", "key", "path", "inner", "body"), "key")
     split = _rtrim(_slice("body", F.col("at"), F.col("stop")))
-    level = clauses.select("doc", F.col("key").alias("parent"), F.concat("key", "label").alias("key"), "label", F.concat("path", F.array(F.concat(F.lit("clause "), "label"))).alias("path"), (F.col("inner") + F.col("at")).alias("start"), proviso_split(split).alias("p"))
+    level = materialize(clauses.select("doc", F.col("key").alias("parent"), F.concat("key", "label").alias("key"), "label", F.concat("path", F.array(F.concat(F.lit("clause "), "label"))).alias("path"), (F.col("inner") + F.col("at")).alias("start"), proviso_split(split).alias("p")), "clauses")
     lists = clause_rows(level.where(F.col("label").rlike(r"^\(\d+\)$")).select("key", F.col("p.body").alias("body")), "key", "body", False).withColumnRenamed("label", "below").join(level, "key")
-    sub = lists.select("doc", F.col("key").alias("parent"), F.concat("key", "below").alias("key"), F.concat("path", F.array(F.concat(F.lit("clause "), "below"))).alias("path"), (F.col("start") + F.col("at")).alias("start"), proviso_split(_rtrim(_slice("p.body", F.col("at"), F.col("stop")))).alias("p"))
+    sub = materialize(lists.select("doc", F.col("key").alias("parent"), F.concat("key", "below").alias("key"), F.concat("path", F.array(F.concat(F.lit("clause "), "below"))).alias("path"), (F.col("start") + F.col("at")).alias("start"), proviso_split(_rtrim(_slice("p.body", F.col("at"), F.col("stop")))).alias("p")), "clauses")
 
-    firsts = clauses.groupBy("key").agg(F.min(F.col("inner") + F.col("at")).alias("_first"))
-    heads = sections.join(firsts, "key", "left")
+    firsts = level.groupBy(F.col("parent").alias("key")).agg(F.min("start").alias("_first"))
+    heads = stored.join(firsts, "key", "left")
     units = heads.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(_slice("own", F.lit(0), F.coalesce("_first", "end") - F.col("at"))), F.col("at")))
     opened = sub.groupBy(F.col("parent").alias("key")).agg(F.min("start").alias("_first"))
     led = level.join(opened, "key", "left")
@@ -273,12 +282,14 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
     return units.unionByName(children), edges
 
 
-def chunk_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Units (doc, key, parent, path, heading, text, start, end, page_start, page_end), edges (doc, src, dst, kind) and warnings (doc, warning).
-
-    pages: doc, doc_type, page, printed (its printed number) and raw.
-    """
+def stored(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parsed pages and documents, written and read back."""
     pages, documents = (materialize(x, "chunking") for x in parsed(pages))
+    return pages, documents
+
+
+def cut_documents(pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units without their pages (doc, key, parent, path, heading, text, start, end), edges and warnings of stored pages and documents."""
     articles = line_headings(pages, ARTICLE_LINE, ARTICLE_NAME).checkpoint()
     run = article_run(articles)
     by_articles, tried = run.select("doc").distinct(), articles.select("doc").distinct()
@@ -290,10 +301,21 @@ def chunk_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     paged = left.select("doc").unionByName(tried.join(by_articles, "doc", "left_anti"))
     sections, edges = section_units(starts, documents, pages)
     plain = page_units(pages.join(paged, "doc", "left_semi"))
-    units = article_units(run, documents).unionByName(rule_units(rules, documents, line_headings(pages, CHAPTER_LINE, None))).unionByName(sections).unionByName(plain).withColumn("end", F.col("start") + F.length("text")).checkpoint()
-    placed = page_of(page_of(units.withColumn("_last", F.greatest(F.col("end") - 1, F.col("start"))), pages, "start", "page_start"), pages, "_last", "page_end").drop("_last")
+    units = article_units(run, documents).unionByName(rule_units(rules, documents, line_headings(pages, CHAPTER_LINE, None))).unionByName(sections).unionByName(plain)
+    units = materialize(units.withColumn("end", F.col("start") + F.length("text")), "units")
     warned = lambda df, text: df.select("doc", F.lit(text).alias("warning"))
     cut = bounded(run, documents).unionByName(bounded(rules, documents)).unionByName(bounded(starts, documents)).where("cut").select("doc")
     repeated = units.where(F.col("key").rlike(r"#s[^(]*-p\d+(-\d+)?$")).select("doc").distinct()
     warnings = [warned(cut, "unbounded_tail"), warned(repeated, "repeated_heading"), warned(tried.join(by_articles, "doc", "left_anti"), "incomplete_articles"), warned(left, "no_headings"), warned(plain.select("doc").distinct(), "page_chunks")]
-    return placed, edges, reduce(DataFrame.unionByName, warnings)
+    return units, edges, reduce(DataFrame.unionByName, warnings)
+
+
+def chunk_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units (doc, key, parent, path, heading, text, start, end, page_start, page_end), edges (doc, src, dst, kind) and warnings (doc, warning).
+
+    pages: doc, doc_type, page, printed (its printed number) and raw.
+    """
+    pages, documents = stored(pages)
+    units, edges, warnings = cut_documents(pages, documents)
+    placed = page_of(page_of(units.withColumn("_last", F.greatest(F.col("end") - 1, F.col("start"))), pages, "start", "page_start"), pages, "_last", "page_end").drop("_last")
+    return placed, edges, warnings

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.operators import assessments as am
 from attesta.operators import chunking, graph, rules
 from attesta.plans import corpus
+from attesta.plans.chunk_sql import CHUNK_COUNTS, HEADS
 from attesta.plans.corpus import C_CHUNKS
 from attesta.plans.text import _FACTS, _facts
 from attesta.session import table
@@ -137,11 +138,8 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as it is, a page for each of its lines; before them, by its id, a page with sections, articles, rules or nothing."""
     k = F.col("doc_id") % 4
-    act = "CHAPTER I\nPRELIMINARY\n1. Short title.—This Act may be called so. 2. Definitions.—In this Act, (a) “one” means 1; (b) “two” means more Provided that it is so. 3. Powers.—"
-    treaty = "Article 1\nScope\nIt is about scope.\nArticle 2\nUse\nUse it.\nArticle 3\nEnd\n"
-    rule = "Rule 1\nTitle\nThese are rules.\nRule 2\nForms\n"
-    head = F.when(k == 0, F.array(F.lit(act))).when(k == 1, F.array(F.lit(treaty))).when(k == 2, F.array(F.lit(rule))).otherwise(F.array().cast("array<string>"))
-    pages = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.when(k == 2, "rule").otherwise("statute").alias("doc_type"), F.posexplode(F.concat(head, F.split("text", "\n"))).alias("page", "raw"))
+    head = F.when(k == 0, F.array(F.lit(HEADS[0]))).when(k == 1, F.array(F.lit(HEADS[1]))).when(k == 2, F.array(F.lit(HEADS[2]))).otherwise(F.array().cast("array<string>"))
+    pages = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.when(k == 2, "rule").otherwise("statute").alias("doc_type"), F.posexplode(F.concat(head, F.split(F.coalesce("text", F.lit("")), "\n"))).alias("page", "raw"))
     return pages.withColumn("printed", F.col("page") + 1)
 
 
@@ -152,17 +150,17 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("doc", "key", "parent", F.array_join("path", " > ").alias("path"), "start", "end", "page_start", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
-@query(r"""SELECT doc_id AS doc, doc_id % 4 <> 3 OR length(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')) > 0 AS has_units, true AS verbatim, true AS known_parents FROM documents""")
+@query(CHUNK_COUNTS)
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each document: it has units if it has text; each unit's text is what the document holds at its offsets; each unit's parent is a unit."""
-    pages = _pages(spark, sf_dir)
-    units, _, _ = chunking.chunk_documents(pages)
-    _, documents = chunking.parsed(pages)
-    held = units.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "text", "key", "parent")).alias("u"))
+    """Of each document: its units and edges; it has units if it has text; each unit's text is what the document holds at its offsets; each unit's parent is a unit."""
+    pages, documents = chunking.stored(_pages(spark, sf_dir))
+    units, edges, _ = chunking.cut_documents(pages, documents)
+    held = units.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "text", "key", "parent")).alias("u"), F.count("*").alias("n_u"))
     keys = F.transform("u", lambda u: u["key"])
     at_home = F.forall("u", lambda u: F.substr("full", u["start"] + 1, u["end"] - u["start"]) == u["text"])
-    found = documents.select("doc", "full").join(held, "doc", "left")
-    return found.select("doc", F.col("u").isNotNull().alias("has_units"), F.coalesce(at_home, F.lit(True)).alias("verbatim"), F.coalesce(F.forall("u", lambda u: u["parent"].isNull() | F.array_contains(keys, u["parent"])), F.lit(True)).alias("known_parents"))
+    found = documents.select("doc", "full").join(held, "doc", "left").join(edges.groupBy("doc").agg(F.count("*").alias("n_e")), "doc", "left")
+    counts = [F.coalesce("n_u", F.lit(0)).alias("n_units"), F.coalesce("n_e", F.lit(0)).alias("n_edges")]
+    return found.select("doc", *counts, F.col("u").isNotNull().alias("has_units"), F.coalesce(at_home, F.lit(True)).alias("verbatim"), F.coalesce(F.forall("u", lambda u: u["parent"].isNull() | F.array_contains(keys, u["parent"])), F.lit(True)).alias("known_parents"))
 
 
 _PARTS = f"""{C_CHUNKS}, u AS (SELECT doc_key AS doc, chunk_id || CASE line % 3 WHEN 1 THEN '-proviso' WHEN 2 THEN '-explanation' ELSE '' END AS key, line FROM c_chunks),
