@@ -28,7 +28,7 @@ from attesta.session import materialize
 
 #: Shapes of headings and markers. Group 1 is the number or label, group 2 the title.
 NOT_CITED = r"(?<!section )(?<!Section )(?<!sections )(?<!Sections )"
-BODY = {"body": r"\bCHAPTER[\s-]+I\b()()"}
+BODY = r"(?sU)^(.*)\bCHAPTER[\s\x1c-\x1f-]+I\b"
 SECTIONS = {
     "titled": r"(?<!\d)(\d{1,3}[A-Z]{0,2})\.\s+([A-Z][^.]{2,160}?)[,.]\s*[—-]",
     "omitted": r"(?<!\d)(\d{1,3}[A-Z]{0,2})\.\s+(\[[^\]]*\])\s*(?=Omitted\b)",
@@ -43,12 +43,22 @@ RULE_NAME = {"rule": r"(?i)Rule[ \t]+(\d{1,3}[A-Z]{0,2})\b()"}
 CHAPTER_LINE = {"chapter": r"(?im)^[ \t]*CHAPTER[ \t]+[IVXLCDM]+\b[^\r\n]*()()"}
 NUMBERED = {"numbered": r"(?<!\S)\((\d{1,3})\)\s()"}
 LETTERED = {"lettered": r"(?<!\S)\(([a-z]{1,3})\)\s()"}
+#: What every text with a match of the shape holds, in small letters, for Spark to pass over the others; of sections a number and a dot.
+HINTS = {"chapter": "chapter", "article": "article", "rule": "rule", "numbered": "(", "lettered": "("}
+NUMBER = r"\p{Nd}[A-Z]{0,2}\.[^\p{L}\p{Nd}]"
 #: Characters that the last unit of a document may run on past its heading.
 TAIL = 4000
 #: Decimal digits of all scripts, as ASCII digits.
 DIGITS = {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
 
 
+def hinted(df: DataFrame, text: str, shapes: dict[str, str]) -> DataFrame:
+    """The rows whose text can have a match of the shapes."""
+    words = {HINTS.get(kind) for kind in shapes}
+    held = [F.contains(F.lower(text), F.lit(word)) if word else F.col(text).rlike(NUMBER) for word in words]
+    return df.where(reduce(lambda a, b: a | b, held))
+
+
 def marks(df: DataFrame, keys: list[str], text: str, shapes: dict[str, str], start: str | None = None) -> DataFrame:
     """keys, kind, number, title, at and until of every match of the shapes in a text column, from a place on if start names one.
 
@@ -70,7 +80,7 @@ def marks(df: DataFrame, keys: list[str], text: str, shapes: dict[str, str], sta
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*keys, "kind", "number", "title", "at", "until"])
 
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(text).alias("_text"), (F.col(start) if start else F.lit(0)).cast("int").alias("_from")).mapInArrow(run, f"{schema}, kind string, number string, title string, at int, until int")
+    return hinted(df, text, shapes).select(*keys, F.col(text).alias("_text"), (F.col(start) if start else F.lit(0)).cast("int").alias("_from")).mapInArrow(run, f"{schema}, kind string, number string, title string, at int, until int")
 
 
 def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,11 +88,12 @@ def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The body begins at the last `CHAPTER I`, which skips a table of contents; at 0 without one. Pages are joined by a line feed.
     """
-    clean = page_offsets(pages.withColumn("raw", F.coalesce("raw", F.lit(""))).withColumn("text", page_clean(F.col("raw"))), "doc", "page", "text").withColumn("start", F.col("start").cast("int"))
+    near = pages.withColumn("raw", F.coalesce("raw", F.lit(""))).repartition("doc").withColumn("text", page_clean(F.col("raw")))
+    clean = page_offsets(near, "doc", "page", "text").withColumn("start", F.col("start").cast("int"))
     joined = clean.groupBy("doc").agg(F.first("doc_type").alias("doc_type"), F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     full = joined.select("doc", "doc_type", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("full"))
-    body = marks(full, ["doc"], "full", BODY).groupBy("doc").agg(F.max("at").alias("body"))
-    return clean, full.join(body, "doc", "left").withColumn("body", F.coalesce("body", F.lit(0)))
+    body = F.when(F.contains("full", F.lit("CHAPTER")), F.length(F.regexp_extract("full", BODY, 1))).otherwise(0)
+    return clean, full.withColumn("body", body.cast("int"))
 
 
 def at_or_after(asked: DataFrame, found: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
@@ -105,6 +116,7 @@ def line_headings(pages: DataFrame, line: dict[str, str], name: dict[str, str] |
     A raw match is led to the cleaned text by the length of what cleaning leaves of the page before it; the first name at or after that
     place must have the same number. A heading without a title takes the next line that isn't blank.
     """
+    pages = hinted(pages, "raw", line)
     found = marks(pages, ["doc", "page"], "raw", line).groupBy("doc", "page").agg(F.collect_list(F.struct("number", "title", "at", "until")).alias("_m"))
 
     def derived(m: Column) -> Column:
@@ -147,13 +159,13 @@ def rule_run(headings: DataFrame, documents: DataFrame) -> DataFrame:
     return run.withColumn("_n", F.count("*").over(Window.partitionBy("doc"))).where("_n >= 2").select("doc", "number", F.regexp_replace("title", r"^[. ]+|[. ]+$", "").alias("title"), "at", "until")
 
 
-def section_starts(documents: DataFrame) -> DataFrame:
-    """Section headings of each document's body: doc, number, title, at and until, in rising order of their numbers.
+def section_starts(documents: DataFrame, others: DataFrame) -> DataFrame:
+    """Section headings of each document's body, but for the documents in others: doc, number, title, at and until, in rising order of their numbers.
 
     Matches of the three shapes are merged by their place; numbers below an earlier one are cross-references and go; where two
     neighbours differ by 2, a plain number between them fills the gap.
     """
-    found = marks(documents, ["doc"], "full", SECTIONS, "body")
+    found = marks(documents, ["doc"], "full", SECTIONS, "body").join(others, "doc", "left_anti")
     rank = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("kind"))
     first = Window.partitionBy("doc", "at").orderBy(rank)
     shaped = found.where("kind <> 'plain'").withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_o", section_order(F.col("number")))
@@ -199,16 +211,24 @@ def _titled(prefix: str) -> Column:
     return F.when(F.col("title") != "", F.array(F.concat(F.lit(prefix), "number"), "title")).otherwise(F.array(F.concat(F.lit(prefix), "number")))
 
 
-def article_units(run: DataFrame, documents: DataFrame) -> DataFrame:
-    text = _rtrim(F.col("own"))
-    return with_own(bounded(run, documents), documents).select(*_unit(F.concat("doc", F.lit("#art"), "number"), F.lit(None), _titled("Article "), F.nullif("title", F.lit("")), text, F.col("at")))
+def _piece(kind: str, key: Column, path: Column, heading: Column) -> list[Column]:
+    return [F.col("doc"), F.lit(kind).alias("kind"), key.alias("key"), path.alias("path"), heading.alias("heading"), F.col("at"), F.col("until"), F.col("stop")]
+
+
+def article_pieces(run: DataFrame, documents: DataFrame) -> DataFrame:
+    return bounded(run, documents).select(*_piece("article", F.concat("doc", F.lit("#art"), "number"), _titled("Article "), F.nullif("title", F.lit(""))))
 
 
-def rule_units(run: DataFrame, documents: DataFrame, chapters: DataFrame) -> DataFrame:
+def rule_pieces(run: DataFrame, documents: DataFrame, chapters: DataFrame) -> DataFrame:
     """Rules end where a chapter begins before the next one."""
     named = at_or_after(bounded(run, documents).withColumn("place", F.col("until") + 1), chapters.select("doc", F.col("at").alias("place"), F.col("at").alias("chapter")), ["doc"], "place", "chapter")
     stop = F.when(F.col("chapter") < F.col("stop"), F.col("chapter")).otherwise(F.col("stop"))
-    return with_own(named.withColumn("stop", stop).drop("place", "chapter"), documents).select(*_unit(F.concat("doc", F.lit("#r"), "number"), F.lit(None), _titled("Rule "), F.nullif("title", F.lit("")), _rtrim(F.col("own")), F.col("at")))
+    return named.withColumn("stop", stop).select(*_piece("rule", F.concat("doc", F.lit("#r"), "number"), _titled("Rule "), F.nullif("title", F.lit(""))))
+
+
+def whole_units(pieces: DataFrame) -> DataFrame:
+    """Units of articles and rules: all of their text."""
+    return pieces.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(F.col("own")), F.col("at")))
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -238,16 +258,13 @@ def clause_rows(bodies: DataFrame, key: str, text: str, numbered: bool = True) -
     return sized.withColumn("stop", F.coalesce(F.lead("at").over(Window.partitionBy(key).orderBy("at")), F.col("_size"))).select(key, F.concat(F.lit("("), "number", F.lit(")")).alias("label"), "at", "stop")
 
 
-def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units and edges (doc, src, dst, kind) of sections, their clauses, clauses inside numbered ones, and provisos and explanations.
-
-    Each level is stored before the next is sought in it, so no text is cut twice and plans stay small.
-    """
+def section_pieces(starts: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections end where a chapter begins before the next one; a number met before takes its page."""
     chapters = marks(documents, ["doc"], "full", CHAPTER, "body").select("doc", F.col("at").alias("_p"), F.struct("at", F.when(F.col("title") != "", F.array(F.concat(F.lit("Chapter "), "number"), F.initcap("title"))).otherwise(F.array(F.concat(F.lit("Chapter "), "number"))).alias("path")).alias("chapter"))
     own = at_or_before(bounded(starts, documents).withColumn("_p", F.col("at")), chapters, ["doc"], "_p", "chapter")
     inside = at_or_before(own.withColumn("_p", F.col("stop")), chapters.withColumnRenamed("chapter", "later"), ["doc"], "_p", "later").drop("_p")
     ends = F.when(F.col("later.at") >= F.col("until"), F.col("later.at")).otherwise(F.col("stop"))
-    paged = page_of(inside.withColumn("end", ends), pages, "at", "page")
+    paged = page_of(inside.withColumn("stop", ends), pages, "at", "page")
     base = F.concat("doc", F.lit("#s"), "number")
     nth = Window.partitionBy("doc", "number").orderBy("at")
     again = Window.partitionBy("doc", "number", "page", "_again").orderBy("at")
@@ -255,9 +272,15 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
     key = F.when(~F.col("_again"), base).otherwise(F.concat(base, F.lit("-p"), F.col("page").cast("string"), F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")))
     heading = F.nullif(F.regexp_replace(F.trim("title"), r"^[\[\]]+|[\[\]]+$", ""), F.lit(""))
     path = F.concat(F.coalesce("chapter.path", F.array().cast("array<string>")), F.array(F.concat(F.lit("Section "), "number")), F.when(heading.isNotNull(), F.array(heading)).otherwise(F.array().cast("array<string>")))
-    keyed = with_own(keyed.drop("later", "cut", "stop"), documents, stop="end")
-    stored = materialize(keyed.select("doc", key.alias("key"), path.alias("path"), heading.alias("heading"), "own", "at", "until", "end"), "sections")
-    raw = _slice("own", F.col("until") - F.col("at"), F.col("end") - F.col("at"))
+    return keyed.select(*_piece("section", key, path, heading))
+
+
+def section_units(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units and edges (doc, src, dst, kind) of stored sections, their clauses, clauses inside numbered ones, and provisos and explanations.
+
+    Each level is stored before the next is sought in it, so no text is cut twice and plans stay small.
+    """
+    raw = _slice("own", F.col("until") - F.col("at"), F.col("stop") - F.col("at"))
     left = F.length(raw) - F.length(F.regexp_replace(raw, r"^\s+", ""))
     sections = stored.select("*", (F.col("until") + left).alias("inner"), _rtrim(F.regexp_replace(raw, r"^\s+", "")).alias("body"))
 
@@ -269,7 +292,7 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
 
     firsts = level.groupBy(F.col("parent").alias("key")).agg(F.min("start").alias("_first"))
     heads = stored.join(firsts, "key", "left")
-    units = heads.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(_slice("own", F.lit(0), F.coalesce("_first", "end") - F.col("at"))), F.col("at")))
+    units = heads.select(*_unit(F.col("key"), F.lit(None), F.col("path"), F.col("heading"), _rtrim(_slice("own", F.lit(0), F.coalesce("_first", "stop") - F.col("at"))), F.col("at")))
     opened = sub.groupBy(F.col("parent").alias("key")).agg(F.min("start").alias("_first"))
     led = level.join(opened, "key", "left")
     head = F.when(F.col("_first").isNotNull(), _rtrim(F.substr("p.body", F.lit(1), F.col("_first") - F.col("start")))).otherwise(F.col("p.body"))
@@ -277,15 +300,15 @@ def section_units(starts: DataFrame, documents: DataFrame, pages: DataFrame) ->
     units = units.unionByName(sub.select(*_unit(F.col("key"), F.col("parent"), F.col("path"), F.lit(None), F.col("p.body"), F.col("start"))))
     split_off = level.select("doc", "key", "path", "start", "p").unionByName(sub.select("doc", "key", "path", "start", "p")).where("p.kind IS NOT NULL")
     child = F.concat("key", F.lit("-"), "p.kind")
-    children = split_off.select(*_unit(child, F.col("key"), F.concat("path", F.array(F.initcap("p.kind"))), F.initcap("p.kind"), F.regexp_replace("p.child", r"\s+$", ""), F.col("start") + F.col("p.at")))
+    children = split_off.select(*_unit(child, F.col("key"), F.concat("path", F.array(F.initcap("p.kind"))), F.initcap("p.kind"), _rtrim(F.col("p.child")), F.col("start") + F.col("p.at")))
     edges = split_off.select("doc", F.col("key").alias("src"), child.alias("dst"), F.lit("proviso_of").alias("kind"))
     return units.unionByName(children), edges
 
 
 def stored(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The parsed pages and documents, written and read back."""
-    pages, documents = (materialize(x, "chunking") for x in parsed(pages))
-    return pages, documents
+    """The parsed pages and documents, written and read back. Pages are cleaned again where their text is read."""
+    pages, documents = parsed(pages)
+    return materialize(pages.drop("text"), "chunking").withColumn("text", page_clean(F.col("raw"))), materialize(documents, "chunking")
 
 
 def cut_documents(pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -293,15 +316,17 @@ def cut_documents(pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, Da
     articles = line_headings(pages, ARTICLE_LINE, ARTICLE_NAME).checkpoint()
     run = article_run(articles)
     by_articles, tried = run.select("doc").distinct(), articles.select("doc").distinct()
-    left = documents.join(tried, "doc", "left_anti")
+    left = documents.select("doc", "doc_type", "body").join(tried, "doc", "left_anti")
     rules = rule_run(line_headings(pages, RULE_LINE, RULE_NAME), left).checkpoint()
-    left = left.join(rules.select("doc").distinct(), "doc", "left_anti")
-    starts = section_starts(left).checkpoint()
-    left = left.join(starts.select("doc").distinct(), "doc", "left_anti")
-    paged = left.select("doc").unionByName(tried.join(by_articles, "doc", "left_anti"))
-    sections, edges = section_units(starts, documents, pages)
-    plain = page_units(pages.join(paged, "doc", "left_semi"))
-    units = article_units(run, documents).unionByName(rule_units(rules, documents, line_headings(pages, CHAPTER_LINE, None))).unionByName(sections).unionByName(plain)
+    ruled = rules.select("doc").distinct()
+    starts = section_starts(documents, tried.unionByName(ruled)).checkpoint()
+    left = left.select("doc").join(ruled, "doc", "left_anti").join(starts.select("doc").distinct(), "doc", "left_anti")
+    paged = left.unionByName(tried.join(by_articles, "doc", "left_anti"))
+    pieces = article_pieces(run, documents).unionByName(rule_pieces(rules, documents, line_headings(pages, CHAPTER_LINE, None))).unionByName(section_pieces(starts, documents, pages))
+    pieces = materialize(with_own(pieces, documents), "pieces")
+    sections, edges = section_units(pieces.where("kind = 'section'"))
+    plain = page_units(pages.drop("text").join(paged, "doc", "left_semi").withColumn("text", page_clean(F.col("raw"))))
+    units = whole_units(pieces.where("kind <> 'section'")).unionByName(sections).unionByName(plain)
     units = materialize(units.withColumn("end", F.col("start") + F.length("text")), "units")
     warned = lambda df, text: df.select("doc", F.lit(text).alias("warning"))
     cut = bounded(run, documents).unionByName(bounded(rules, documents)).unionByName(bounded(starts, documents)).where("cut").select("doc")

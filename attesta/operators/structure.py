@@ -84,7 +84,7 @@ def proviso_split(text: Column) -> Column:
     parts = []
     for kind, marker in (("explanation", EXPLANATION), ("proviso", PROVISO)):
         at = F.regexp_instr(text, F.lit(marker))
-        parts.append((at, F.struct(F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"\s+$", "").alias("body"), F.lit(kind).alias("kind"), F.substr(text, at).alias("child"), (at - 1).alias("at"))))
+        parts.append((at, F.struct(F.regexp_replace(F.substr(text, F.lit(1), at - 1), r"\s+\z", "").alias("body"), F.lit(kind).alias("kind"), F.substr(text, at).alias("child"), (at - 1).alias("at"))))
     none = F.struct(text.alias("body"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("child"), F.lit(None).cast("int").alias("at"))
     return F.when(parts[0][0] > 1, parts[0][1]).when(parts[1][0] > 1, parts[1][1]).otherwise(none)
 
@@ -112,10 +112,12 @@ def longest_increasing(values: list[float]) -> list[int]:
 
 
 def longest_increasing_rows(headings: DataFrame, doc: str, order: str, number: str) -> DataFrame:
-    """Rows of each document's longest increasing subsequence. The chain of a document's headings is short and sequential: one group a document."""
+    """Rows of each document's longest increasing subsequence. The chain of a document's headings is short and sequential: one array a document."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        return g.iloc[longest_increasing(g[number].astype(float).tolist())]
+    @F.pandas_udf("array<int>")
+    def kept(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda v: longest_increasing([float(x) for x in v]))
 
-    return headings.select(doc, order, number).groupBy(doc).applyInPandas(run, headings.select(doc, order, number).schema)
+    held = headings.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(order, number))).alias("_h"))
+    chosen = held.select(doc, "_h", kept(F.transform("_h", lambda h: h[number].cast("double"))).alias("_k"))
+    return chosen.select(doc, F.explode(F.transform("_k", lambda i: F.get("_h", i))).alias("_r")).select(doc, "_r.*")
